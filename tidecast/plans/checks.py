@@ -30,7 +30,13 @@ def register(name: str, sql: str | None = None, rnd: tuple[str, ...] = (), digit
         if rnd:
             def rounded(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
                 df = _fn(spark, sf_dir)
-                return df.select(*[F.round(c, digits).alias(c) if c in rnd else F.col(c) for c in df.columns])
+                scale = float(10**digits)
+                return df.select(
+                    *[
+                        (F.floor(F.col(c) * scale + 0.5).cast("double") / scale).alias(c) if c in rnd else F.col(c)
+                        for c in df.columns
+                    ]
+                )
 
             rounded.__doc__ = fn.__doc__
             QUERIES[name] = rounded
@@ -39,7 +45,10 @@ def register(name: str, sql: str | None = None, rnd: tuple[str, ...] = (), digit
         if sql is not None:
             body = sql.strip()
             if rnd:
-                repl = ", ".join(f"round({c}, {digits}) AS {c}" for c in rnd)
+                # The same three IEEE operations on both sides, so an equal
+                # double always rounds to an equal double (the engines' own
+                # round functions break exact ties differently).
+                repl = ", ".join(f"floor({c} * {10**digits}.0 + 0.5) / {10**digits}.0 AS {c}" for c in rnd)
                 body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n)"
             ORACLE[name] = body
         return fn
@@ -51,4 +60,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tidecast.plans import (  # noqa: F401
         q_daily,
+        q_features,
     )

@@ -153,3 +153,93 @@ FROM {src} GROUP BY {keys}"""
 
 
 cte("standin_metrics", metrics_select("standin_long"), ("standin_long",))
+
+
+# ------------------------------------------------------------------ features
+W_KEY = "PARTITION BY series_key ORDER BY date"
+
+SQL_PARTS = {
+    "year": "CAST(year(date) AS INTEGER)",
+    "month": "CAST(month(date) AS INTEGER)",
+    "day": "CAST(day(date) AS INTEGER)",
+    "day_of_week": "CAST(isodow(date) - 1 AS INTEGER)",
+    "day_of_year": "CAST(dayofyear(date) AS INTEGER)",
+    "week_of_year": "CAST(week(date) AS INTEGER)",
+    "quarter": "CAST(quarter(date) AS INTEGER)",
+}
+SQL_FLAGS = {
+    "is_weekend": "CAST(isodow(date) >= 6 AS INTEGER)",
+    "is_monday": "CAST(isodow(date) = 1 AS INTEGER)",
+    "is_friday": "CAST(isodow(date) = 5 AS INTEGER)",
+    "is_month_start": "CAST(day(date) = 1 AS INTEGER)",
+    "is_month_end": "CAST(last_day(date) = date AS INTEGER)",
+    "is_quarter_start": "CAST(CAST(date_trunc('quarter', date) AS DATE) = date AS INTEGER)",
+    "is_quarter_end": "CAST(CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) = date AS INTEGER)",
+}
+
+
+def sql_cyclical(with_doy: bool = True) -> dict[str, str]:
+    out = {}
+    for name, x, p in (("dow", "(isodow(date) - 1)", 7), ("month", "month(date)", 12), ("day_of_year", "dayofyear(date)", 365)):
+        if name == "day_of_year" and not with_doy:
+            continue
+        out[f"{name}_sin"] = f"sin(2 * pi() * {x} / {p}.0)"
+        out[f"{name}_cos"] = f"cos(2 * pi() * {x} / {p}.0)"
+    return out
+
+
+def sql_lags(lags, prefix="lag_") -> dict[str, str]:
+    return {f"{prefix}{n}": f"lag(sales, {n}) OVER ({W_KEY})" for n in lags}
+
+
+def sql_rolling(windows, stats) -> dict[str, str]:
+    fn = {"mean": "avg(sales)", "std": "stddev_samp(sales)", "min": "min(sales)", "max": "max(sales)",
+          "median": "quantile_cont(sales, 0.5)"}
+    out = {}
+    for w in windows:
+        frame = f"({W_KEY} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+        for s in stats:
+            out[f"rolling_{s}_{w}"] = f"CASE WHEN count(sales) OVER {frame} = {w} THEN {fn[s]} OVER {frame} END"
+    return out
+
+
+def sql_expanding(stats) -> dict[str, str]:
+    frame = f"({W_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    x = "CAST(sales AS DECIMAL(20,2))"
+    n = f"count(sales) OVER {frame}"
+    s1 = f"sum({x}) OVER {frame}"
+    s2 = f"sum({x} * {x}) OVER {frame}"
+    fn = {
+        "mean": f"CASE WHEN {n} > 0 THEN CAST({s1} AS DOUBLE) / {n} END",
+        "std": f"CASE WHEN {n} > 1 THEN sqrt(greatest(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE), 0.0) / CAST({n} * ({n} - 1) AS DOUBLE)) END",
+    }
+    return {f"expanding_{s}": fn[s] for s in stats}
+
+
+SQL_DAYS_SINCE_START = "CAST(date_diff('day', min(date) OVER (PARTITION BY series_key), date) AS INTEGER)"
+SQL_WOW = {
+    "wow_change": f"lag(sales, 1) OVER ({W_KEY}) - lag(sales, 8) OVER ({W_KEY})",
+    "wow_pct_change": f"lag(sales, 1) OVER ({W_KEY}) / nullif(lag(sales, 8) OVER ({W_KEY}), 0) - 1",
+}
+
+
+def sql_select(cols: dict[str, str], base: str = "series_key, date, sales", src: str = "daily") -> str:
+    body = ",\n       ".join(f"{e} AS {n}" for n, e in cols.items())
+    return f"SELECT {base},\n       {body}\nFROM {src}"
+
+
+def sql_full_features() -> str:
+    inner = {}
+    inner.update(SQL_PARTS)
+    inner.update(SQL_FLAGS)
+    inner.update(sql_cyclical(True))
+    inner.update(sql_lags((1, 2, 3, 5, 7, 14, 21, 28)))
+    inner.update(sql_rolling((7, 14, 21, 28), ("mean", "std", "min", "max", "median")))
+    inner.update(sql_expanding(("mean", "std")))
+    for n, name in ((7, "same_day_last_week"), (14, "same_day_2_weeks_ago"), (21, "same_day_3_weeks_ago"), (28, "same_day_4_weeks_ago")):
+        inner[name] = f"lag(sales, {n}) OVER ({W_KEY})"
+    inner.update(SQL_WOW)
+    inner["days_since_start"] = SQL_DAYS_SINCE_START
+    outer = ("*, rolling_max_7 - rolling_min_7 AS rolling_range_7, rolling_std_7 / nullif(rolling_mean_7, 0) AS rolling_cv_7,"
+             " rolling_max_14 - rolling_min_14 AS rolling_range_14, rolling_std_14 / nullif(rolling_mean_14, 0) AS rolling_cv_14")
+    return f"SELECT {outer} FROM (\n{sql_select(inner)}\n)"
