@@ -20,9 +20,11 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, rnd: tuple[str, ...] = (), digits: int = 6):
+def register(name: str, sql: str | None = None, rnd: tuple[str, ...] | dict[str, int] = (), digits: int = 6):
     """Register a query. ``rnd`` names float columns whose last bits depend
-    on summation order; both sides round them to ``digits`` places."""
+    on summation order; both sides round them to ``digits`` places (or to the
+    places given per column when ``rnd`` is a dict: large sums of cents use 2)."""
+    places = dict(rnd) if isinstance(rnd, dict) else {c: digits for c in rnd}
 
     def wrap(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
@@ -30,10 +32,11 @@ def register(name: str, sql: str | None = None, rnd: tuple[str, ...] = (), digit
         if rnd:
             def rounded(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
                 df = _fn(spark, sf_dir)
-                scale = float(10**digits)
                 return df.select(
                     *[
-                        (F.floor(F.col(c) * scale + 0.5).cast("double") / scale).alias(c) if c in rnd else F.col(c)
+                        (F.floor(F.col(c) * float(10 ** places[c]) + 0.5).cast("double") / float(10 ** places[c])).alias(c)
+                        if c in places
+                        else F.col(c)
                         for c in df.columns
                     ]
                 )
@@ -48,7 +51,7 @@ def register(name: str, sql: str | None = None, rnd: tuple[str, ...] = (), digit
                 # The same three IEEE operations on both sides, so an equal
                 # double always rounds to an equal double (the engines' own
                 # round functions break exact ties differently).
-                repl = ", ".join(f"floor({c} * {10**digits}.0 + 0.5) / {10**digits}.0 AS {c}" for c in rnd)
+                repl = ", ".join(f"floor({c} * {10**k}.0 + 0.5) / {10**k}.0 AS {c}" for c, k in places.items())
                 body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n)"
             ORACLE[name] = body
         return fn
@@ -61,4 +64,5 @@ def load_all() -> None:
     from tidecast.plans import (  # noqa: F401
         q_daily,
         q_features,
+        q_customers,
     )

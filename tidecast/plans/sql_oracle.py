@@ -243,3 +243,97 @@ def sql_full_features() -> str:
     outer = ("*, rolling_max_7 - rolling_min_7 AS rolling_range_7, rolling_std_7 / nullif(rolling_mean_7, 0) AS rolling_cv_7,"
              " rolling_max_14 - rolling_min_14 AS rolling_range_14, rolling_std_14 / nullif(rolling_mean_14, 0) AS rolling_cv_14")
     return f"SELECT {outer} FROM (\n{sql_select(inner)}\n)"
+
+
+# ------------------------------------------------------------------ customers
+cte("ref", "SELECT CAST(max(invoice_date) + INTERVAL 1 DAY AS DATE) AS ref_date FROM invoices_zero", ("invoices_zero",))
+cte(
+    "cust_gaps",
+    """SELECT customer_no,
+       date_diff('day', lag(invoice_date) OVER (PARTITION BY customer_no ORDER BY invoice_date, invoice_number), invoice_date) AS gap
+FROM invoices_zero""",
+    ("invoices_zero",),
+)
+cte(
+    "cust_gap_stats",
+    """SELECT customer_no, count(gap) AS m, avg(gap) AS avg_gap, stddev_samp(gap) AS gap_std,
+       min(gap) AS min_gap, max(gap) AS max_gap, quantile_cont(gap, 0.5) AS median_gap
+FROM cust_gaps WHERE gap IS NOT NULL GROUP BY customer_no""",
+    ("cust_gaps",),
+)
+cte(
+    "cust_quarters",
+    """SELECT customer_no, stddev_samp(cnt) AS q_std, avg(cnt) AS q_mean,
+       max(CASE WHEN rn = 1 THEN q END) AS peak_quarter
+FROM (SELECT customer_no, q, cnt, row_number() OVER (PARTITION BY customer_no ORDER BY cnt DESC, q) AS rn
+      FROM (SELECT customer_no, quarter(invoice_date) AS q, count(*) AS cnt FROM invoices_zero GROUP BY 1, 2))
+GROUP BY customer_no""",
+    ("invoices_zero",),
+)
+cte(
+    "cust_base",
+    """SELECT i.customer_no,
+       first(i.customer_name ORDER BY i.invoice_date, i.invoice_number) AS customer_name,
+       CAST(date_diff('day', max(i.invoice_date), any_value(r.ref_date)) AS INTEGER) AS recency,
+       count(*) AS frequency,
+       CAST(sum(i.amount) AS DOUBLE) AS monetary,
+       CAST(sum(i.amount) AS DOUBLE) / count(*) AS avg_order_value,
+       stddev_samp(CAST(i.amount AS DOUBLE)) AS amount_std,
+       CAST(date_diff('day', min(i.invoice_date), any_value(r.ref_date)) AS INTEGER) AS customer_tenure,
+       count(*) FILTER (WHERE i.invoice_date >= r.ref_date - INTERVAL 180 DAY) AS recent_orders,
+       count(*) FILTER (WHERE i.invoice_date >= r.ref_date - INTERVAL 365 DAY AND i.invoice_date < r.ref_date - INTERVAL 180 DAY) AS prior_orders,
+       CAST(COALESCE(sum(i.amount) FILTER (WHERE i.invoice_date >= r.ref_date - INTERVAL 180 DAY), 0) AS DOUBLE) AS recent_revenue,
+       CAST(COALESCE(sum(i.amount) FILTER (WHERE i.invoice_date >= r.ref_date - INTERVAL 365 DAY AND i.invoice_date < r.ref_date - INTERVAL 180 DAY), 0) AS DOUBLE) AS prior_revenue
+FROM invoices_zero i CROSS JOIN ref r GROUP BY i.customer_no""",
+    ("invoices_zero", "ref"),
+)
+cte(
+    "custfeat_raw",
+    """SELECT b.*, g.m,
+       CASE WHEN b.frequency > 1 THEN g.avg_gap ELSE CAST(b.customer_tenure AS DOUBLE) END AS avg_gap,
+       CASE WHEN b.frequency > 1 AND g.m > 1 THEN g.gap_std ELSE 0.0 END AS gap_std,
+       CAST(CASE WHEN b.frequency > 1 THEN g.min_gap ELSE b.customer_tenure END AS DOUBLE) AS min_gap,
+       CAST(CASE WHEN b.frequency > 1 THEN g.max_gap ELSE b.customer_tenure END AS DOUBLE) AS max_gap,
+       CAST(CASE WHEN b.frequency > 1 THEN g.median_gap ELSE b.customer_tenure END AS DOUBLE) AS median_gap,
+       q.q_std, q.q_mean, q.peak_quarter
+FROM cust_base b LEFT JOIN cust_gap_stats g USING (customer_no) LEFT JOIN cust_quarters q USING (customer_no)""",
+    ("cust_base", "cust_gap_stats", "cust_quarters"),
+)
+cte(
+    "custfeat",
+    """SELECT customer_no, customer_name, recency, frequency, monetary, avg_order_value, customer_tenure,
+       ln(1 + customer_tenure) AS log_tenure,
+       avg_gap, gap_std,
+       CASE WHEN avg_gap > 0 THEN gap_std / avg_gap ELSE 0.0 END AS gap_cv,
+       min_gap, max_gap, median_gap,
+       CASE WHEN avg_gap > 0 THEN recency / avg_gap ELSE CAST(recency AS DOUBLE) END AS recency_gap_ratio,
+       recent_orders, prior_orders, recent_revenue, prior_revenue,
+       CASE WHEN prior_orders > 0 THEN (recent_orders - prior_orders) / CAST(prior_orders AS DOUBLE)
+            WHEN recent_orders > 0 THEN 1.0 ELSE -1.0 END AS order_trend,
+       CASE WHEN prior_revenue > 0 THEN (recent_revenue - prior_revenue) / prior_revenue
+            WHEN recent_revenue > 0 THEN 1.0 ELSE -1.0 END AS revenue_trend,
+       CASE WHEN q_mean > 0 THEN q_std / q_mean ELSE 0.0 END AS seasonality_cv,
+       CAST(peak_quarter AS INTEGER) AS peak_quarter,
+       frequency / greatest(customer_tenure / 30.0, 1.0) AS orders_per_month,
+       monetary / greatest(customer_tenure / 30.0, 1.0) AS revenue_per_month,
+       CASE WHEN avg_order_value > 0 THEN amount_std / avg_order_value ELSE 0.0 END AS order_value_cv
+FROM custfeat_raw""",
+    ("custfeat_raw",),
+)
+cte(
+    "churn_lab",
+    """SELECT *, CAST(COALESCE(recency > 90, false) AS INTEGER) AS is_churned,
+       CAST(COALESCE(recency_gap_ratio > 2.0, false) AS INTEGER) AS is_churned_relative,
+       CAST(COALESCE(recency > 90, false) OR COALESCE(recency_gap_ratio > 2.0, false) AS INTEGER) AS churn_label
+FROM custfeat""",
+    ("custfeat",),
+)
+cte(
+    "scored",
+    """SELECT *,
+       CASE WHEN p > 0.7 AND p <= 1.0 THEN 'Critical' WHEN p > 0.5 AND p <= 0.7 THEN 'High'
+            WHEN p > 0.3 AND p <= 0.5 THEN 'Medium' WHEN p > 0.0 AND p <= 0.3 THEN 'Low' END AS risk_category,
+       p * monetary AS revenue_at_risk
+FROM (SELECT *, least(1.0, recency / 365.0) AS p FROM churn_lab)""",
+    ("churn_lab",),
+)
