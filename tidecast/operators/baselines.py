@@ -24,8 +24,14 @@ def _train_test(split: DataFrame, value: str):
     return train, test
 
 
+def exact_mean(col: str, scale: int = 2):
+    """Mean of a cents-valued column from an exact decimal sum: one final
+    double division, so the value is the same in any partitioning."""
+    return F.sum(F.col(col).cast(f"decimal(20,{scale})")).cast("double") / F.count(col)
+
+
 def _train_mean(train: DataFrame) -> DataFrame:
-    return train.groupBy(KEY).agg(F.avg("_v").alias("_train_mean"))
+    return train.groupBy(KEY).agg(exact_mean("_v").alias("_train_mean"))
 
 
 def _finish(df: DataFrame, model: str, band: tuple[float, float] | None) -> DataFrame:
@@ -70,7 +76,7 @@ def seasonal_naive(
 def weekday_mean(split: DataFrame, value: str = "sales", band=(0.8, 1.2), model: str = "weekday_mean") -> DataFrame:
     """Stand-in forecaster: train mean of the same weekday (Monday = 0)."""
     train, test = _train_test(split, value)
-    means = train.groupBy(KEY, F.weekday("date").alias("_wd")).agg(F.avg("_v").alias("yhat"))
+    means = train.groupBy(KEY, F.weekday("date").alias("_wd")).agg(exact_mean("_v").alias("yhat"))
     out = test.withColumn("_wd", F.weekday("date")).join(means, [KEY, "_wd"], "left")
     return _finish(out, model, band)
 
@@ -80,7 +86,7 @@ def trailing_mean(split: DataFrame, window: int = 28, value: str = "sales", band
     train, test = _train_test(split, value)
     w = Window.partitionBy(KEY).orderBy(F.col("date").desc())
     tail = train.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window)
-    means = tail.groupBy(KEY).agg(F.avg("_v").alias("yhat"))
+    means = tail.groupBy(KEY).agg(exact_mean("_v").alias("yhat"))
     return _finish(test.join(means, KEY, "left"), model, band)
 
 

@@ -65,4 +65,5 @@ def load_all() -> None:
         q_daily,
         q_features,
         q_customers,
+        q_ensemble,
     )

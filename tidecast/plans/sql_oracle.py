@@ -99,7 +99,7 @@ cte(
 FROM daily_split t
 LEFT JOIN daily_split p ON p.role = 'train' AND p.series_key = t.series_key
       AND p.date = CAST(t.date - INTERVAL 7 DAY AS DATE)
-LEFT JOIN (SELECT series_key, avg(sales) AS train_mean FROM daily_split WHERE role = 'train' GROUP BY series_key) m
+LEFT JOIN (SELECT series_key, CAST(sum(CAST(sales AS DECIMAL(20,2))) AS DOUBLE) / count(sales) AS train_mean FROM daily_split WHERE role = 'train' GROUP BY series_key) m
       ON m.series_key = t.series_key
 WHERE t.role = 'test'""",
     ("daily_split",),
@@ -112,20 +112,20 @@ cte(
 FROM daily_split t
 LEFT JOIN daily_split p ON p.role = 'train' AND p.series_key = t.series_key
       AND p.date = CAST(t.date - INTERVAL 7 DAY AS DATE)
-LEFT JOIN (SELECT series_key, avg(sales) AS train_mean FROM daily_split WHERE role = 'train' GROUP BY series_key) m
+LEFT JOIN (SELECT series_key, CAST(sum(CAST(sales AS DECIMAL(20,2))) AS DOUBLE) / count(sales) AS train_mean FROM daily_split WHERE role = 'train' GROUP BY series_key) m
       ON m.series_key = t.series_key
 WHERE t.role = 'test'
 UNION ALL
 SELECT t.series_key, 'weekday_mean', t.date, t.sales, w.yhat
 FROM daily_split t
-LEFT JOIN (SELECT series_key, isodow(date) - 1 AS wd, avg(sales) AS yhat
+LEFT JOIN (SELECT series_key, isodow(date) - 1 AS wd, CAST(sum(CAST(sales AS DECIMAL(20,2))) AS DOUBLE) / count(sales) AS yhat
            FROM daily_split WHERE role = 'train' GROUP BY 1, 2) w
       ON w.series_key = t.series_key AND w.wd = isodow(t.date) - 1
 WHERE t.role = 'test'
 UNION ALL
 SELECT t.series_key, 'trailing_28', t.date, t.sales, r.yhat
 FROM daily_split t
-LEFT JOIN (SELECT series_key, avg(sales) AS yhat FROM (
+LEFT JOIN (SELECT series_key, CAST(sum(CAST(sales AS DECIMAL(20,2))) AS DOUBLE) / count(sales) AS yhat FROM (
              SELECT series_key, sales, row_number() OVER (PARTITION BY series_key ORDER BY date DESC) AS rn
              FROM daily_split WHERE role = 'train') WHERE rn <= 28 GROUP BY series_key) r
       ON r.series_key = t.series_key
@@ -337,3 +337,30 @@ cte(
 FROM (SELECT *, least(1.0, recency / 365.0) AS p FROM churn_lab)""",
     ("churn_lab",),
 )
+
+
+# ------------------------------------------------------------------ ensemble
+cte(
+    "ens_long",
+    """SELECT series_key, model, date, actual, yhat,
+       CASE WHEN model = 'trailing_28' THEN NULL ELSE lower END AS lower,
+       CASE WHEN model = 'trailing_28' THEN NULL ELSE upper END AS upper
+FROM standin_long""",
+    ("standin_long",),
+)
+cte(
+    "ens_weights",
+    """SELECT * FROM (VALUES ('last_week', CAST(0.5 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)),
+                     ('weekday_mean', CAST(0.3 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)),
+                     ('trailing_28', CAST(0.2 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(1.3 AS DOUBLE))) w(model, weight, band_lo, band_hi)""",
+)
+cte(
+    "ens",
+    """SELECT series_key, date,
+       greatest(sum(weight * yhat) / sum(weight), 0.0) AS ensemble,
+       greatest(sum(weight * COALESCE(lower, yhat * band_lo)) / sum(weight), 0.0) AS ensemble_lower,
+       sum(weight * COALESCE(upper, yhat * band_hi)) / sum(weight) AS ensemble_upper,
+       count(*) AS n_models, dayname(date) AS day_of_week
+FROM ens_long JOIN ens_weights USING (model) GROUP BY series_key, date""",
+    ("ens_long", "ens_weights"),
+)
