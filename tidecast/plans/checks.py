@@ -66,4 +66,5 @@ def load_all() -> None:
         q_features,
         q_customers,
         q_ensemble,
+        q_models,
     )
