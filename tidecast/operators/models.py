@@ -235,12 +235,11 @@ def _rff_cols(spec: ModelSpec, features: Sequence[str]) -> dict[str, Column]:
     scale = math.sqrt(2.0 / d)
 
     @F.pandas_udf("array<double>")
-    def rff(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in cols])
-        z = np.cos(x @ w.T + b) * scale
+    def rff(x: pd.DataFrame) -> pd.Series:
+        z = np.cos(x.to_numpy(dtype=float, na_value=0.0) @ w.T + b) * scale
         return pd.Series(list(z))
 
-    return {"_rff": array_to_vector(rff(*[F.col(f) for f in features]))}
+    return {"_rff": array_to_vector(rff(F.struct(*[F.col(f).cast("double") for f in features])))}
 
 
 def _model_inputs(spec: ModelSpec, features: Sequence[str]) -> list[str]:
