@@ -23,6 +23,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -224,7 +225,6 @@ def _rff_cols(spec: ModelSpec, features: Sequence[str]) -> dict[str, Column]:
     if not hasattr(spec, "rff"):
         return {}
     import numpy as np
-    import pandas as pd
     from pyspark.ml.functions import array_to_vector
 
     d, gamma, seed = spec.rff  # type: ignore[attr-defined]
