@@ -260,8 +260,12 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label:
     inputs = _model_inputs(spec, feats)
     est = spec.build(x, label)
     est.setLabelCol(label)
-    est.setFeaturesCol("features")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), est])
+    if hasattr(spec, "rff"):
+        est.setFeaturesCol("_rff")
+        pipe = Pipeline(stages=[est])
+    else:
+        est.setFeaturesCol("features")
+        pipe = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), est])
     return FittedModel(spec, feats, scaler, pipe.fit(x), label)
 
 
