@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 KEY = "series_key"
 SEED = 42
+SCALED = "__scaled_"
 
 
 def match_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -73,8 +74,9 @@ class ColumnScaler:
         scale = {c: (float(row[f"s_{c}"]) if row[f"s_{c}"] not in (None, 0) and not math.isnan(row[f"s_{c}"]) else 1.0) for c in cols}
         return cls(list(cols), centre, scale)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (F.col(c).cast("double") - self.centre[c]) / self.scale[c] for c in self.cols})
+    def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Scaled values, in place or (with ``prefix``) as new columns."""
+        return df.withColumns({prefix + c: (F.col(c).cast("double") - self.centre[c]) / self.scale[c] for c in self.cols})
 
 
 # ---------------------------------------------------------------- specs
@@ -196,9 +198,13 @@ class FittedModel:
     label: str
 
     def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
-        x = self.scaler.transform(df) if self.scaler else df
-        x = _add_rff(x, self.spec, self.features)
+        """Adds the prediction (or positive-class probability) as ``out``;
+        the input columns are left unchanged."""
+        feats = [SCALED + c for c in self.features] if self.scaler else self.features
+        x = self.scaler.transform(df, SCALED) if self.scaler else df
+        x = _add_rff(x, self.spec, feats)
         pred = self.pipeline.transform(x)
+        pred = pred.drop(*[SCALED + c for c in self.features]) if self.scaler else pred
         value = vector_to_array("probability")[1] if self.spec.kind == "clf" else F.col("prediction")
         pred = pred.withColumn("_out", value).drop("features", "prediction", "rawPrediction", "probability")
         return pred.drop("_rff").withColumnRenamed("_out", out)
@@ -255,9 +261,10 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label:
     """Fit one spec: optional scaler on train rows, assembler, estimator."""
     feats = list(features)
     scaler = ColumnScaler.fit(train, feats, spec.scaler) if spec.scaler else None
-    x = scaler.transform(train) if scaler else train
-    x = _add_rff(x, spec, feats)
-    inputs = _model_inputs(spec, feats)
+    x = scaler.transform(train, SCALED) if scaler else train
+    used = [SCALED + c for c in feats] if scaler else feats
+    x = _add_rff(x, spec, used)
+    inputs = _model_inputs(spec, used)
     est = spec.build(x, label)
     est.setLabelCol(label)
     if hasattr(spec, "rff"):

@@ -67,4 +67,5 @@ def load_all() -> None:
         q_customers,
         q_ensemble,
         q_models,
+        q_forecasters,
     )
