@@ -129,33 +129,40 @@ FLOATING_HOLIDAYS = (
 JUNETEENTH_FROM = 2021
 
 
-def us_holidays(spark, first_year: int, last_year: int) -> DataFrame:
-    """``holiday_flags``: the US federal holiday calendar for a year range,
-    built from rules in SQL (one row per holiday and year; size bounded by
-    11 x years). Saturday holidays are observed on Friday and Sunday ones on
-    Monday, as observed dates are what a sales calendar sees; both the
-    actual and the observed date are returned.
+def holidays_for_years(years: DataFrame, year_col: str = "year") -> DataFrame:
+    """US federal holidays for the years in ``years`` (lazy: no action).
+
+    One row per holiday and year, built from the rules above with column
+    expressions; its size is 11 x the number of distinct years.
     """
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
-    rows = []
+    y = F.col(year_col).cast("int")
+    items = []
     for name, m, dd in FIXED_HOLIDAYS:
-        rows.append(
-            years.where(F.lit(name != "Juneteenth National Independence Day") | (F.col("year") >= JUNETEENTH_FROM)).select(
-                F.lit(name).alias("holiday"), "year", F.make_date("year", F.lit(m), F.lit(dd)).alias("date")
-            )
-        )
+        date = F.make_date(y, F.lit(m), F.lit(dd))
+        if name.startswith("Juneteenth"):
+            date = F.when(y >= JUNETEENTH_FROM, date)
+        items.append(F.struct(F.lit(name).alias("holiday"), date.alias("date")))
     for name, m, wd, nth in FLOATING_HOLIDAYS:
-        first = F.make_date("year", F.lit(m), F.lit(1))
+        first = F.make_date(y, F.lit(m), F.lit(1))
         if nth > 0:
             offset = (F.lit(wd) - F.weekday(first) + 7) % 7 + (nth - 1) * 7
             date = F.date_add(first, offset.cast("int"))
         else:
             last = F.last_day(first)
             date = F.date_sub(last, ((F.weekday(last) - F.lit(wd) + 7) % 7).cast("int"))
-        rows.append(years.select(F.lit(name).alias("holiday"), "year", date.alias("date")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        items.append(F.struct(F.lit(name).alias("holiday"), date.alias("date")))
+    out = years.select(y.alias("year"), F.inline(F.array(*items))).where(F.col("date").isNotNull())
     wd = F.weekday("date")
     observed = F.when(wd == 5, F.date_sub("date", 1)).when(wd == 6, F.date_add("date", 1)).otherwise(F.col("date"))
-    return out.withColumn("observed", observed)
+    return out.select("holiday", "year", "date", observed.alias("observed"))
+
+
+def us_holidays(spark, first_year: int, last_year: int) -> DataFrame:
+    """``holiday_flags``: the US federal holiday calendar for a year range,
+    built from rules in SQL (one row per holiday and year; size bounded by
+    11 x years). Saturday holidays are observed on Friday and Sunday ones on
+    Monday, as observed dates are what a sales calendar sees; both the
+    actual and the observed date are returned.
+    """
+    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    return holidays_for_years(years)

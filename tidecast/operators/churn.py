@@ -162,7 +162,9 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
     """``risk_distribution``: count and share per category, absent
     categories shown with 0 (the 4-row category dimension drives the join)."""
     spark = scored.sparkSession
-    cats = spark.createDataFrame([(n, i) for i, n in enumerate(RISK_ORDER, 1)], "risk_category string, risk_rank int")
+    from tidecast.session import literal_frame
+
+    cats = literal_frame(spark, [(n, i) for i, n in enumerate(RISK_ORDER, 1)], "risk_category string, risk_rank int")
     counts = scored.where(F.col("risk_category").isNotNull()).groupBy("risk_category").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("revenue_at_risk").alias("revenue_at_risk")
     )

@@ -58,123 +58,153 @@ def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.hstack([np.sin(x), np.cos(x)])
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, free: int) -> np.ndarray:
-    """Unit ridge on all but the first ``free`` columns."""
-    pen = np.ones(x.shape[1])
+def _solve(gram: np.ndarray, rhs: np.ndarray, scale: np.ndarray, free: int) -> np.ndarray:
+    """Ridge solve on columns scaled by ``scale`` (prior scales), from a
+    precomputed Gram matrix: (D G D + P) b = D X'y, unit penalty except on
+    the first ``free`` columns. Returns coefficients for the scaled columns."""
+    pen = np.ones(len(scale))
     pen[:free] = 1e-9
-    a = x.T @ x + np.diag(pen)
-    return np.linalg.solve(a, x.T @ y)
-
-
-def fit_decomposition(pdf: pd.DataFrame, cps: float, sps: float, mode: str) -> pd.DataFrame:
+    a = gram * np.outer(scale, scale) + np.diag(pen)
+    return np.linalg.solve(a, rhs * scale)
+
+
+class Design:
+    """Per-series design matrices, built once and reused by every parameter
+    set (only the column scales change between sets)."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        self.pdf = pdf
+        self.train = pdf["role"].eq("train").to_numpy()
+        dates = pd.to_datetime(pdf["date"])
+        days = (dates - dates[self.train].min()).dt.days.to_numpy(dtype=float)
+        t = days / max(days[self.train].max(), 1.0)
+        y = pdf["actual"].to_numpy(dtype=float)
+        self.yscale = max(np.nanmax(np.abs(y[self.train])) if self.train.any() else 1.0, 1e-9)
+        self.ys = y / self.yscale
+        cps_t = np.linspace(0, CHANGEPOINT_RANGE, N_CHANGEPOINTS + 1)[1:]
+        self.trend_x = np.hstack([np.ones((len(t), 1)), t[:, None] * SLOPE_SCALE, np.maximum(0.0, t[:, None] - cps_t[None, :])])
+        abs_days = (dates - pd.Timestamp("1970-01-01")).dt.days.to_numpy(dtype=float)
+        yearly = _fourier(abs_days, YEARLY_PERIOD, YEARLY_ORDER)
+        weekly = _fourier(abs_days, WEEKLY_PERIOD, WEEKLY_ORDER)
+        hol = pdf["holiday"].fillna("").to_numpy()
+        hol_x = np.column_stack([(hol == h).astype(float) for h in HOLIDAY_NAMES]) * HOLIDAY_SCALE
+        self.seas_x = np.hstack([yearly, weekly, hol_x])
+        self.ny, self.nw, self.nt = yearly.shape[1], weekly.shape[1], self.trend_x.shape[1]
+        self.x = np.hstack([self.trend_x, self.seas_x])
+        tr = self.train
+        self.gram_all = self.x[tr].T @ self.x[tr]
+        self.rhs_all = self.x[tr].T @ self.ys[tr]
+        self.gram_trend = self.trend_x[tr].T @ self.trend_x[tr]
+        self.rhs_trend = self.trend_x[tr].T @ self.ys[tr]
+
+    def scales(self, cps: float, sps: float) -> tuple[np.ndarray, np.ndarray]:
+        trend = np.ones(self.nt)
+        trend[2:] = cps
+        seas = np.concatenate([np.full(self.ny + self.nw, sps), np.ones(self.seas_x.shape[1] - self.ny - self.nw)])
+        return trend, seas
+
+
+def fit_decomposition(pdf: pd.DataFrame, cps: float, sps: float, mode: str, design: Design | None = None) -> pd.DataFrame:
     """Fit on ``role == 'train'`` rows, predict every row of one group."""
-    pdf = pdf.sort_values("date").reset_index(drop=True)
-    train = pdf["role"].eq("train").to_numpy()
-    dates = pd.to_datetime(pdf["date"])
-    day0 = dates[train].min()
-    days = ((dates - day0).dt.days).to_numpy(dtype=float)
-    span = max(days[train].max(), 1.0)
-    t = days / span
-    y = pdf["actual"].to_numpy(dtype=float)
-    yscale = max(np.nanmax(np.abs(y[train])) if train.any() else 1.0, 1e-9)
-    ys = y / yscale
-
-    cps_t = np.linspace(0, CHANGEPOINT_RANGE, N_CHANGEPOINTS + 1)[1:]
-    hinges = np.maximum(0.0, t[:, None] - cps_t[None, :]) * cps
-    trend_x = np.hstack([np.ones((len(t), 1)), t[:, None] * SLOPE_SCALE, hinges])
-    abs_days = (dates - pd.Timestamp("1970-01-01")).dt.days.to_numpy(dtype=float)
-    yearly_x = _fourier(abs_days, YEARLY_PERIOD, YEARLY_ORDER) * sps
-    weekly_x = _fourier(abs_days, WEEKLY_PERIOD, WEEKLY_ORDER) * sps
-    hol = pdf["holiday"].fillna("").to_numpy()
-    hol_x = np.column_stack([(hol == h).astype(float) for h in HOLIDAY_NAMES]) * HOLIDAY_SCALE
-    ny, nw = yearly_x.shape[1], weekly_x.shape[1]
-
+    dz = design or Design(pdf)
+    tr, ys = dz.train, dz.ys
+    tscale, sscale = dz.scales(cps, sps)
+    ny, nw, nt = dz.ny, dz.nw, dz.nt
     status = "ok"
     try:
         if mode == "additive":
-            x = np.hstack([trend_x, yearly_x, weekly_x, hol_x])
-            beta = _ridge(x[train], ys[train], 1)
-            parts = x * beta
-            trend = parts[:, : trend_x.shape[1]].sum(1)
-            o = trend_x.shape[1]
-            yearly = parts[:, o : o + ny].sum(1)
-            weekly = parts[:, o + ny : o + ny + nw].sum(1)
-            holidays = parts[:, o + ny + nw :].sum(1)
+            scale = np.concatenate([tscale, sscale])
+            beta = _solve(dz.gram_all, dz.rhs_all, scale, 1)
+            parts = dz.x * (beta * scale)
+            trend = parts[:, :nt].sum(1)
+            yearly = parts[:, nt : nt + ny].sum(1)
+            weekly = parts[:, nt + ny : nt + ny + nw].sum(1)
+            holidays = parts[:, nt + ny + nw :].sum(1)
             yhat = trend + yearly + weekly + holidays
         else:
-            tb = _ridge(trend_x[train], ys[train], 1)
-            trend = trend_x @ tb
-            ok = train & (np.abs(trend) > 1e-9)
-            ratio = np.where(np.abs(trend) > 1e-9, ys / np.where(trend == 0, 1, trend) - 1, 0.0)
-            sx = np.hstack([yearly_x, weekly_x, hol_x])
-            sb = _ridge(sx[ok], ratio[ok], 0) if ok.any() else np.zeros(sx.shape[1])
-            parts = sx * sb
+            tb = _solve(dz.gram_trend, dz.rhs_trend, tscale, 1)
+            trend = dz.trend_x @ (tb * tscale)
+            nz = np.abs(trend) > 1e-9
+            ok = tr & nz
+            ratio = np.where(nz, ys / np.where(nz, trend, 1.0) - 1, 0.0)
+            sx = dz.seas_x[ok]
+            sb = _solve(sx.T @ sx, sx.T @ ratio[ok], sscale, 0) if ok.any() else np.zeros(dz.seas_x.shape[1])
+            parts = dz.seas_x * (sb * sscale)
             yearly, weekly, holidays = parts[:, :ny].sum(1), parts[:, ny : ny + nw].sum(1), parts[:, ny + nw :].sum(1)
             yhat = trend * (1 + yearly + weekly + holidays)
             yearly, weekly, holidays = yearly * trend, weekly * trend, holidays * trend
     except np.linalg.LinAlgError:
         status = "fallback_mean"
-        m = np.nanmean(ys[train]) if train.any() else 0.0
-        trend = np.full(len(t), m)
-        yearly = weekly = holidays = np.zeros(len(t))
+        m = np.nanmean(ys[tr]) if tr.any() else 0.0
+        trend = np.full(len(ys), m)
+        yearly = weekly = holidays = np.zeros(len(ys))
         yhat = trend.copy()
 
-    resid = ys[train] - yhat[train]
-    sigma = float(np.std(resid, ddof=1)) if train.sum() > 1 else 0.0
-    out = pd.DataFrame(
+    resid = ys[tr] - yhat[tr]
+    sigma = float(np.std(resid, ddof=1)) if tr.sum() > 1 else 0.0
+    k = dz.yscale
+    p = dz.pdf
+    return pd.DataFrame(
         {
-            KEY: pdf[KEY],
-            "param_id": pdf["param_id"],
-            "date": pdf["date"],
-            "role": pdf["role"],
-            "actual": pdf["actual"],
-            "yhat": yhat * yscale,
-            "yhat_lower": (yhat - Z95 * sigma) * yscale,
-            "yhat_upper": (yhat + Z95 * sigma) * yscale,
-            "trend": trend * yscale,
-            "weekly": weekly * yscale,
-            "yearly": yearly * yscale,
-            "holidays": holidays * yscale,
+            KEY: p[KEY],
+            "param_id": p["param_id"] if "param_id" in p else 0,
+            "date": p["date"],
+            "role": p["role"],
+            "actual": p["actual"],
+            "yhat": yhat * k,
+            "yhat_lower": (yhat - Z95 * sigma) * k,
+            "yhat_upper": (yhat + Z95 * sigma) * k,
+            "trend": trend * k,
+            "weekly": weekly * k,
+            "yearly": yearly * k,
+            "holidays": holidays * k,
             "status": status,
         }
     )
-    return out
 
 
-def _group_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-    cps = float(pdf["changepoint_prior_scale"].iloc[0])
-    sps = float(pdf["seasonality_prior_scale"].iloc[0])
-    mode = str(pdf["seasonality_mode"].iloc[0])
-    return fit_decomposition(pdf, cps, sps, mode)
+def _grid_fn(param_rows: list[dict], keep: str | None):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        dz = Design(pdf)
+        outs = []
+        for prm in param_rows:
+            out = fit_decomposition(pdf, prm["changepoint_prior_scale"], prm["seasonality_prior_scale"], prm["seasonality_mode"], dz)
+            out["param_id"] = prm["param_id"]
+            outs.append(out if keep is None else out[out["role"] == keep])
+        return pd.concat(outs, ignore_index=True)
+
+    return fn
 
 
 def with_holidays(frame: DataFrame) -> DataFrame:
     """Attach the observed US holiday name (or NULL) to each date.
 
-    The holiday calendar is built for the years present (11 rows a year),
-    so broadcasting it is safe at any data size.
+    The calendar is generated lazily for the years present (11 rows per
+    year; one year's neighbours included so observed dates that cross a
+    year boundary are kept); its size is bounded by the year span, so
+    broadcasting it is safe at any data size.
     """
-    spark = frame.sparkSession
-    yrs = frame.agg(F.min(F.year("date")).alias("a"), F.max(F.year("date")).alias("b")).first()
-    hol = calendar.us_holidays(spark, int(yrs["a"]), int(yrs["b"])).groupBy(F.col("observed").alias("date")).agg(
-        F.min("holiday").alias("holiday")
-    )
+    years = frame.select(F.explode(F.array(F.year("date") - 1, F.year("date"), F.year("date") + 1)).alias("year")).distinct()
+    hol = calendar.holidays_for_years(years).groupBy(F.col("observed").alias("date")).agg(F.min("holiday").alias("holiday"))
     return frame.join(F.broadcast(hol), "date", "left")
 
 
-def decompose_frames(history: DataFrame, future: DataFrame, params: DataFrame, value: str = "sales") -> DataFrame:
+def decompose_frames(history: DataFrame, future: DataFrame, params: DataFrame, value: str = "sales", keep: str | None = None) -> DataFrame:
     """Fit every (series, parameter set) on ``history`` and predict the rows
-    of ``history`` and ``future`` (``series_key, date``).
+    of ``history`` and ``future`` (``series_key, date``); ``keep='future'``
+    returns the future rows only.
 
-    ``params`` is a parameter grid (``param_id, changepoint_prior_scale,
-    seasonality_prior_scale, seasonality_mode``); its size is fixed by the
-    caller, so it is broadcast in the cross join.
+    One group per series: its history is shuffled once and every parameter
+    set is fitted inside that task (the grid is a user-sized literal table,
+    read once on the driver and shipped with the function), so a 40-point
+    grid does not multiply the shuffled data by 40.
     """
     h = history.select(KEY, "date", F.col(value).cast("double").alias("actual"), F.lit("train").alias("role"))
     f = future.select(KEY, "date", F.lit(None).cast("double").alias("actual"), F.lit("future").alias("role"))
     frame = with_holidays(h.unionByName(f))
-    grid = frame.crossJoin(F.broadcast(params))
-    return grid.groupBy(KEY, "param_id").applyInPandas(_group_fn, OUT_SCHEMA)
+    param_rows = [r.asDict() for r in params.collect()]  # the grid itself: a few dozen rows
+    return frame.groupBy(KEY).applyInPandas(_grid_fn(param_rows, keep), OUT_SCHEMA)
 
 
 def decompose_forecast(daily: DataFrame, params: DataFrame, horizon: int = 90, value: str = "sales") -> DataFrame:
@@ -191,7 +221,7 @@ def grid_search(split: DataFrame, params: DataFrame, value: str = "sales") -> Da
     ``status``."""
     train = split.where(F.col("role") == "train").select(KEY, "date", value)
     test = split.where(F.col("role") == "test").select(KEY, "date", F.col(value).alias("_actual"))
-    pred = decompose_frames(train, test, params, value).where(F.col("role") == "future")
+    pred = decompose_frames(train, test, params, value, keep="future")
     scored = pred.drop("actual").join(test, [KEY, "date"]).withColumn("_p", F.greatest(F.col("yhat"), F.lit(0.0)))
     err = F.col("_p") - F.col("_actual")
     res = scored.groupBy(KEY, "param_id").agg(

@@ -28,9 +28,11 @@ def weights_frame(
     spark: SparkSession, weights: Mapping[str, float], bands: Mapping[str, tuple[float, float]] | None = None
 ) -> DataFrame:
     """``weights_join`` input: one row per model (a handful of rows)."""
+    from tidecast.session import literal_frame
+
     bands = bands or {}
     rows = [(m, float(w), *(bands.get(m, (None, None)))) for m, w in weights.items()]
-    return spark.createDataFrame(rows, "model string, weight double, band_lo double, band_hi double")
+    return literal_frame(spark, rows, "model string, weight double, band_lo double, band_hi double")
 
 
 def pick_stacked(long: DataFrame, priority: Sequence[str] = STACKED_PRIORITY, as_model: str = "stacking") -> DataFrame:

@@ -22,18 +22,18 @@ DEFAULT_GRID = {
 
 def param_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
     """``param_cross``: Cartesian product of the parameter lists, with a
-    0-based ``param_id`` in list order."""
-    out = None
-    for name, values in grid.items():
-        kind = "string" if all(isinstance(v, str) for v in values) else "double"
-        frame = spark.createDataFrame([(i, v if kind == "string" else float(v)) for i, v in enumerate(values)], f"_i_{name} int, {name} {kind}")
-        out = frame if out is None else out.crossJoin(frame)
-    order = [F.col(f"_i_{n}") for n in grid]
-    sizes = [len(v) for v in grid.values()]
-    pid = F.lit(0)
-    for col, size in zip(order, sizes):
-        pid = pid * size + col
-    return out.withColumn("param_id", pid.cast("int")).drop(*[f"_i_{n}" for n in grid])
+    0-based ``param_id`` in list order (last parameter varies fastest)."""
+    import itertools
+
+    from tidecast.session import literal_frame
+
+    names = list(grid)
+    kinds = ["string" if all(isinstance(v, str) for v in grid[n]) else "double" for n in names]
+    rows = []
+    for pid, combo in enumerate(itertools.product(*[grid[n] for n in names])):
+        rows.append(tuple(v if k == "string" else float(v) for v, k in zip(combo, kinds)) + (pid,))
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", param_id int"
+    return literal_frame(spark, rows, schema)
 
 
 def top_param_sets(results: DataFrame, by: str = "mae", k: int = 10, keys: Sequence[str] = ("series_key",)) -> DataFrame:

@@ -69,3 +69,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of literal rows (parameters, weights, categories).
+
+    Built as an inline array of structs over a one-row range, so it plans as
+    a local literal relation (no RDD scan, no Python round trip) and joins
+    or cross joins against it stay cheap.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*[F.col(f.name).cast(f.dataType) for f in st.fields])
