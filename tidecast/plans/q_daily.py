@@ -238,3 +238,49 @@ def q_standins(spark, d):
 @register("backtest_metrics", with_ctes("standin_metrics") + "SELECT * FROM standin_metrics", rnd=_MRND)
 def q_backtest_metrics(spark, d):
     return metrics.forecast_metrics(baselines.standin_forecasts(_split(spark, d)))
+
+
+# --------------------------------------------------------------- file sources and sinks
+def _roundtrip_csv(spark, d):
+    from tidecast.session import scratch_path
+    from tidecast.sources import forecasts
+
+    path = scratch_path(spark, "forecast-csv")
+    fc = baselines.standin_forecasts(_split(spark, d)).drop("actual")
+    forecasts.write_table(fc, path, fmt="csv")
+    return path
+
+
+@register("sink_csv", with_ctes("standin_long") + "SELECT series_key, model, date, yhat, lower, upper FROM standin_long", rnd=("yhat", "lower", "upper"))
+def q_sink_csv(spark, d):
+    from tidecast.sources import forecasts
+
+    return forecasts.load_forecasts(spark, _roundtrip_csv(spark, d), fmt="csv")
+
+
+@register(
+    "scan_forecast_csv",
+    with_ctes("standin_long") + "SELECT series_key, model, date, yhat, lower, upper FROM standin_long WHERE model IN ('last_week', 'trailing_28')",
+    rnd=("yhat", "lower", "upper"),
+)
+def q_scan_forecast_csv(spark, d):
+    from tidecast.sources import forecasts
+
+    return forecasts.load_forecasts(spark, _roundtrip_csv(spark, d), fmt="csv", models=["last_week", "trailing_28"])
+
+
+@register(
+    "scan_invoices_json",
+    with_ctes("invoices")
+    + "SELECT invoice_number, invoice_date, customer_no, CAST(amount AS DOUBLE) AS amount, series_key FROM invoices",
+)
+def q_scan_json(spark, d):
+    from tidecast.session import scratch_path
+
+    path = scratch_path(spark, "invoices-json")
+    raw = src.invoices_from_orders(spark, d).select(
+        *[F.col(c).cast("string").alias(c) for c in ("invoice_number", "invoice_date", "customer_no", "account_number", "customer_name", "amount", "invoice_type", "source", "series_key")]
+    )
+    raw.write.mode("overwrite").json(path)
+    inv = src.filter_invoices(src.clean(src.read_invoices(spark, path, series_col="series_key", json_array=False)))
+    return inv.select("invoice_number", "invoice_date", "customer_no", F.col("amount").cast("double").alias("amount"), "series_key")

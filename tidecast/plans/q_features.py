@@ -183,3 +183,38 @@ def q_full(spark, d):
 )
 def q_drop_incomplete(spark, d):
     return features.drop_incomplete(features.full_features(_daily(spark, d)))
+
+
+_RANGE_SQL = (
+    with_ctes("daily")
+    + "SELECT series_key, date, sales, rolling_max_7 - rolling_min_7 AS rolling_range_7, rolling_max_14 - rolling_min_14 AS rolling_range_14 FROM (\n"
+    + S.sql_select(S.sql_rolling((7, 14), ("min", "max")))
+    + "\n)"
+)
+
+
+@register("rolling_range", _RANGE_SQL)
+def q_range(spark, d):
+    df = _daily(spark, d).withColumns(features.rolling_columns("sales", (7, 14), ("min", "max")))
+    return df.withColumns({f"rolling_range_{w}": F.col(f"rolling_max_{w}") - F.col(f"rolling_min_{w}") for w in (7, 14)}).select(
+        *BASE, "rolling_range_7", "rolling_range_14"
+    )
+
+
+_CV_SQL = (
+    with_ctes("daily")
+    + "SELECT series_key, date, sales, rolling_std_7 / nullif(rolling_mean_7, 0) AS rolling_cv_7, rolling_std_14 / nullif(rolling_mean_14, 0) AS rolling_cv_14 FROM (\n"
+    + S.sql_select(S.sql_rolling((7, 14), ("mean", "std")))
+    + "\n)"
+)
+
+
+@register("rolling_cv", _CV_SQL, rnd=("rolling_cv_7", "rolling_cv_14"))
+def q_cv(spark, d):
+    df = _daily(spark, d).withColumns(features.rolling_columns("sales", (7, 14), ("mean", "std", "min", "max")))
+    return df.withColumns(features.derived_rolling((7, 14))).select(*BASE, "rolling_cv_7", "rolling_cv_14")
+
+
+@register("trend_index", _q({"trend_index": f"CAST(row_number() OVER ({S.W_KEY}) - 1 AS INTEGER)"}))
+def q_trend_index(spark, d):
+    return _daily(spark, d).withColumn("trend_index", features.trend_index())

@@ -86,3 +86,13 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)]) for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs))).select(*[F.col(f.name).cast(f.dataType) for f in st.fields])
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for intermediate
+    files (never a machine-local temp folder: on a cluster every executor
+    must see it)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/tidecast-scratch/{name}-{uuid.uuid4().hex}"

@@ -77,14 +77,17 @@ def invoices_from_orders(spark: SparkSession, sf_dir: str, series: str = "nation
     )
 
 
-def read_invoices(spark: SparkSession, path: str, series_col: str | None = None) -> DataFrame:
-    """``scan_invoices_json``: a JSON array (or JSON lines) of invoice records.
+def read_invoices(spark: SparkSession, path: str, series_col: str | None = None, json_array: bool = True) -> DataFrame:
+    """``scan_invoices_json``: files holding a JSON array of invoice records
+    (``json_array=True``) or JSON lines (``False``).
 
-    ``multiLine`` lets one file hold one JSON array; Spark splits work by
-    file, so a large history should be many files (or converted to parquet
-    once with :func:`tidecast.sources.forecasts.write_table`).
+    An array file is parsed whole (one task per file), so a large history
+    should be many files, or JSON lines, which Spark splits inside a file.
     """
-    raw = spark.read.schema(RAW_INVOICE_SCHEMA).option("multiLine", "true").json(path)
+    schema = RAW_INVOICE_SCHEMA
+    if series_col and series_col not in schema.fieldNames():
+        schema = T.StructType(schema.fields + [T.StructField(series_col, T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", "true" if json_array else "false").json(path)
     key = F.col(series_col) if series_col else F.lit(GLOBAL_SERIES)
     return raw.withColumn("series_key", key)
 
