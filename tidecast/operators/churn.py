@@ -66,9 +66,13 @@ def class_weights(df: DataFrame, label: str = "churn_label", mode: str = "balanc
     ``pos_weight`` on positives, 1 on negatives."""
     if mode == "positive":
         return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(pos_weight)).otherwise(F.lit(1.0)))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    n_class = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("weight", n / (2.0 * n_class))
+    # Class counts: a grouped aggregate (one row per class), joined back as
+    # a broadcast; no window without a partition key, so no single task
+    # ever sees every customer.
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    total = counts.agg(F.sum("_nc").alias("_n"))
+    per_class = counts.crossJoin(total).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("weight"))
+    return df.join(F.broadcast(per_class), label, "left")
 
 
 def standin_probability(feat: DataFrame, days: int = 365) -> DataFrame:

@@ -71,7 +71,7 @@ def full_backtest(
     ax = arx.seasonal_arx(train, test, (1, 0, 1), (0, 1, 1, 7), "weekday").where(F.col("role") == "future")
     preds.append(_long(ax.drop("actual").join(test, [KEY, "date"]), "seasonal_arx", "yhat", "lower", "upper"))
 
-    n_boost, n_rf, n_gb = (20, 10, 10) if fast else (200, 100, 100)
+    n_boost, n_rf, n_gb = (30, 50, 20) if fast else (200, 100, 100)
     boost = models.boosted_trees_reg(n_boost, 6, 0.05, 1.0, 1.0, 1)
     boost.name = "boosted_trees"
     rf = models.random_forest_reg(n_rf, 8, 1)

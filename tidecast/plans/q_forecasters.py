@@ -23,7 +23,9 @@ def q_recursive(spark, d):
     dd = _daily(spark, d).persist()
     m = features.drop_incomplete(features.xgb_features(dd)).persist()
     cols = features.feature_names(m)
-    fitted = models.fit_model(models.boosted_trees_reg(500, 6, 0.05, 0.8, 0.8, 3), m, cols)
+    from tidecast.plans.q_models import BOOST_ITER
+
+    fitted = models.fit_model(models.boosted_trees_reg(BOOST_ITER, 6, 0.05, 0.8, 0.8, 3), m, cols)
     return recursive.recursive_forecast(dd, {"boosted_trees": fitted}, cols, 30)
 
 
@@ -115,4 +117,4 @@ def q_holidays(spark, d):
 def q_backtest(spark, d):
     from tidecast.plans.backtest import full_backtest
 
-    return full_backtest(spark, d, series="nation", mode="one_step", fast=False)[1]
+    return full_backtest(spark, d, series="nation", mode="one_step", fast=True)[1]

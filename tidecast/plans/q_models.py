@@ -16,6 +16,13 @@ from tidecast.sources import invoices as src
 
 KEY = "series_key"
 
+# Ensemble sizes for these rows-only checks. The library defaults are the
+# reference sizes (random forest 200 trees, gradient boosting 200 and
+# boosted trees 500 iterations); Spark ML boosting runs a few jobs per
+# iteration, so the checks use smaller ensembles to keep the correctness run
+# short. Same code path, same depths and learning rates.
+RF_TREES, GBT_ITER, BOOST_ITER = 50, 20, 30
+
 
 def _matrix(spark, d, series="nation"):
     """Full 61-feature matrix with train / test role (30-day hold-out)."""
@@ -41,9 +48,9 @@ for _name, _spec in (
     ("ridge", lambda: models.ridge(1.0)),
     ("lasso", lambda: models.lasso(100.0)),
     ("elastic_net", lambda: models.elastic_net(100.0, 0.5)),
-    ("random_forest_reg", lambda: models.random_forest_reg(200, 10, 2)),
-    ("gbt_reg", lambda: models.gbt_reg(200, 5, 0.05, 0.8)),
-    ("boosted_trees_reg", lambda: models.boosted_trees_reg(500, 6, 0.05, 0.8, 0.8, 3)),
+    ("random_forest_reg", lambda: models.random_forest_reg(RF_TREES, 10, 2)),
+    ("gbt_reg", lambda: models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)),
+    ("boosted_trees_reg", lambda: models.boosted_trees_reg(BOOST_ITER, 6, 0.05, 0.8, 0.8, 3)),
     ("kernel_reg", lambda: models.kernel_reg(256)),
 ):
     register(_name)(lambda spark, d, _s=_spec: _fit_predict(spark, d, _s()))
@@ -53,7 +60,7 @@ for _name, _spec in (
 def q_stacking(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
-    bases, meta = models.stacking_fit([models.random_forest_reg(200, 10, 2), models.gbt_reg(200, 5, 0.05, 0.8)], models.ridge(1.0), train, cols, "sales", 3)
+    bases, meta = models.stacking_fit([models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)], models.ridge(1.0), train, cols, "sales", 3)
     p = models.stacking_predict(bases, meta, test)
     return p.select(KEY, F.lit("stacking").alias("model"), "date", F.col("sales").alias("actual"),
                     F.greatest(F.col("yhat"), F.lit(0.0)).alias("yhat"))
@@ -64,7 +71,7 @@ def q_voting(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
     long = None
-    for spec in (models.ridge(1.0), models.random_forest_reg(200, 10, 2), models.gbt_reg(200, 5, 0.05, 0.8)):
+    for spec in (models.ridge(1.0), models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)):
         p = models.predict_long(models.fit_model(spec, train, cols), test)
         long = p if long is None else long.unionByName(p)
     return models.voting(long)
@@ -81,14 +88,14 @@ def q_cv(spark, d):
 @register("feature_importance")
 def q_importance(spark, d):
     m, cols = _matrix(spark, d)
-    fitted = models.fit_model(models.random_forest_reg(200, 10, 2), m.where("role = 'train'"), cols)
+    fitted = models.fit_model(models.random_forest_reg(RF_TREES, 10, 2), m.where("role = 'train'"), cols)
     return models.feature_importance(fitted, spark)
 
 
 @register("top_features")
 def q_top_features(spark, d):
     m, cols = _matrix(spark, d)
-    fitted = models.fit_model(models.random_forest_reg(200, 10, 2), m.where("role = 'train'"), cols)
+    fitted = models.fit_model(models.random_forest_reg(RF_TREES, 10, 2), m.where("role = 'train'"), cols)
     return models.top_features(models.feature_importance(fitted, spark), 10)
 
 
@@ -111,9 +118,9 @@ def _clf(spark, d, spec, weights="balanced"):
 
 
 register("logistic")(lambda spark, d: _clf(spark, d, models.logistic(1.0)))
-register("random_forest_clf")(lambda spark, d: _clf(spark, d, models.random_forest_clf(200, 10)))
-register("gbt_clf")(lambda spark, d: _clf(spark, d, models.gbt_clf(200, 5, 0.05)))
-register("boosted_trees_clf")(lambda spark, d: _clf(spark, d, models.boosted_trees_clf(200, 5, 0.05, 3.0), "positive"))
+register("random_forest_clf")(lambda spark, d: _clf(spark, d, models.random_forest_clf(RF_TREES, 10)))
+register("gbt_clf")(lambda spark, d: _clf(spark, d, models.gbt_clf(GBT_ITER, 5, 0.05)))
+register("boosted_trees_clf")(lambda spark, d: _clf(spark, d, models.boosted_trees_clf(GBT_ITER, 5, 0.05, 3.0), "positive"))
 
 
 @register("stacking_clf")
@@ -122,7 +129,7 @@ def q_stacking_clf(spark, d):
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
     cols = list(customers.CHURN_FEATURES)
     bases, meta = models.stacking_fit(
-        [models.logistic(1.0), models.random_forest_clf(200, 10), models.gbt_clf(200, 5, 0.05)],
+        [models.logistic(1.0), models.random_forest_clf(RF_TREES, 10), models.gbt_clf(GBT_ITER, 5, 0.05)],
         models.logistic(1.0, balanced=False), train, cols, "churn_label", 3, order="customer_no",
     )
     p = models.stacking_predict(bases, meta, test, out="probability")
@@ -159,4 +166,4 @@ FROM custfeat, (SELECT quantile_cont(recency, 0.5) AS m_r, quantile_cont(recency
 )
 def q_scale(spark, d):
     f = customers.customer_features(src.prepared_invoices(spark, d, "nation", fill_zero=True)).select("customer_no", "recency", "monetary")
-    return models.ColumnScaler.fit(f, ["recency", "monetary"], "robust").transform(f)
+    return models.ColumnScaler.fit(f, ["recency", "monetary"], "robust", exact=True).transform(f)
