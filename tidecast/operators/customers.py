@@ -72,9 +72,15 @@ def customer_features(invoices: DataFrame, ref: dt.date | str | None = None) ->
     ``invoices`` must already be cleaned (amount coerced, NULL -> 0 for churn)
     and filtered to real invoices.
     """
-    cd = customer_days(invoices)
+    # The customer-day table feeds three branches that prune different
+    # columns (so Spark would not reuse one exchange): persist it once so
+    # the invoices are scanned and shuffled a single time. It is far smaller
+    # than the invoices (one row per customer and order day).
+    cd = customer_days(invoices).persist()
     # A one-row frame: its size is fixed, so broadcasting it is always safe.
-    refdf = F.broadcast(reference_date(invoices, ref))
+    # The last order day is read from the customer-day table, not the raw
+    # invoices (same value, no extra pass over the fact).
+    refdf = F.broadcast(reference_date(cd.withColumnRenamed("date", "invoice_date"), ref))
 
     d = F.col("date")
     r = F.col("ref_date")

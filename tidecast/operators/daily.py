@@ -52,6 +52,10 @@ def gap_fill(daily: DataFrame, key: str = KEY, fill_cols: tuple[str, ...] | None
     is one co-partitioned shuffle of a small table.
     """
     measures = fill_cols or tuple(c for c in daily.columns if c not in (key, "date"))
+    # The daily totals feed both the calendar bounds and the join; the two
+    # uses prune different columns, so without this the fact would be read
+    # twice. The table is bounded by keys x days, so caching it is cheap.
+    daily = daily.persist()
     cal = key_calendar(daily, key)
     joined = cal.join(daily, [key, "date"], "left")
     return joined.select(
