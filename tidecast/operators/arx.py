@@ -252,7 +252,31 @@ ADF_CRIT = {
     "10%": (-2.56677, -1.5384, -2.809, 0.0),
 }
 
-ADF_SCHEMA = "series_key string, adf_stat double, used_lag int, n_obs int, crit_1 double, crit_5 double, crit_10 double, is_stationary boolean"
+# MacKinnon (1994) approximate asymptotic p-value of the ADF
+# statistic, constant-only regression, one variable: bounds of the table,
+# the switch point, and polynomial coefficients (lowest power first) of the
+# normal quantile for small and large statistics.
+ADF_P_MAX, ADF_P_MIN, ADF_P_STAR = 2.74, -18.83, -1.61
+ADF_P_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+ADF_SCHEMA = (
+    "series_key string, adf_stat double, p_value double, used_lag int, n_obs int, "
+    "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean"
+)
+
+
+def adf_p_value(stat: float) -> float:
+    """Approximate p-value of an ADF statistic (constant, no trend)."""
+    if not math.isfinite(stat):
+        return float("nan")
+    if stat > ADF_P_MAX:
+        return 1.0
+    if stat < ADF_P_MIN:
+        return 0.0
+    coef = ADF_P_SMALL if stat <= ADF_P_STAR else ADF_P_LARGE
+    z = sum(c * stat**i for i, c in enumerate(coef))
+    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
 
 
 def adf_test(pdf: pd.DataFrame, value: str = "sales", max_lag: int | None = None) -> pd.DataFrame:
@@ -286,16 +310,18 @@ def adf_test(pdf: pd.DataFrame, value: str = "sales", max_lag: int | None = None
     cov = s2 * np.linalg.pinv(x.T @ x)
     stat = float(b[1] / math.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
     crit = {lv: c[0] + c[1] / nn + c[2] / nn**2 + c[3] / nn**3 for lv, c in ADF_CRIT.items()}
+    pval = adf_p_value(stat)
     return pd.DataFrame(
         {
             KEY: [pdf[KEY].iloc[0]],
             "adf_stat": [stat],
+            "p_value": [pval],
             "used_lag": [best],
             "n_obs": [nn],
             "crit_1": [crit["1%"]],
             "crit_5": [crit["5%"]],
             "crit_10": [crit["10%"]],
-            "is_stationary": [bool(stat < crit["5%"])],
+            "is_stationary": [bool(pval < 0.05)],
         }
     )
 
