@@ -61,3 +61,32 @@ def test_elastic_net_matches_coordinate_descent(data):
             z = xc[:, j] @ xc[:, j] / n
             w[j] = np.sign(rho) * max(abs(rho) - l1, 0.0) / (z + l2)
     assert np.allclose(_coef(models.elastic_net(alpha, mix), df, cols), w, rtol=1e-3, atol=1e-3)
+
+
+def test_logistic_matches_newton(spark):
+    from pyspark.sql import functions as F
+
+    from tidecast.operators import churn
+
+    rng = np.random.default_rng(1)
+    n = 300
+    x = rng.normal(size=(n, 3))
+    p = 1 / (1 + np.exp(-(x @ [1.5, -2.0, 0.5] - 1.0)))
+    y = (rng.uniform(size=n) < p).astype(int)
+    df = spark.createDataFrame([tuple(map(float, r)) + (int(t),) for r, t in zip(x, y)], "x0 double, x1 double, x2 double, churn_label int")
+    df = churn.class_weights(df, "churn_label", "balanced")
+    wts = np.where(y == 1, n / (2.0 * y.sum()), n / (2.0 * (n - y.sum())))
+    # Newton on: sum_i w_i logloss_i + (1 / 2C) ||beta||^2, intercept free (C = 1).
+    xa = np.hstack([np.ones((n, 1)), x])
+    b = np.zeros(4)
+    reg = np.diag([0.0, 1.0, 1.0, 1.0])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-(xa @ b)))
+        g = xa.T @ (wts * (mu - y)) + reg @ b
+        h = xa.T @ (xa * (wts * mu * (1 - mu))[:, None]) + reg
+        b -= np.linalg.solve(h, g)
+    spec = models.logistic(1.0)
+    spec.scaler = None
+    m = models.fit_model(spec, df, ["x0", "x1", "x2"], "churn_label").pipeline.stages[-1]
+    assert np.allclose(m.coefficients.toArray(), b[1:], rtol=1e-3, atol=1e-4)
+    assert abs(m.intercept - b[0]) < 1e-3
