@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import Row
-from pyspark.sql import functions as F
 
 from tidecast.operators import churn, customers, daily, ensemble, features, splits
 from tidecast.sources import invoices as src

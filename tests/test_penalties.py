@@ -64,8 +64,6 @@ def test_elastic_net_matches_coordinate_descent(data):
 
 
 def test_logistic_matches_newton(spark):
-    from pyspark.sql import functions as F
-
     from tidecast.operators import churn
 
     rng = np.random.default_rng(1)
