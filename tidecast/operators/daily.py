@@ -111,9 +111,13 @@ def holdout_split(daily: DataFrame, test_days: int = 30, key: str = KEY) -> Data
     already partitioned by key for the feature windows that follow)."""
     w = Window.partitionBy(key)
     cutoff = F.date_sub(F.max("date").over(w), test_days)
+    # Forecasters read the split several times (train and test branches of
+    # each model); it is bounded by keys x days, so persist it once instead
+    # of re-running the window in every branch.
     return (
         daily.withColumn("cutoff", cutoff)
         .withColumn("role", F.when(F.col("date") <= F.col("cutoff"), "train").otherwise("test"))
+        .persist()
     )
 
 
