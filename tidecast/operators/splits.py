@@ -23,17 +23,13 @@ def time_series_folds(df: DataFrame, k: int = 5, key: str = KEY, order: str = "d
     """
     w = Window.partitionBy(key).orderBy(order)
     ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    folds = df.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("fold"))
     ts = F.floor(F.col("_n") / (k + 1))
+    # A row belongs to fold f when rn <= n - (k - f) * ts, i.e. to every
+    # fold from first_fold to k: emit exactly those (no join).
+    first_fold = F.greatest(F.lit(1), F.ceil(F.lit(k) - (F.col("_n") - F.col("_rn")) / ts))
+    exploded = ranked.where(ts > 0).withColumn("fold", F.explode(F.sequence(first_fold.cast("int"), F.lit(k))))
     test_start = F.col("_n") - (k + 1 - F.col("fold")) * ts
-    test_end = F.col("_n") - (k - F.col("fold")) * ts
-    # ``folds`` has exactly k rows, so broadcasting it is always safe.
-    return (
-        ranked.crossJoin(F.broadcast(folds))
-        .where((F.col("_rn") <= test_end) & (ts > 0))
-        .withColumn("role", F.when(F.col("_rn") <= test_start, "train").otherwise("test"))
-        .drop("_rn", "_n")
-    )
+    return exploded.withColumn("role", F.when(F.col("_rn") <= test_start, "train").otherwise("test")).drop("_rn", "_n")
 
 
 def contiguous_folds(df: DataFrame, k: int = 3, key: str = KEY, order: str = "date") -> DataFrame:
