@@ -324,12 +324,32 @@ def voting(long: DataFrame, members: Sequence[str] = ("ridge", "random_forest",
     )
 
 
+def _parallel(tasks, parallelism: int):
+    """Run independent Spark ML fits from a thread pool (each fit submits its
+    own jobs; Spark schedules concurrent jobs from different threads), the
+    way ``CrossValidator(parallelism=...)`` does."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if parallelism <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
 def stacking_fit(
-    bases: Sequence[ModelSpec], meta: ModelSpec, train: DataFrame, features: Sequence[str], label: str = "sales", folds: int = 3, order: str = "date"
+    bases: Sequence[ModelSpec],
+    meta: ModelSpec,
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "sales",
+    folds: int = 3,
+    order: str = "date",
+    parallelism: int = 4,
 ) -> tuple[list[FittedModel], FittedModel]:
     """``stacking_reg`` / ``stacking_clf``: out-of-fold base predictions
-    from ``folds`` contiguous blocks (in ``order``) train the meta model;
-    the bases are then refitted on all rows.
+    from ``folds`` blocks train the meta model; the bases are then refitted
+    on all rows. The fold x base fits and the full refits are independent
+    and run ``parallelism`` at a time.
 
     Blocks are contiguous in ``order`` within each series (``ntile`` over a
     window partitioned by series); without a series column the rows form
@@ -344,19 +364,21 @@ def stacking_fit(
         # sort puts every row in one task.
         h = F.xxhash64(F.col(order).cast("string"), F.lit(SEED))
         tr = train.withColumn("_fold", (F.pmod(h, F.lit(folds)) + 1).cast("int"))
-    tr = tr.cache()
+    tr = tr.persist()
+    pairs = [(k, i) for k in range(1, folds + 1) for i in range(len(bases))]
+    tasks = [lambda k=k, i=i: fit_model(bases[i], tr.where(F.col("_fold") != k), features, label) for k, i in pairs]
+    tasks += [lambda b=b: fit_model(b, tr, features, label) for b in bases]
+    fitted = _parallel(tasks, parallelism)
+    by_fold = dict(zip(pairs, fitted[: len(pairs)]))
+    full = fitted[len(pairs) :]
     oof = None
     for k in range(1, folds + 1):
-        fit_part, hold = tr.where(F.col("_fold") != k), tr.where(F.col("_fold") == k)
-        block = hold
-        for b in bases:
-            fm = fit_model(b, fit_part, features, label)
-            block = fm.transform(block, out=f"_base_{b.name}")
+        block = tr.where(F.col("_fold") == k)
+        for i, b in enumerate(bases):
+            block = by_fold[(k, i)].transform(block, out=f"_base_{b.name}")
         oof = block if oof is None else oof.unionByName(block)
     meta_cols = [f"_base_{b.name}" for b in bases]
     meta_fit = fit_model(meta, oof, meta_cols, label)
-    full = [fit_model(b, tr, features, label) for b in bases]
-    tr.unpersist()
     return full, meta_fit
 
 
@@ -369,7 +391,8 @@ def stacking_predict(bases: Sequence[FittedModel], meta: FittedModel, df: DataFr
 
 # ---------------------------------------------------------------- cross-validation
 def cross_validate(
-    specs: Sequence[ModelSpec], folded: DataFrame, features: Sequence[str], label: str = "sales", metric: str = "reg"
+    specs: Sequence[ModelSpec], folded: DataFrame, features: Sequence[str], label: str = "sales", metric: str = "reg",
+    parallelism: int = 4,
 ) -> DataFrame:
     """``cross_validate``: fit every spec on every fold's train rows, score
     its test rows; returns per-(model, fold) metrics and is aggregated by
@@ -381,23 +404,23 @@ def cross_validate(
 
     folded = folded.persist()
     folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]  # k small ints
-    per_fold = []
-    for k in folds:
+
+    def one(k, s):
         tr = folded.where((F.col("fold") == k) & (F.col("role") == "train"))
         te = folded.where((F.col("fold") == k) & (F.col("role") == "test"))
-        for s in specs:
-            fm = fit_model(s, tr, features, label)
-            if metric == "reg":
-                p = predict_long(fm, te, label, floor=False).withColumn("fold", F.lit(k))
-                m = forecast_metrics(p, ("model", "fold")).join(r2(p, ("model", "fold")), ["model", "fold"])
-                per_fold.append(m.select("model", "fold", "mae", "rmse", "r2"))
-            else:
-                p = fm.transform(te, out="probability_1").select(
-                    F.lit(s.name).alias("model"), F.lit(k).alias("fold"),
-                    F.col("probability_1").alias("probability"), F.col(label).alias("label"),
-                )
-                m = auc_roc(p, ("model", "fold")).join(class_metrics(p, ("model", "fold")), ["model", "fold"])
-                per_fold.append(m.select("model", "fold", "auc", "f1", "precision", "recall"))
+        fm = fit_model(s, tr, features, label)
+        if metric == "reg":
+            p = predict_long(fm, te, label, floor=False).withColumn("fold", F.lit(k))
+            m = forecast_metrics(p, ("model", "fold")).join(r2(p, ("model", "fold")), ["model", "fold"])
+            return m.select("model", "fold", "mae", "rmse", "r2")
+        p = fm.transform(te, out="probability_1").select(
+            F.lit(s.name).alias("model"), F.lit(k).alias("fold"),
+            F.col("probability_1").alias("probability"), F.col(label).alias("label"),
+        )
+        m = auc_roc(p, ("model", "fold")).join(class_metrics(p, ("model", "fold")), ["model", "fold"])
+        return m.select("model", "fold", "auc", "f1", "precision", "recall")
+
+    per_fold = _parallel([lambda k=k, s=s: one(k, s) for k in folds for s in specs], parallelism)
     out = per_fold[0]
     for m in per_fold[1:]:
         out = out.unionByName(m)
