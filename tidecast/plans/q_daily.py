@@ -284,3 +284,20 @@ def q_scan_json(spark, d):
     raw.write.mode("overwrite").json(path)
     inv = src.filter_invoices(src.clean(src.read_invoices(spark, path, series_col="series_key", json_array=False)))
     return inv.select("invoice_number", "invoice_date", "customer_no", F.col("amount").cast("double").alias("amount"), "series_key")
+
+
+# --------------------------------------------------------------- other series keys
+@register(
+    "daily_sales_by_segment",
+    with_ctes("invoices_segment")
+    + """SELECT series_key, invoice_date AS date, CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS sales,
+       COUNT(invoice_number) AS invoice_count, COUNT(DISTINCT customer_no) AS customer_count
+FROM invoices_segment GROUP BY series_key, invoice_date""",
+)
+def q_daily_segment(spark, d):
+    return daily.daily_sales(_inv(spark, d, "segment"))
+
+
+@register("gap_fill_all", with_ctes("daily_all") + "SELECT * FROM daily_all")
+def q_gap_fill_all(spark, d):
+    return _daily(spark, d, "all")

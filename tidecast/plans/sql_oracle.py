@@ -364,3 +364,6 @@ cte(
 FROM ens_long JOIN ens_weights USING (model) GROUP BY series_key, date""",
     ("ens_long", "ens_weights"),
 )
+
+
+cte("invoices_segment", invoices_cte("segment"))
