@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from tidecast.llm import (
+    op2_token_records,
     op3_quality_rules,
     op4_golay_simhash,
+    op7_entropy_mix,
     op9_decontaminate,
+    op10_extendible_shards,
 )
 
 QUERIES = {
+    "op2_token_records": op2_token_records.query,
     "op3_quality_rules": op3_quality_rules.query,
     "op4_golay_simhash": op4_golay_simhash.query,
+    "op7_entropy_mix": op7_entropy_mix.query,
     "op9_decontaminate": op9_decontaminate.query,
+    "op10_extendible_shards": op10_extendible_shards.query,
 }
 
 #: Queries without an entry (4, 5 and others) are tested by brute force.
 ORACLE = {
     "op3_quality_rules": op3_quality_rules.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
+    "op10_extendible_shards": op10_extendible_shards.SQL,
 }
