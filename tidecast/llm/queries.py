@@ -6,7 +6,9 @@ from tidecast.llm import (
     op2_token_records,
     op3_quality_rules,
     op4_golay_simhash,
+    op5_url_filter,
     op7_entropy_mix,
+    op8_chat_masks,
     op9_decontaminate,
     op10_extendible_shards,
 )
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_token_records": op2_token_records.query,
     "op3_quality_rules": op3_quality_rules.query,
     "op4_golay_simhash": op4_golay_simhash.query,
+    "op5_url_filter": op5_url_filter.query,
     "op7_entropy_mix": op7_entropy_mix.query,
+    "op8_chat_masks": op8_chat_masks.query,
     "op9_decontaminate": op9_decontaminate.query,
     "op10_extendible_shards": op10_extendible_shards.query,
 }
@@ -23,6 +27,7 @@ QUERIES = {
 #: Queries without an entry (4, 5 and others) are tested by brute force.
 ORACLE = {
     "op3_quality_rules": op3_quality_rules.SQL,
+    "op8_chat_masks": op8_chat_masks.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
     "op10_extendible_shards": op10_extendible_shards.SQL,
 }
