@@ -5,7 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecast.llm import op3_quality_rules, op4_golay_simhash, op9_decontaminate
+from tidecast.llm import (
+    op3_quality_rules,
+    op4_golay_simhash,
+    op7_entropy_mix,
+    op9_decontaminate,
+    op10_extendible_shards,
+)
 from tidecast.llm.common import table
 
 
@@ -24,10 +30,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return op9_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return op7_entropy_mix.mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and its size."""
+    return op10_extendible_shards.shards(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
 
 #: SimHash components, tilted rates and shards have no SQL twin here; the
