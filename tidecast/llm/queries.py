@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidecast.llm import (
+    op1_cotraining,
     op2_token_records,
     op3_quality_rules,
     op4_golay_simhash,
@@ -14,6 +15,7 @@ from tidecast.llm import (
 )
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining.query,
     "op2_token_records": op2_token_records.query,
     "op3_quality_rules": op3_quality_rules.query,
     "op4_golay_simhash": op4_golay_simhash.query,
