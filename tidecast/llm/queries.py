@@ -8,6 +8,7 @@ from tidecast.llm import (
     op3_quality_rules,
     op4_golay_simhash,
     op5_url_filter,
+    op6_repeated_substrings,
     op7_entropy_mix,
     op8_chat_masks,
     op9_decontaminate,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules.query,
     "op4_golay_simhash": op4_golay_simhash.query,
     "op5_url_filter": op5_url_filter.query,
+    "op6_repeated_substrings": op6_repeated_substrings.query,
     "op7_entropy_mix": op7_entropy_mix.query,
     "op8_chat_masks": op8_chat_masks.query,
     "op9_decontaminate": op9_decontaminate.query,
