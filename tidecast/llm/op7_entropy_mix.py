@@ -77,8 +77,8 @@ def solve(cells: DataFrame, sources: DataFrame, steps: int = 80) -> DataFrame:
     """``sources`` with the tilt ``lam`` that meets each token constraint."""
     log_most = F.log(F.lit(float(MOST_COPIES)))
     z = F.sqrt(F.col("size") / F.col("mean"))
-    ratio = F.col("target") / F.col("source_size")
-    state = sources.withColumn("mean", F.greatest(F.col("source_size") / F.col("positive"), F.lit(1.0)))
+    ratio = F.try_divide("target", "source_size")
+    state = sources.withColumn("mean", F.greatest(F.try_divide("source_size", "positive"), F.lit(1.0)))
     state = state.withColumn("mean", F.coalesce("mean", F.lit(1.0)))
     least_z = F.sqrt(F.greatest(F.coalesce("least", F.lit(1)), F.lit(1)) / F.col("mean"))
     state = (
@@ -103,7 +103,7 @@ def solve(cells: DataFrame, sources: DataFrame, steps: int = 80) -> DataFrame:
             )
         )
         gap = F.col("taken") - F.col("target")
-        newton = F.col("lam") - gap / F.col("slope")
+        newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
