@@ -29,6 +29,7 @@ an empty table gives no records; extra columns are not written.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,8 +43,10 @@ from pyspark.sql import Window
 from tidecast.llm.common import col, table
 
 END_ID = 2
-#: Encoded chunks that a worker keeps.
-CACHE_CHUNKS = 400_000
+#: Encoded chunks in each of a worker's two generations.
+CACHE_CHUNKS = 250_000
+#: Documents encoded at a time.
+LOT = 200
 #: Fixed value: the constant of the masked checksum of TFRecord files.
 MASK_DELTA = 0xA282EAD8
 
@@ -75,6 +78,8 @@ class Encoder:
     """Whole texts to little-endian id bytes, through a table of chunks."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS) -> None:
+        # Tasks already use every core; threads of one worker only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,6 +95,7 @@ class Encoder:
             self.leads[i] = token.startswith("Ġ")
         self.heads: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -97,10 +103,14 @@ class Encoder:
 
     def _learn(self, wanted: set[str]) -> None:
         if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        new = []
+            # Chunks in use come back from the older generation.
+            self.older, self.chunks = self.chunks, {}
+        new, older = [], self.older.get
         for c in wanted.difference(self.chunks):
-            if not c or c[0].isspace() or c[0] == "᠎":
+            ids = older(c, 0)
+            if ids != 0:
+                self.chunks[c] = ids
+            elif not c or c[0].isspace() or c[0] == "\u180e":
                 self.chunks[c] = None  # white space after a space
             else:
                 new.append(c)
@@ -120,7 +130,7 @@ class Encoder:
         if not self.by_chunk:
             return self.whole(texts)
         split = [t.split(" ") for t in texts]
-        self._learn({c for s in split for c in s[1:]})
+        self._learn(set().union(*split))
         if len(self.heads) > self.limit:
             self.heads.clear()
         new = list({s[0] for s in split}.difference(self.heads))
@@ -166,8 +176,8 @@ def write_records(
                 store.create_dir(path, recursive=True)
                 file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec"
                 out = store.open_output_stream(f"{path}/{file}")
-            for at in range(0, batch.num_rows, 500):
-                ids_, texts = (batch.column(i).slice(at, 500).to_pylist() for i in (0, 1))
+            for at in range(0, batch.num_rows, LOT):
+                ids_, texts = (batch.column(i).slice(at, LOT).to_pylist() for i in (0, 1))
                 index = []
                 for i, ids in zip(ids_, encoder.encode(texts)):
                     payload = width + ids + end
@@ -204,8 +214,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         store, path = _store(f"{folder}/records")
         name = opened = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, LOT):
+                part = batch.slice(at, LOT)
                 ids = []
                 for file, offset, length in zip(*[part.column(i).to_pylist() for i in range(3)]):
                     if file != name:
