@@ -136,3 +136,99 @@ def test_published_arithmetic(spark):
     w = ensemble.weights_frame(spark, ensemble.DEFAULT_WEIGHTS, ensemble.DEFAULT_BANDS)
     e = ensemble.weighted_ensemble(long, w).first().ensemble
     assert e == pytest.approx(150010.41, abs=0.01)
+
+
+def _arx_frame(y, n_train, start="2022-01-03"):
+    import numpy as np
+    import pandas as pd
+
+    dates = pd.date_range(start, periods=len(y))
+    x = {f"wd{i}": (dates.weekday == i).astype(float) for i in range(6)}
+    x |= {f"m{m}": (dates.month == m).astype(float) for m in range(1, 12)} | {"month_end": dates.is_month_end.astype(float)}
+    known = [*y[:n_train], *[np.nan] * (len(y) - n_train)]
+    role = ["train"] * n_train + ["future"] * (len(y) - n_train)
+    return pd.DataFrame({"series_key": "A", "date": dates.date, "role": role, "actual": known, **x}), list(x)
+
+
+def test_arx_forecasts_scale_with_units_and_keep_flag_effects():
+    import numpy as np
+    import pandas as pd
+
+    from tidecast.operators.arx import fit_arx
+
+    dates = pd.date_range("2022-01-03", periods=760)
+    y = 100_000 + np.random.default_rng(0).normal(0, 4000, 760) + 60_000 * dates.is_month_end
+    got = []
+    for unit in (1.0, 1e-5):
+        frame, names = _arx_frame(y * unit, 745)
+        got.append(fit_arx(frame, (1, 1, 1), (1, 1, 1, 7), names)["yhat"].to_numpy()[745:] / unit)
+    assert np.allclose(got[0], got[1], rtol=1e-6)
+    last = np.asarray(dates.is_month_end)[745:]
+    assert abs(got[0][last][0] - 160_000) < 10_000 and abs(got[0][~last] - 100_000).max() < 15_000
+
+
+def test_arx_uses_all_orders_and_differences():
+    import numpy as np
+
+    from tidecast.operators.arx import _lags, fit_arx
+
+    assert _lags(3, 2, 7) == [1, 2, 3, 7, 8, 9, 10, 14, 15, 16, 17] and _lags(0, 1, 7) == [7]
+    y = np.cumsum(np.cumsum(np.full(300, 0.5))) + 10
+    frame, _ = _arx_frame(y, 290)
+    out = fit_arx(frame, (1, 2, 1), (0, 0, 0, 7), [])
+    assert np.allclose(out["yhat"].to_numpy()[290:], y[290:], rtol=1e-3)
+
+
+def test_adf_returns_a_row_for_short_series(spark):
+    import datetime as dt
+
+    from tidecast.operators.arx import stationarity_test
+
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i * i % 7)) for k, n in (("a", 1), ("b", 3), ("c", 60)) for i in range(n)]
+    got = {r.series_key: r.status for r in stationarity_test(spark.createDataFrame(rows, "series_key string, date date, sales double")).collect()}
+    assert got == {"a": "too_short", "b": "too_short", "c": "ok"}
+
+
+def test_recursion_keeps_history_of_short_series(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidecast.operators.recursive import recursive_forecast
+
+    class Sum:
+        def transform(self, df, out):
+            return df.withColumn(out, F.col("lag_1") + F.col("lag_3"))
+
+    rows = [("s", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i + 1)) for i in range(10)]
+    daily = spark.createDataFrame(rows, "series_key string, date date, sales double")
+    got = [r.yhat for r in recursive_forecast(daily, {"m": Sum()}, ["lag_1", "lag_3"], 4).orderBy("step").collect()]
+    assert got == [18.0, 27.0, 37.0, 55.0]
+
+
+def test_grid_scales_matter_for_a_level_shift():
+    import numpy as np
+    import pandas as pd
+
+    from tidecast.operators.decompose import fit_decomposition
+
+    dates = pd.date_range("2022-01-03", periods=430)
+    y = np.where(np.arange(430) < 200, 50_000.0, 90_000.0) + np.random.default_rng(1).normal(0, 1000, 430)
+    frame = pd.DataFrame({"series_key": "A", "date": dates.date, "role": ["train"] * 400 + ["future"] * 30, "actual": [*y[:400], *[np.nan] * 30], "holiday": None})
+    errors = [abs(fit_decomposition(frame, s, 1.0, "additive")["yhat"].to_numpy()[400:] - y[400:]).mean() for s in (0.0001, 0.1)]
+    assert errors[1] < errors[0]
+    out = fit_decomposition(frame.assign(actual=frame["actual"] * 0 + 1.0), 0.05, 1.0, "additive")
+    assert (out["yhat"] >= 0).all() and (out["yhat_lower"] >= 0).all()
+
+
+def test_stream_replay_of_an_epoch_counts_once(spark, tmp_path):
+    from tidecast.sources.invoices import RAW_INVOICE_SCHEMA
+    from tidecast.streaming.daily_refresh import refresh_batch
+
+    names = RAW_INVOICE_SCHEMA.names
+    row = {"invoice_number": "1", "invoice_date": "2024-01-02", "customer_no": "7", "amount": "10.00", "invoice_type": "IN"}
+    batch = spark.createDataFrame([tuple(row.get(n) for n in names) + ("ALL",)], ", ".join(f"{n} string" for n in [*names, "series_key"]))
+    for _ in range(2):
+        refresh_batch(batch, f"{tmp_path}/store", f"{tmp_path}/daily", 3)
+    got = spark.read.parquet(f"{tmp_path}/daily").collect()
+    assert [(float(r.sales), r.invoice_count) for r in got] == [(10.0, 1)]

@@ -7,8 +7,9 @@ Hannan-Rissanen two-stage method (not maximum likelihood):
 2. a long autoregression on the differenced series gives residual
    estimates e_hat;
 3. one least-squares fit of w_t on the differenced regressors, the AR lags
-   of w and the MA lags of e_hat (lags {1}, {s}, {s+1} as the orders ask),
-   with a small ridge because calendar regressors are collinear;
+   of w and the MA lags of e_hat (all lags of the products of the plain and
+   seasonal polynomials), with a small ridge on standardised columns because
+   calendar regressors are collinear, so forecasts scale with the units;
 4. forecasts run the fitted ARMA forward (future shocks 0) and integrate
    back; the 95 % band is +-1.96 sigma sqrt(sum psi_j^2) from the psi
    weights of the full integrated model.
@@ -32,6 +33,8 @@ from tidecast.functions import calendar
 
 KEY = "series_key"
 Z95 = 1.959963984540054
+#: Largest modulus of a root of the fitted AR recursion.
+MAX_ROOT = 0.995
 
 ARX_SCHEMA = (
     "series_key string, date date, role string, actual double, yhat double, lower double, upper double, "
@@ -54,13 +57,35 @@ def _diff(x: np.ndarray, d: int, dd: int, s: int) -> np.ndarray:
 
 
 def _lags(p: int, big_p: int, s: int) -> list[int]:
-    out = []
-    if p:
-        out.append(1)
-    if big_p:
-        out.append(s)
-    if p and big_p:
-        out.append(s + 1)
+    """Lags of the product of a polynomial with lags 1..p and a seasonal one
+    with lags s..big_p*s, each lag once."""
+    return sorted({i + j * s for i in range(p + 1) for j in range(big_p + 1)} - {0})
+
+
+def _stabilising(ar: dict[int, float]) -> np.ndarray:
+    """Factors for the AR coefficients that bring the recursion's largest
+    root back to MAX_ROOT (each is its lag's power of one shrinkage); ones
+    for a stationary fit."""
+    if not ar:
+        return np.ones(0)
+    poly = np.zeros(max(ar) + 1)
+    poly[0] = 1.0
+    for lag, c in ar.items():
+        poly[lag] = -c
+    largest = float(np.abs(np.roots(poly)).max(initial=0.0))
+    shrink = min(1.0, MAX_ROOT / largest) if largest > 0 else 1.0
+    return np.array([shrink**lag for lag in ar])
+
+
+def _difference_polynomial(d: int, dd: int, s: int) -> np.ndarray:
+    """Coefficients of (1 - B)^d (1 - B^s)^dd by power of B."""
+    out = np.ones(1)
+    for _ in range(d):
+        out = np.convolve(out, [1.0, -1.0])
+    seasonal = np.zeros(s + 1)
+    seasonal[0], seasonal[s] = 1.0, -1.0
+    for _ in range(dd):
+        out = np.convolve(out, seasonal)
     return out
 
 
@@ -82,6 +107,7 @@ def _psi(ar: dict[int, float], ma: dict[int, float], d: int, dd: int, s: int, h:
         seas = np.zeros(s + 1)
         seas[0], seas[s] = 1.0, -1.0
         phi = _poly_mul(phi, seas)[:size]
+    phi = np.concatenate([phi, np.zeros(size - len(phi))])
     theta = np.zeros(size)
     theta[0] = 1.0
     for lag, c in ma.items():
@@ -96,7 +122,8 @@ def _psi(ar: dict[int, float], ma: dict[int, float], d: int, dd: int, s: int, h:
     return psi[:h]
 
 
-def fit_arx(pdf: pd.DataFrame, order=(1, 1, 1), seasonal_order=(1, 1, 1, 7), exog: list[str] | None = None, ridge: float = 1e-6) -> pd.DataFrame:
+def fit_arx(pdf: pd.DataFrame, order=(1, 1, 1), seasonal_order=(1, 1, 1, 7), exog: list[str] | None = None, ridge: float = 1e-6,
+            long_ar: int | None = None) -> pd.DataFrame:
     pdf = pdf.sort_values("date").reset_index(drop=True)
     train = pdf["role"].eq("train").to_numpy()
     p, d, q = order
@@ -111,7 +138,8 @@ def fit_arx(pdf: pd.DataFrame, order=(1, 1, 1), seasonal_order=(1, 1, 1, 7), exo
         w = _diff(yt, d, dd, s)
         xw = _diff(x_all[:n_tr], d, dd, s) if x_all.shape[1] else np.zeros((len(w), 0))
         # Stage 1: long autoregression for shock estimates.
-        m = min(max(2 * s + 2, 20), max(len(w) // 4, 1))
+        # Its order is a parameter; short series allow a quarter of their rows.
+        m = min(long_ar if long_ar is not None else max(2 * s + 2, 20), max(len(w) // 4, 1))
         rows = np.arange(m, len(w))
         z1 = np.column_stack([np.ones(len(rows))] + [w[rows - k] for k in range(1, m + 1)] + ([xw[rows]] if xw.shape[1] else []))
         b1 = np.linalg.lstsq(z1, w[rows], rcond=None)[0]
@@ -122,8 +150,18 @@ def fit_arx(pdf: pd.DataFrame, order=(1, 1, 1), seasonal_order=(1, 1, 1, 7), exo
         rows2 = np.arange(start, len(w))
         cols = [w[rows2 - k] for k in ar_lags] + [e[rows2 - k] for k in ma_lags]
         z2 = np.column_stack([np.ones(len(rows2))] + cols + ([xw[rows2]] if xw.shape[1] else []))
-        a = z2.T @ z2 + ridge * np.trace(z2.T @ z2) / z2.shape[1] * np.eye(z2.shape[1])
-        b2 = np.linalg.solve(a, z2.T @ w[rows2])
+        # Each column is penalised by its own size: no unit of one column
+        # (sales against 0/1 flags) decides how much another is shrunk.
+        size = np.sqrt((z2**2).sum(axis=0))
+        # Shocks far below the series (a perfect long autoregression leaves
+        # rounding errors) count by the series' size: they explain nothing.
+        shocks = slice(1 + len(ar_lags), 1 + len(ar_lags) + len(ma_lags))
+        size[shocks] = np.maximum(size[shocks], 0.01 * np.sqrt((w[rows2] ** 2).sum()))
+        size[size == 0] = 1.0
+        zs = z2 / size
+        b2 = np.linalg.solve(zs.T @ zs + ridge * np.eye(zs.shape[1]), zs.T @ w[rows2]) / size
+        b2[1 : 1 + len(ar_lags)] *= _stabilising(dict(zip(ar_lags, b2[1 : 1 + len(ar_lags)])))
+        b2[0] += float(np.mean(w[rows2] - z2 @ b2))
         resid2 = w[rows2] - z2 @ b2
         c0 = b2[0]
         ar = dict(zip(ar_lags, b2[1 : 1 + len(ar_lags)]))
@@ -158,18 +196,12 @@ def fit_arx(pdf: pd.DataFrame, order=(1, 1, 1), seasonal_order=(1, 1, 1, 7), exo
             e_ext.append(0.0)
         # Integrate: undo seasonal then regular differencing.
         y_ext = list(yt)
+        undo = [(lag, c) for lag, c in enumerate(_difference_polynomial(d, dd, s)) if c]
         for i in range(h):
             t = n_tr + i
             wv = w_ext[len(w) + i]
-            if d == 1 and dd == 1:
-                val = wv + y_ext[t - 1] + y_ext[t - s] - y_ext[t - s - 1]
-            elif dd == 1:
-                val = wv + y_ext[t - s]
-            elif d == 1:
-                val = wv + y_ext[t - 1]
-            else:
-                val = wv
-            y_ext.append(val)
+            # y_t = w_t - sum of the differencing polynomial's other terms.
+            y_ext.append(wv - sum(c * y_ext[t - lag] for lag, c in undo if lag))
         fc = np.array(y_ext[n_tr:])
         psi = _psi(ar, ma, d, dd, s, max(h, 1))
         se = np.sqrt(sigma2 * np.cumsum(psi**2))[:h]
@@ -262,7 +294,7 @@ ADF_P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 ADF_SCHEMA = (
     "series_key string, adf_stat double, p_value double, used_lag int, n_obs int, "
-    "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean"
+    "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean, status string"
 )
 
 
@@ -287,6 +319,9 @@ def adf_test(pdf: pd.DataFrame, value: str = "sales", max_lag: int | None = None
     maxlag = int(math.ceil(12 * (n / 100) ** 0.25)) if max_lag is None else max_lag
     maxlag = max(0, min(maxlag, n // 2 - 2))
     dy = np.diff(y)
+    # Three observations cannot fit a constant and a slope with an error left.
+    if n < 5:
+        return _adf_row(pdf, float("nan"), float("nan"), 0, max(n - 1, 0), {}, "too_short")
 
     def design(lag: int, start: int):
         rows = np.arange(start, len(dy))
@@ -311,19 +346,13 @@ def adf_test(pdf: pd.DataFrame, value: str = "sales", max_lag: int | None = None
     stat = float(b[1] / math.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
     crit = {lv: c[0] + c[1] / nn + c[2] / nn**2 + c[3] / nn**3 for lv, c in ADF_CRIT.items()}
     pval = adf_p_value(stat)
-    return pd.DataFrame(
-        {
-            KEY: [pdf[KEY].iloc[0]],
-            "adf_stat": [stat],
-            "p_value": [pval],
-            "used_lag": [best],
-            "n_obs": [nn],
-            "crit_1": [crit["1%"]],
-            "crit_5": [crit["5%"]],
-            "crit_10": [crit["10%"]],
-            "is_stationary": [bool(pval < 0.05)],
-        }
-    )
+    return _adf_row(pdf, stat, pval, best, nn, crit, "ok")
+
+
+def _adf_row(pdf: pd.DataFrame, stat: float, pval: float, lag: int, n_obs: int, crit: dict, status: str) -> pd.DataFrame:
+    levels = {f"crit_{lv[:-1]}": [crit.get(lv, float("nan"))] for lv in ADF_CRIT}
+    row = {KEY: [pdf[KEY].iloc[0]], "adf_stat": [stat], "p_value": [pval], "used_lag": [lag], "n_obs": [n_obs], **levels}
+    return pd.DataFrame({**row, "is_stationary": [bool(pval < 0.05)], "status": [status]})
 
 
 def stationarity_test(daily: DataFrame, value: str = "sales") -> DataFrame:

@@ -43,6 +43,7 @@ YEARLY_ORDER, YEARLY_PERIOD = 10, 365.25
 WEEKLY_ORDER, WEEKLY_PERIOD = 3, 7.0
 SLOPE_SCALE = 5.0
 HOLIDAY_SCALE = 10.0
+NOISE_STEPS = 6
 Z95 = 1.959963984540054
 
 HOLIDAY_NAMES = tuple(h[0] for h in calendar.FIXED_HOLIDAYS) + tuple(h[0] for h in calendar.FLOATING_HOLIDAYS)
@@ -58,14 +59,20 @@ def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.hstack([np.sin(x), np.cos(x)])
 
 
-def _solve(gram: np.ndarray, rhs: np.ndarray, scale: np.ndarray, free: int) -> np.ndarray:
-    """Ridge solve on columns scaled by ``scale`` (prior scales), from a
-    precomputed Gram matrix: (D G D + P) b = D X'y, unit penalty except on
-    the first ``free`` columns. Returns coefficients for the scaled columns."""
-    pen = np.ones(len(scale))
-    pen[:free] = 1e-9
-    a = gram * np.outer(scale, scale) + np.diag(pen)
-    return np.linalg.solve(a, rhs * scale)
+def _solve(gram: np.ndarray, rhs: np.ndarray, scale: np.ndarray, free: int, yy: float, n: int) -> np.ndarray:
+    """Posterior mode on columns scaled by ``scale`` (prior scales), from a
+    precomputed Gram matrix: (D G D + v P) b = D X'y with the residual
+    variance v as the penalty's weight (except on the first ``free``
+    columns), found by a few fixed-point steps. Returns coefficients for the
+    scaled columns."""
+    g, r = gram * np.outer(scale, scale), rhs * scale
+    v = max(yy / max(n, 1), 1e-12)
+    for _ in range(NOISE_STEPS):
+        pen = np.full(len(scale), v)
+        pen[:free] = 1e-9
+        b = np.linalg.solve(g + np.diag(pen), r)
+        v = max(float(yy - 2 * b @ r + b @ g @ b) / max(n, 1), 1e-12)
+    return b
 
 
 class Design:
@@ -111,11 +118,12 @@ def fit_decomposition(pdf: pd.DataFrame, cps: float, sps: float, mode: str, desi
     tr, ys = dz.train, dz.ys
     tscale, sscale = dz.scales(cps, sps)
     ny, nw, nt = dz.ny, dz.nw, dz.nt
+    yy, n = float(ys[tr] @ ys[tr]), int(tr.sum())
     status = "ok"
     try:
         if mode == "additive":
             scale = np.concatenate([tscale, sscale])
-            beta = _solve(dz.gram_all, dz.rhs_all, scale, 1)
+            beta = _solve(dz.gram_all, dz.rhs_all, scale, 1, yy, n)
             parts = dz.x * (beta * scale)
             trend = parts[:, :nt].sum(1)
             yearly = parts[:, nt : nt + ny].sum(1)
@@ -123,13 +131,13 @@ def fit_decomposition(pdf: pd.DataFrame, cps: float, sps: float, mode: str, desi
             holidays = parts[:, nt + ny + nw :].sum(1)
             yhat = trend + yearly + weekly + holidays
         else:
-            tb = _solve(dz.gram_trend, dz.rhs_trend, tscale, 1)
+            tb = _solve(dz.gram_trend, dz.rhs_trend, tscale, 1, yy, n)
             trend = dz.trend_x @ (tb * tscale)
             nz = np.abs(trend) > 1e-9
             ok = tr & nz
             ratio = np.where(nz, ys / np.where(nz, trend, 1.0) - 1, 0.0)
             sx = dz.seas_x[ok]
-            sb = _solve(sx.T @ sx, sx.T @ ratio[ok], sscale, 0) if ok.any() else np.zeros(dz.seas_x.shape[1])
+            sb = _solve(sx.T @ sx, sx.T @ ratio[ok], sscale, 0, float(ratio[ok] @ ratio[ok]), int(ok.sum())) if ok.any() else np.zeros(dz.seas_x.shape[1])
             parts = dz.seas_x * (sb * sscale)
             yearly, weekly, holidays = parts[:, :ny].sum(1), parts[:, ny : ny + nw].sum(1), parts[:, ny + nw :].sum(1)
             yhat = trend * (1 + yearly + weekly + holidays)
@@ -152,8 +160,8 @@ def fit_decomposition(pdf: pd.DataFrame, cps: float, sps: float, mode: str, desi
             "date": p["date"],
             "role": p["role"],
             "actual": p["actual"],
-            "yhat": yhat * k,
-            "yhat_lower": (yhat - Z95 * sigma) * k,
+            "yhat": np.maximum(yhat * k, 0.0),
+            "yhat_lower": np.maximum((yhat - Z95 * sigma) * k, 0.0),
             "yhat_upper": (yhat + Z95 * sigma) * k,
             "trend": trend * k,
             "weekly": weekly * k,

@@ -38,16 +38,10 @@ def forecast_metrics(pred: DataFrame, keys: Sequence[str] = (KEY, "model")) -> D
 
 def r2(pred: DataFrame, keys: Sequence[str] = ("model", "fold")) -> DataFrame:
     """``r2``: 1 - SSE / SST per group (SST around the group's own mean)."""
-    w = Window.partitionBy(*keys)
-    centred = pred.withColumn("_mean", F.avg("actual").over(w))
-    return centred.groupBy(*keys).agg(
-        (
-            1
-            - F.try_divide(
-                F.sum((F.col("actual") - F.col("yhat")) ** 2), F.sum((F.col("actual") - F.col("_mean")) ** 2)
-            )
-        ).alias("r2")
-    )
+    # var_pop merges partial sums of squares around partial means (no window,
+    # no second pass): SST = n * var_pop.
+    sse = F.sum((F.col("actual") - F.col("yhat")) ** 2)
+    return pred.groupBy(*keys).agg((1 - F.try_divide(sse, F.count("actual") * F.var_pop("actual"))).alias("r2"))
 
 
 def status_band(col: str = "total_error_pct"):
@@ -139,10 +133,9 @@ def auc_roc(scored: DataFrame, keys: Sequence[str] = ("model",), buckets: int =
         F.sum(F.col("label")).alias("_pos"), F.sum(1 - F.col("label")).alias("_neg")
     )
     qs = [i / buckets for i in range(1, buckets)]
-    # One row per key group holding ``buckets - 1`` doubles: size is bounded
-    # by the parameter, so broadcasting it is safe at any data size.
+    # One row per key group; Spark picks the join by its size.
     bounds = per_score.groupBy(*keys).agg(F.percentile_approx("probability", qs, 10000).alias("_bounds"))
-    b = per_score.join(F.broadcast(bounds), list(keys)).withColumn(
+    b = per_score.join(bounds, list(keys)).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda x: x < F.col("probability")))
     ).drop("_bounds")
     below = Window.unboundedPreceding

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 KEY = "series_key"
 SEED = 42
+#: Candidate split points per feature of all tree models.
+MAX_BINS = 256
 SCALED = "__scaled_"
 
 
@@ -92,6 +94,7 @@ class ModelSpec:
     build: Callable[[DataFrame, str], object]
     scaler: str | None = None  # 'robust' | 'standard' | None
     kind: str = "reg"  # 'reg' | 'clf'
+    pos_weight: float | None = None  # weight of positive rows, 1 for the others
 
 
 def _label_stats(train: DataFrame, label: str) -> tuple[int, float]:
@@ -99,12 +102,15 @@ def _label_stats(train: DataFrame, label: str) -> tuple[int, float]:
     return int(r["n"]), float(r["s"] or 0.0) or 1.0
 
 
-def ridge(alpha: float = 1.0) -> ModelSpec:
+def ridge(alpha: float = 1.0, scaler: str | None = "robust") -> ModelSpec:
+    """``scaler=None`` is the meta learner of a stack: base predictions share
+    one unit already."""
+
     def build(train, label):
         n, s = _label_stats(train, label)
         return LinearRegression(regParam=alpha / n * s, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
 
-    return ModelSpec("ridge", build, "robust")
+    return ModelSpec("ridge", build, scaler)
 
 
 def lasso(alpha: float = 100.0, max_iter: int = 5000) -> ModelSpec:
@@ -126,14 +132,16 @@ def elastic_net(alpha: float = 100.0, mix: float = 0.5) -> ModelSpec:
 def random_forest_reg(trees: int = 200, depth: int = 10, min_leaf: int = 2) -> ModelSpec:
     return ModelSpec(
         "random_forest",
-        lambda train, label: RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=SEED),
+        lambda train, label: RandomForestRegressor(
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=SEED
+        ),
     )
 
 
 def gbt_reg(trees: int = 200, depth: int = 5, lr: float = 0.05, subsample: float = 0.8) -> ModelSpec:
     return ModelSpec(
         "gradient_boosting",
-        lambda train, label: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=subsample, seed=SEED),
+        lambda train, label: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=subsample, maxBins=MAX_BINS, seed=SEED),
     )
 
 
@@ -144,7 +152,7 @@ def boosted_trees_reg(trees: int = 500, depth: int = 6, lr: float = 0.05, row: f
         "boosted_trees",
         lambda train, label: GBTRegressor(
             maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=row,
-            featureSubsetStrategy=str(col), minInstancesPerNode=min_child, seed=SEED,
+            featureSubsetStrategy=str(col), minInstancesPerNode=min_child, maxBins=MAX_BINS, seed=SEED,
         ),
     )
 
@@ -162,32 +170,33 @@ def kernel_reg(features: int = 256, gamma: float | None = None, seed: int = SEED
     return spec
 
 
-def logistic(c: float = 1.0, balanced: bool = True, max_iter: int = 1000) -> ModelSpec:
+def logistic(c: float = 1.0, balanced: bool = True, max_iter: int = 1000, scaler: str | None = "standard") -> ModelSpec:
     def build(train, label):
         wsum = float(train.agg(F.sum("weight")).first()[0]) if balanced else float(train.count())
         kw = {"weightCol": "weight"} if balanced else {}
         return LogisticRegression(regParam=1.0 / (c * wsum), elasticNetParam=0.0, standardization=False, maxIter=max_iter, **kw)
 
-    return ModelSpec("logistic", build, "standard", "clf")
+    return ModelSpec("logistic", build, scaler, "clf")
 
 
 def random_forest_clf(trees: int = 200, depth: int = 10, balanced: bool = True) -> ModelSpec:
     kw = {"weightCol": "weight"} if balanced else {}
-    return ModelSpec("random_forest", lambda train, label: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **kw), None, "clf")
+    return ModelSpec("random_forest", lambda train, label: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=SEED, **kw), None, "clf")
 
 
 def gbt_clf(trees: int = 200, depth: int = 5, lr: float = 0.05) -> ModelSpec:
-    return ModelSpec("gradient_boosting", lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, seed=SEED), None, "clf")
+    return ModelSpec("gradient_boosting", lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, maxBins=MAX_BINS, seed=SEED), None, "clf")
 
 
 def boosted_trees_clf(trees: int = 200, depth: int = 5, lr: float = 0.05, pos_weight: float = 3.0) -> ModelSpec:
-    """Boosted trees with positives weighted ``pos_weight`` (uses the
-    ``weight`` column written by ``class_weights(mode='positive')``)."""
+    """Boosted trees with positives weighted ``pos_weight``, whatever class
+    weights the training rows carry for other models."""
     return ModelSpec(
         "boosted_trees",
-        lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, weightCol="weight", seed=SEED),
+        lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, weightCol="_positive_weight", maxBins=MAX_BINS, seed=SEED),
         None,
         "clf",
+        pos_weight,
     )
 
 
@@ -263,16 +272,11 @@ def _add_rff(df: DataFrame, spec: ModelSpec, features: Sequence[str]) -> DataFra
 def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = "sales") -> FittedModel:
     """Fit one spec: optional scaler on train rows, assembler, estimator."""
     feats = list(features)
-    # Iterative fits run several jobs per iteration; a small matrix spread
-    # over many tiny shuffle partitions pays per-task overhead each time.
-    # Merge partitions down to the cluster's core count (never below it, no
-    # shuffle), so large inputs keep their parallelism.
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() > cores:
-        train = train.coalesce(cores)
     scaler = ColumnScaler.fit(train, feats, spec.scaler) if spec.scaler else None
     x = scaler.transform(train, SCALED) if scaler else train
     used = [SCALED + c for c in feats] if scaler else feats
+    if spec.pos_weight is not None:
+        x = x.withColumn("_positive_weight", F.when(F.col(label) == 1, F.lit(spec.pos_weight)).otherwise(F.lit(1.0)))
     x = _add_rff(x, spec, used)
     inputs = _model_inputs(spec, used)
     est = spec.build(x, label)
@@ -402,7 +406,6 @@ def cross_validate(
     """
     from tidecast.operators.metrics import auc_roc, class_metrics, forecast_metrics, r2
 
-    folded = folded.persist()
     folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]  # k small ints
 
     def one(k, s):
@@ -410,21 +413,21 @@ def cross_validate(
         te = folded.where((F.col("fold") == k) & (F.col("role") == "test"))
         fm = fit_model(s, tr, features, label)
         if metric == "reg":
-            p = predict_long(fm, te, label, floor=False).withColumn("fold", F.lit(k))
-            m = forecast_metrics(p, ("model", "fold")).join(r2(p, ("model", "fold")), ["model", "fold"])
-            return m.select("model", "fold", "mae", "rmse", "r2")
-        p = fm.transform(te, out="probability_1").select(
+            return predict_long(fm, te, label, floor=False).withColumn("fold", F.lit(k))
+        return fm.transform(te, out="probability_1").select(
             F.lit(s.name).alias("model"), F.lit(k).alias("fold"),
             F.col("probability_1").alias("probability"), F.col(label).alias("label"),
         )
-        m = auc_roc(p, ("model", "fold")).join(class_metrics(p, ("model", "fold")), ["model", "fold"])
-        return m.select("model", "fold", "auc", "f1", "precision", "recall")
-
-    per_fold = _parallel([lambda k=k, s=s: one(k, s) for k in folds for s in specs], parallelism)
-    out = per_fold[0]
-    for m in per_fold[1:]:
-        out = out.unionByName(m)
-    return out
+
+    predicted = _parallel([lambda k=k, s=s: one(k, s) for k in folds for s in specs], parallelism)
+    p = predicted[0]
+    for more in predicted[1:]:
+        p = p.unionByName(more)
+    # All predictions are scored in one aggregate by model and fold.
+    by = ("model", "fold")
+    if metric == "reg":
+        return forecast_metrics(p, by).join(r2(p, by), list(by)).select(*by, "mae", "rmse", "r2")
+    return auc_roc(p, by).join(class_metrics(p, by), list(by)).select(*by, "auc", "f1", "precision", "recall")
 
 
 def cv_summary(per_fold: DataFrame, cols: Sequence[str] = ("mae", "rmse", "r2")) -> DataFrame:

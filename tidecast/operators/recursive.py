@@ -122,11 +122,13 @@ def recursive_forecast(
             for m in names
         ]
         y = F.greatest(F.col(f"_yhat_{driver}"), F.lit(0.0))
+        grown = F.concat(F.col("tail"), F.array(y))
         state = x.select(
             KEY,
             F.col("date").alias("last_date"),
             "first_date",
-            F.slice(F.concat(F.col("tail"), F.array(y)), -TAIL, TAIL).alias("tail"),
+            # The last TAIL values; slice() from before the start would be empty.
+            F.slice(grown, F.greatest(F.size(grown) - (TAIL - 1), F.lit(1)), TAIL).alias("tail"),
             (F.col("n") + 1).alias("n"),
             (F.col("s1") + y).alias("s1"),
             (F.col("s2") + y * y).alias("s2"),

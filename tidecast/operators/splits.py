@@ -38,25 +38,44 @@ def contiguous_folds(df: DataFrame, k: int = 3, key: str = KEY, order: str = "da
     return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(key).orderBy(order)))
 
 
-def _unit_hash(id_col: str, seed: int) -> Column:
-    """A uniform number in [0, 1) from a seeded 64-bit hash of the id."""
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40))
+#: Ranges of the hash that rows of one label are counted by: a window never
+#: holds more than a label's share of one range.
+HASH_RANGES = 4096
 
 
-def stratified_split(df: DataFrame, label: str = "churn_label", test_frac: float = 0.2, seed: int = 42, id_col: str = "customer_no") -> DataFrame:
-    """``stratified_split``: deterministic hash split; every class is cut at
-    the same fraction, so class shares match in expectation.
+def _hash(id_col: str, seed: int) -> Column:
+    """A 52-bit number from the md5 of the id and the seed."""
+    text = F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
-    The hash is computed per row with no shuffle and no class-wide sort, so
-    a huge class never lands in one task; the sizes are binomial around
-    ``test_frac`` rather than exact.
-    """
-    return df.withColumn("role", F.when(_unit_hash(id_col, seed) < test_frac, "test").otherwise("train"))
+
+def _rank_in_label(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """``df`` with ``_rank`` (1, 2, ... by hash within its label) and ``_n``
+    (rows of the label), exact and without sorting a label in one task: rows
+    are numbered inside ranges of the hash, ranges by the counts before them."""
+    x = df.withColumn("_h", _hash(id_col, seed)).withColumn("_range", F.floor(F.col("_h") / float((1 << 52) // HASH_RANGES)))
+    counts = x.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    by_label = Window.partitionBy(label)
+    before = by_label.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col(label).alias("_label"), F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(by_label).alias("_n")
+    )
+    inside = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", id_col))
+    x = x.withColumn("_rank", inside).join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    return x.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_label", "_r", "_before", "_range", "_h")
+
+
+def stratified_split(df: DataFrame, label: str = "churn_label", test_frac: float = 0.2, seed: int = 42, id_col: str = "customer_no") -> DataFrame:
+    """``stratified_split``: of each class, the rows with the smallest seeded
+    hashes are the test rows, ``round(n * test_frac)`` of them exactly."""
+    ranked = _rank_in_label(df, label, id_col, seed)
+    test = F.col("_rank") <= F.floor(F.col("_n") * F.lit(test_frac) + 0.5)
+    return ranked.withColumn("role", F.when(test, "test").otherwise("train")).drop("_rank", "_n")
 
 
 def stratified_folds(df: DataFrame, label: str = "churn_label", k: int = 5, seed: int = 42, id_col: str = "customer_no") -> DataFrame:
-    """``stratified_folds``: fold 0..k-1 by seeded hash, independently of
-    the label, so each class spreads evenly over folds in expectation
-    (usable as ``CrossValidator(foldCol=...)``)."""
-    return df.withColumn("fold", F.floor(_unit_hash(id_col, seed + 1) * k).cast("int"))
+    """``stratified_folds``: fold 0..k-1 in turn along each class's seeded
+    hash order, so a class's fold sizes differ by one at the most (usable as
+    ``CrossValidator(foldCol=...)``)."""
+    ranked = _rank_in_label(df, label, id_col, seed + 1)
+    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_n")

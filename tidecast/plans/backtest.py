@@ -54,7 +54,6 @@ def full_backtest(
     series: str = "nation",
     test_days: int = 30,
     mode: str = "one_step",
-    fast: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions (long table) and ranked metrics of all forecasters."""
     d = daily.gap_fill(daily.daily_sales(prepared_invoices(spark, sf_dir, series))).select(KEY, "date", "sales").persist()
@@ -71,18 +70,17 @@ def full_backtest(
     ax = arx.seasonal_arx(train, test, (1, 0, 1), (0, 1, 1, 7), "weekday").where(F.col("role") == "future")
     preds.append(_long(ax.drop("actual").join(test, [KEY, "date"]), "seasonal_arx", "yhat", "lower", "upper"))
 
-    n_boost, n_rf, n_gb = (30, 50, 20) if fast else (200, 100, 100)
-    boost = models.boosted_trees_reg(n_boost, 6, 0.05, 1.0, 1.0, 1)
+    boost = models.boosted_trees_reg(200, 6, 0.05, 1.0, 1.0, 1)
     boost.name = "boosted_trees"
-    rf = models.random_forest_reg(n_rf, 8, 1)
-    gb = models.gbt_reg(n_gb, 5, 0.1, 1.0)
+    rf = models.random_forest_reg(100, 8, 1)
+    gb = models.gbt_reg(100, 5, 0.1, 1.0)
 
     feats_all = features.validation_features(split.select(KEY, "date", "sales", "role"))
     cols = features.feature_names(feats_all)
     feats_all = features.drop_incomplete(feats_all, cols).persist()
     ftrain = feats_all.where(F.col("role") == "train")
     fitted_boost = models.fit_model(boost, ftrain, cols)
-    bases, meta = models.stacking_fit([rf, gb], models.ridge(1.0), ftrain, cols, "sales", 3)
+    bases, meta = models.stacking_fit([rf, gb], models.ridge(1.0, scaler=None), ftrain, cols, "sales", 3)
 
     if mode == "one_step":
         ftest = feats_all.where(F.col("role") == "test")

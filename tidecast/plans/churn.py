@@ -44,32 +44,30 @@ def run_churn(
     feat = customers.customer_features(prepared_invoices(spark, sf_dir, "nation", fill_zero=True))
     lab = churn.churn_labels(feat, churn_days)
     x = customers.impute_zero(lab)
-    x = churn.class_weights(x, "churn_label", "balanced")
     x = splits.stratified_split(x, "churn_label", 0.2, seed).persist()
     cols = list(customers.CHURN_FEATURES)
     train, test = x.where("role = 'train'"), x.where("role = 'test'")
     specs = specs or default_classifiers()
 
     # Cross-validation on the training rows: folds are a column.
-    cvd = splits.stratified_folds(train, "churn_label", folds, seed)
-    per_fold = []
+    cvd = splits.stratified_folds(train, "churn_label", folds, seed).persist()
+
+    def weighted(df: DataFrame) -> DataFrame:
+        return churn.class_weights(df, "churn_label", "balanced")
+
+    predicted = None
     fitted = {}
     for s in specs:
         for k in range(folds):
-            tr = cvd.where(F.col("fold") != k)
-            te = cvd.where(F.col("fold") == k)
-            if s.name == "boosted_trees":
-                tr = churn.class_weights(tr.drop("weight"), "churn_label", "positive")
-            fm = models.fit_model(s, tr, cols, "churn_label")
-            p = fm.transform(te, out="probability").select(
+            fm = models.fit_model(s, weighted(cvd.where(F.col("fold") != k)), cols, "churn_label")
+            p = fm.transform(cvd.where(F.col("fold") == k), out="probability").select(
                 F.lit(s.name).alias("model"), F.lit(k).alias("fold"), "probability", F.col("churn_label").alias("label")
             )
-            per_fold.append(metrics.auc_roc(p, ("model", "fold")).join(metrics.class_metrics(p, ("model", "fold")), ["model", "fold"]))
-        full_tr = churn.class_weights(train.drop("weight"), "churn_label", "positive") if s.name == "boosted_trees" else train
-        fitted[s.name] = models.fit_model(s, full_tr, cols, "churn_label")
-    cv = per_fold[0]
-    for p in per_fold[1:]:
-        cv = cv.unionByName(p)
+            predicted = p if predicted is None else predicted.unionByName(p)
+        fitted[s.name] = models.fit_model(s, weighted(train), cols, "churn_label")
+    # One aggregate scores every model and fold.
+    by = ("model", "fold")
+    cv = metrics.auc_roc(predicted, by).join(metrics.class_metrics(predicted, by), list(by))
     cv_sum = cv.groupBy("model").agg(
         F.avg("auc").alias("cv_auc"), F.stddev_pop("auc").alias("cv_auc_std"), F.avg("f1").alias("cv_f1")
     )
@@ -81,12 +79,12 @@ def run_churn(
             F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
         )
         test_scores = m if test_scores is None else test_scores.unionByName(m)
-    # Stacking (logistic + random forest + gradient boosting -> logistic):
+    # Stacking (logistic + random forest + boosted trees -> logistic):
     # scored on the test rows only; its CV AUC is NULL rather than a copy of
     # the test score (q6).
-    base_specs = [s for s in specs if s.name in ("logistic", "random_forest", "gradient_boosting")]
+    base_specs = [s for s in specs if s.name in ("logistic", "random_forest", "boosted_trees")]
     if len(base_specs) >= 2:
-        bases, meta = models.stacking_fit(base_specs, models.logistic(1.0, balanced=False), train, cols, "churn_label", 3, order="customer_no")
+        bases, meta = models.stacking_fit(base_specs, models.logistic(1.0, balanced=False, scaler=None), weighted(train), cols, "churn_label", 3, order="customer_no")
         p = models.stacking_predict(bases, meta, test, out="probability").select(
             F.lit("stacking").alias("model"), "probability", F.col("churn_label").alias("label")
         )
@@ -96,14 +94,19 @@ def run_churn(
         )
         test_scores = test_scores.unionByName(st)
     comparison = cv_sum.join(test_scores, "model", "right").persist()
-    best = comparison.where(F.col("model") != "stacking").orderBy(F.col("test_auc").desc(), F.col("model")).first()["model"]  # the winner's name
-    best_fit = fitted[best]
-    scored = churn.score_columns(best_fit.transform(x, out="churn_probability"))
+    best = comparison.orderBy(F.col("test_auc").desc(), F.col("model")).first()["model"]  # the winner's name
+    if best == "stacking":
+        probabilities = models.stacking_predict(bases, meta, x, out="churn_probability")
+    else:
+        probabilities = fitted[best].transform(x, out="churn_probability")
+    scored = churn.score_columns(probabilities)
+    # Importances are the forest's where there is one, whichever model wins.
+    explained = fitted.get("random_forest") or next(iter(fitted.values()))
     inter = churn.interventions(scored).orderBy(F.col("revenue_at_risk").desc(), "customer_no")
     return ChurnResult(
         features=feat,
         comparison=comparison,
-        importance=models.feature_importance(best_fit, spark),
+        importance=models.feature_importance(explained, spark),
         scored=scored,
         interventions=inter,
         risk_summary=churn.risk_summary(scored),

@@ -117,4 +117,11 @@ def q_holidays(spark, d):
 def q_backtest(spark, d):
     from tidecast.plans.backtest import full_backtest
 
-    return full_backtest(spark, d, series="nation", mode="one_step", fast=True)[1]
+    return full_backtest(spark, d, series="nation", mode="one_step")[1]
+
+
+@register("backtest_multi_step")
+def q_backtest_multi(spark, d):
+    from tidecast.plans.backtest import full_backtest
+
+    return full_backtest(spark, d, series="nation", mode="multi_step")[1]

@@ -60,7 +60,7 @@ for _name, _spec in (
 def q_stacking(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
-    bases, meta = models.stacking_fit([models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)], models.ridge(1.0), train, cols, "sales", 3)
+    bases, meta = models.stacking_fit([models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)], models.ridge(1.0, scaler=None), train, cols, "sales", 3)
     p = models.stacking_predict(bases, meta, test)
     return p.select(KEY, F.lit("stacking").alias("model"), "date", F.col("sales").alias("actual"),
                     F.greatest(F.col("yhat"), F.lit(0.0)).alias("yhat"))
@@ -81,7 +81,9 @@ def q_voting(spark, d):
 def q_cv(spark, d):
     m, cols = _matrix(spark, d)
     folded = splits.time_series_folds(m.where("role = 'train'").drop("role"), 5)
-    per_fold = models.cross_validate([models.ridge(1.0), models.lasso(100.0)], folded, cols, "sales")
+    specs = [models.ridge(1.0), models.lasso(100.0), models.elastic_net(100.0, 0.5), models.kernel_reg(256),
+             models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)]
+    per_fold = models.cross_validate(specs, folded, cols, "sales")
     return models.cv_summary(per_fold)
 
 
@@ -100,17 +102,20 @@ def q_top_features(spark, d):
 
 
 # ------------------------------------------------------------------ churn
-def _churn_matrix(spark, d, weights="balanced"):
+def _churn_matrix(spark, d):
     f = customers.customer_features(src.prepared_invoices(spark, d, "nation", fill_zero=True))
     lab = churn.churn_labels(f)
     x = customers.impute_zero(lab)
-    x = churn.class_weights(x, "churn_label", weights)
     return splits.stratified_split(x, "churn_label", 0.2, 42).persist()
 
 
+def _train_test(m, weights="balanced"):
+    """Training rows with class weights from them alone, and test rows."""
+    return churn.class_weights(m.where("role = 'train'"), "churn_label", weights), m.where("role = 'test'")
+
+
 def _clf(spark, d, spec, weights="balanced"):
-    m = _churn_matrix(spark, d, weights)
-    train, test = m.where("role = 'train'"), m.where("role = 'test'")
+    train, test = _train_test(_churn_matrix(spark, d), weights)
     fitted = models.fit_model(spec, train, list(customers.CHURN_FEATURES), "churn_label")
     return fitted.transform(test, out="probability").select(
         F.lit(spec.name).alias("model"), "customer_no", "probability", F.col("churn_label").alias("label")
@@ -126,11 +131,11 @@ register("boosted_trees_clf")(lambda spark, d: _clf(spark, d, models.boosted_tre
 @register("stacking_clf")
 def q_stacking_clf(spark, d):
     m = _churn_matrix(spark, d)
-    train, test = m.where("role = 'train'"), m.where("role = 'test'")
+    train, test = _train_test(m)
     cols = list(customers.CHURN_FEATURES)
     bases, meta = models.stacking_fit(
-        [models.logistic(1.0), models.random_forest_clf(RF_TREES, 10), models.gbt_clf(GBT_ITER, 5, 0.05)],
-        models.logistic(1.0, balanced=False), train, cols, "churn_label", 3, order="customer_no",
+        [models.logistic(1.0), models.random_forest_clf(RF_TREES, 10), models.boosted_trees_clf(GBT_ITER, 5, 0.05, 3.0)],
+        models.logistic(1.0, balanced=False, scaler=None), train, cols, "churn_label", 3, order="customer_no",
     )
     p = models.stacking_predict(bases, meta, test, out="probability")
     return p.select(F.lit("stacking").alias("model"), "customer_no", "probability", F.col("churn_label").alias("label"))
@@ -139,20 +144,37 @@ def q_stacking_clf(spark, d):
 @register("score_customers")
 def q_score(spark, d):
     m = _churn_matrix(spark, d)
-    fitted = models.fit_model(models.logistic(1.0), m.where("role = 'train'"), list(customers.CHURN_FEATURES), "churn_label")
+    fitted = models.fit_model(models.logistic(1.0), _train_test(m)[0], list(customers.CHURN_FEATURES), "churn_label")
     scored = fitted.transform(m, out="churn_probability")
     return churn.score_columns(scored).select("customer_no", "churn_probability", "risk_category", "revenue_at_risk")
 
 
-@register("stratified_split")
+def _labelled(spark, d):
+    f = customers.customer_features(src.prepared_invoices(spark, d, "nation", fill_zero=True))
+    return churn.churn_labels(f).select("customer_no", "churn_label")
+
+
+def _sql_ranked(seed):
+    return f"""
+SELECT customer_no, churn_label, count(*) OVER (PARTITION BY churn_label) AS n,
+       row_number() OVER (PARTITION BY churn_label ORDER BY ('0x' || md5(customer_no || ':{seed}')[1:13])::BIGINT, customer_no) AS nth
+FROM churn_lab"""
+
+
+@register(
+    "stratified_split",
+    with_ctes("churn_lab") + f"SELECT customer_no, churn_label, CASE WHEN nth <= floor(n * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS role FROM ({_sql_ranked(42)})",
+)
 def q_strat_split(spark, d):
-    return _churn_matrix(spark, d).groupBy("churn_label", "role").count()
+    return splits.stratified_split(_labelled(spark, d), "churn_label", 0.2, 42).select("customer_no", "churn_label", "role")
 
 
-@register("stratified_folds")
+@register(
+    "stratified_folds",
+    with_ctes("churn_lab") + f"SELECT customer_no, churn_label, CAST((nth - 1) % 5 AS INTEGER) AS fold FROM ({_sql_ranked(43)})",
+)
 def q_strat_folds(spark, d):
-    m = _churn_matrix(spark, d)
-    return splits.stratified_folds(m, "churn_label", 5, 42).groupBy("churn_label", "fold").count()
+    return splits.stratified_folds(_labelled(spark, d), "churn_label", 5, 42).select("customer_no", "churn_label", "fold")
 
 
 @register(

@@ -41,8 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system and is used as is.
-    Only when it is unset (a bare local test session) is a scratch folder
-    chosen, so tests still run.
+    Only when it is unset on a local master (tests) is a scratch folder
+    chosen; on a cluster executors would each write to their own disk, so an
+    unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidecast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -4,7 +4,8 @@ The batch pipeline's ``daily_sales`` needs an exact distinct-customer count
 per day, which a streaming aggregation cannot keep. Instead each
 micro-batch (``foreachBatch``):
 
-1. appends its invoices to a durable parquet table partitioned by day;
+1. writes its invoices to a durable parquet table partitioned by day and
+   epoch, overwriting what an earlier attempt of the same epoch wrote;
 2. recomputes ``daily_sales`` for the days that batch touched only (a
    semi-join on those days, partition-pruned on read);
 3. overwrites exactly those day partitions of the daily table (dynamic
@@ -32,12 +33,18 @@ def invoice_stream(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return reader.json(path) if fmt == "json" else reader.parquet(path)
 
 
-def refresh_batch(batch: DataFrame, store_path: str, daily_path: str) -> None:
+def refresh_batch(batch: DataFrame, store_path: str, daily_path: str, epoch: int) -> None:
     spark = batch.sparkSession
     inv = filter_invoices(clean(batch)).withColumn("series_key", F.coalesce("series_key", F.lit("ALL")))
-    inv.write.mode("append").partitionBy("invoice_date").parquet(store_path)
+    (
+        inv.withColumn("epoch", F.lit(epoch))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("invoice_date", "epoch")
+        .parquet(store_path)
+    )
     touched = inv.select("invoice_date").distinct()
-    stored = spark.read.parquet(store_path)
+    stored = spark.read.parquet(store_path).drop("epoch")
     affected = stored.join(touched, "invoice_date", "left_semi")
     out = daily_sales(affected).withColumn("day", F.col("date"))
     (
@@ -51,7 +58,7 @@ def refresh_batch(batch: DataFrame, store_path: str, daily_path: str) -> None:
 def start_daily_refresh(stream: DataFrame, store_path: str, daily_path: str, checkpoint: str, trigger_once: bool = False):
     """Start the refresh query; returns the ``StreamingQuery``."""
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, _epoch: refresh_batch(df, store_path, daily_path)
+        lambda df, epoch: refresh_batch(df, store_path, daily_path, epoch)
     )
     if trigger_once:
         w = w.trigger(availableNow=True)
