@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 KEY = "series_key"
 SEED = 42
-#: Candidate split points per feature of all tree models.
-MAX_BINS = 256
+#: Candidate split points per feature of all tree models, and the memory for
+#: their statistics: more nodes per pass over the rows.
+MAX_BINS = 64
+NODE_MB = 1024
 SCALED = "__scaled_"
 
 
@@ -133,7 +135,7 @@ def random_forest_reg(trees: int = 200, depth: int = 10, min_leaf: int = 2) -> M
     return ModelSpec(
         "random_forest",
         lambda train, label: RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=SEED
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED
         ),
     )
 
@@ -141,7 +143,7 @@ def random_forest_reg(trees: int = 200, depth: int = 10, min_leaf: int = 2) -> M
 def gbt_reg(trees: int = 200, depth: int = 5, lr: float = 0.05, subsample: float = 0.8) -> ModelSpec:
     return ModelSpec(
         "gradient_boosting",
-        lambda train, label: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=subsample, maxBins=MAX_BINS, seed=SEED),
+        lambda train, label: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=subsample, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED),
     )
 
 
@@ -152,7 +154,7 @@ def boosted_trees_reg(trees: int = 500, depth: int = 6, lr: float = 0.05, row: f
         "boosted_trees",
         lambda train, label: GBTRegressor(
             maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=row,
-            featureSubsetStrategy=str(col), minInstancesPerNode=min_child, maxBins=MAX_BINS, seed=SEED,
+            featureSubsetStrategy=str(col), minInstancesPerNode=min_child, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED,
         ),
     )
 
@@ -181,11 +183,11 @@ def logistic(c: float = 1.0, balanced: bool = True, max_iter: int = 1000, scaler
 
 def random_forest_clf(trees: int = 200, depth: int = 10, balanced: bool = True) -> ModelSpec:
     kw = {"weightCol": "weight"} if balanced else {}
-    return ModelSpec("random_forest", lambda train, label: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, seed=SEED, **kw), None, "clf")
+    return ModelSpec("random_forest", lambda train, label: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED, **kw), None, "clf")
 
 
 def gbt_clf(trees: int = 200, depth: int = 5, lr: float = 0.05) -> ModelSpec:
-    return ModelSpec("gradient_boosting", lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, maxBins=MAX_BINS, seed=SEED), None, "clf")
+    return ModelSpec("gradient_boosting", lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED), None, "clf")
 
 
 def boosted_trees_clf(trees: int = 200, depth: int = 5, lr: float = 0.05, pos_weight: float = 3.0) -> ModelSpec:
@@ -193,7 +195,7 @@ def boosted_trees_clf(trees: int = 200, depth: int = 5, lr: float = 0.05, pos_we
     weights the training rows carry for other models."""
     return ModelSpec(
         "boosted_trees",
-        lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, weightCol="_positive_weight", maxBins=MAX_BINS, seed=SEED),
+        lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, weightCol="_positive_weight", maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED),
         None,
         "clf",
         pos_weight,

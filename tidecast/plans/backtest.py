@@ -54,8 +54,11 @@ def full_backtest(
     series: str = "nation",
     test_days: int = 30,
     mode: str = "one_step",
+    sizes: tuple[int, int, int] = (200, 100, 100),
 ) -> tuple[DataFrame, DataFrame]:
-    """Predictions (long table) and ranked metrics of all forecasters."""
+    """Predictions (long table) and ranked metrics of all forecasters.
+    ``sizes``: boosted iterations, forest trees, gradient-boosting iterations."""
+    n_boost, n_rf, n_gb = sizes
     d = daily.gap_fill(daily.daily_sales(prepared_invoices(spark, sf_dir, series))).select(KEY, "date", "sales").persist()
     split = daily.holdout_split(d, test_days).persist()
     train = split.where(F.col("role") == "train").select(KEY, "date", "sales")
@@ -70,10 +73,10 @@ def full_backtest(
     ax = arx.seasonal_arx(train, test, (1, 0, 1), (0, 1, 1, 7), "weekday").where(F.col("role") == "future")
     preds.append(_long(ax.drop("actual").join(test, [KEY, "date"]), "seasonal_arx", "yhat", "lower", "upper"))
 
-    boost = models.boosted_trees_reg(200, 6, 0.05, 1.0, 1.0, 1)
+    boost = models.boosted_trees_reg(n_boost, 6, 0.05, 1.0, 1.0, 1)
     boost.name = "boosted_trees"
-    rf = models.random_forest_reg(100, 8, 1)
-    gb = models.gbt_reg(100, 5, 0.1, 1.0)
+    rf = models.random_forest_reg(n_rf, 8, 1)
+    gb = models.gbt_reg(n_gb, 5, 0.1, 1.0)
 
     feats_all = features.validation_features(split.select(KEY, "date", "sales", "role"))
     cols = features.feature_names(feats_all)
