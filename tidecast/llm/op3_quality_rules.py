@@ -183,16 +183,19 @@ WITH d AS (
   SELECT doc_id, count(*)::BIGINT AS n_dup_lines,
          sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS dup_line_chars
   FROM lines WHERE nth > 1 GROUP BY doc_id
+), fives AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS gram
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5))
+  QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
 ), grams AS (
+  -- A longer n-gram repeats only where its first five words do.
   SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS gram
-  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (VALUES {_LENGTHS}) AS t(n) WHERE len(ws) >= n)
+  FROM fives JOIN d USING (doc_id), (VALUES {_LENGTHS}) AS t(n) WHERE i + n - 1 <= len(ws)
 ), counted AS (
-  SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY i) AS nth,
-         count(*) OVER (PARTITION BY doc_id, n, gram) AS times
-  FROM grams
+  SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY i) AS nth FROM grams
 ), repeated AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words
-  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM counted WHERE n = 5 AND times > 1) GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM fives) GROUP BY doc_id
 ), inside AS (
   SELECT doc_id, n, sum(length(ws[p])) AS chars
   FROM (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM counted WHERE nth > 1) JOIN d USING (doc_id)
