@@ -17,8 +17,9 @@ customer-day table: a day with ``n`` orders contributes ``n - 1`` zero gaps
 and one gap to the previous order day. Their median is a weighted exact
 ``percentile`` (value, frequency).
 
-Variances are computed from exact decimal / integer sums, so results do not
-depend on partitioning or summation order.
+Sums of amounts and squares are exact decimals or integers; each variance is
+one double subtraction of them, so results do not depend on partitioning or
+summation order.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ def customer_features(invoices: DataFrame, ref: dt.date | str | None = None) ->
     """
     # The customer-day table feeds three branches that prune different
     # columns (so Spark would not reuse one exchange): persist it once so
-    # the invoices are scanned and shuffled a single time. It is far smaller
-    # than the invoices (one row per customer and order day).
+    # the invoices are scanned and shuffled a single time. It has one row per
+    # customer and order day: nearly as many as invoices where customers
+    # rarely order twice a day, but only a few narrow columns.
     cd = customer_days(invoices).persist()
     # A one-row frame: its size is fixed, so broadcasting it is always safe.
     # The last order day is read from the customer-day table, not the raw

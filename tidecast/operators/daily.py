@@ -68,14 +68,18 @@ def gap_fill(daily: DataFrame, key: str = KEY, fill_cols: tuple[str, ...] | None
 def dataset_profile(invoices: DataFrame, key: str = KEY) -> DataFrame:
     """``dataset_profile``: rows, date range, distinct customers and mean
     daily sales (over days with sales) per key."""
-    per_key = invoices.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_records"),
+    # Days are counted on the daily table and customers by one distinct, so
+    # no row of the fact is expanded once per distinct count.
+    days = invoices.groupBy(key, "invoice_date").agg(F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_s"))
+    customers = invoices.select(key, "customer_no").distinct().groupBy(key).agg(F.count("customer_no").alias("n_customers"))
+    per_day = days.groupBy(key).agg(
+        F.sum("_n").alias("n_records"),
         F.min("invoice_date").alias("first_date"),
         F.max("invoice_date").alias("last_date"),
-        F.count_distinct("customer_no").alias("n_customers"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_sales"),
-        F.count_distinct("invoice_date").alias("n_days"),
+        F.coalesce(F.sum("_s"), F.lit(0)).cast("double").alias("total_sales"),
+        F.count("invoice_date").alias("n_days"),
     )
+    per_key = per_day.join(customers.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     return per_key.withColumn("avg_daily_sales", F.col("total_sales") / F.col("n_days"))
 
 

@@ -1,8 +1,7 @@
 """Hyper-parameter grids as DataFrames.
 
-A grid is the cross join of one small frame per parameter (its size is the
-product of the list lengths, fixed by the caller), so "fit every parameter
-set for every series" is one grouped job over ``series x grid`` rows.
+A grid is the Cartesian product of the parameter lists, a literal table of a
+size that the caller fixes; every series is fitted with all sets in one task.
 """
 
 from __future__ import annotations

@@ -437,13 +437,13 @@ def q_union(spark, d):
 @register(
     "match_columns",
     with_ctes("daily")
-    + "SELECT series_key, date, sales FROM daily",
+    + "SELECT customer_count, sales, date, invoice_count, series_key FROM daily",
 )
 def q_match_cols(spark, d):
     from tidecast.operators.models import match_columns
 
     dd = _daily(spark, d)
-    return match_columns(dd, [KEY, "date", "sales"])
+    return match_columns(dd, ["customer_count", "sales", "date", "invoice_count", KEY])
 
 
 @register(
