@@ -35,6 +35,14 @@ def weights_frame(
     return literal_frame(spark, rows, "model string, weight double, band_lo double, band_hi double")
 
 
+def weights_for(long: DataFrame, stacked: str = "stacking") -> DataFrame:
+    """Default blend weights, or the three-model ones where no regressor
+    forecast is among the models of ``long`` (a handful of names)."""
+    present = {r["model"] for r in long.select("model").distinct().collect()}
+    weights = DEFAULT_WEIGHTS if stacked in present else FALLBACK_WEIGHTS
+    return weights_frame(long.sparkSession, weights, DEFAULT_BANDS)
+
+
 def pick_stacked(long: DataFrame, priority: Sequence[str] = STACKED_PRIORITY, as_model: str = "stacking") -> DataFrame:
     """``sklearn_fallback``: per series keep the regressor forecast of the
     first model in ``priority`` that exists, relabelled ``as_model``."""

@@ -20,6 +20,14 @@ from tidecast.sources.invoices import prepared_invoices
 KEY = "series_key"
 
 
+def tuned_decomposition(d: DataFrame, future: DataFrame, params: DataFrame, test_days: int = 30) -> DataFrame:
+    """Decomposition forecasts of ``future`` with each series' best
+    parameter set on its hold-out, refitted on all of its history."""
+    best = decompose.best_params(decompose.grid_search(daily.holdout_split(d, test_days), params))
+    fits = decompose.decompose_frames(d, future, params, keep="future")
+    return fits.join(best.select(KEY, "param_id"), [KEY, "param_id"])
+
+
 def forecast_all(
     spark: SparkSession,
     sf_dir: str,
@@ -34,8 +42,7 @@ def forecast_all(
     fut = daily.future_dates(d, horizon).drop("step")
     out = []
 
-    prm = decompose_params or {"changepoint_prior_scale": [0.05], "seasonality_prior_scale": [10.0], "seasonality_mode": ["multiplicative"]}
-    dec = decompose.decompose_frames(d, fut, grid.param_grid(spark, prm), keep="future")
+    dec = tuned_decomposition(d, fut, grid.param_grid(spark, decompose_params or grid.DEFAULT_GRID))
     out.append(dec.select(KEY, F.lit("decompose").alias("model"), "date", F.greatest("yhat", F.lit(0.0)).alias("yhat"),
                           F.greatest("yhat_lower", F.lit(0.0)).alias("lower"), F.col("yhat_upper").alias("upper")))
 
@@ -50,7 +57,7 @@ def forecast_all(
     fm = features.full_features(d).fillna(0.0, subset=["wow_pct_change", "rolling_cv_7", "rolling_cv_14"])
     fcols = features.feature_names(fm)
     fm = features.drop_incomplete(fm, fcols).persist()
-    bases, meta = models.stacking_fit([models.random_forest_reg(n_rf, 10, 2), models.gbt_reg(n_gb, 5, 0.05, 0.8)], models.ridge(1.0), fm, fcols)
+    bases, meta = models.stacking_fit([models.random_forest_reg(n_rf, 10, 2), models.gbt_reg(n_gb, 5, 0.05, 0.8)], models.ridge(1.0, scaler=None), fm, fcols)
 
     class _Stacked:
         def transform(self, df, out="yhat"):
@@ -64,6 +71,5 @@ def forecast_all(
     for o in out[1:]:
         long = long.unionByName(o)
     long = long.persist()
-    w = ensemble.weights_frame(spark, ensemble.DEFAULT_WEIGHTS, ensemble.DEFAULT_BANDS)
-    ens = ensemble.ensemble_wide(long, w, list(ensemble.DEFAULT_WEIGHTS))
+    ens = ensemble.ensemble_wide(long, ensemble.weights_for(long), list(ensemble.DEFAULT_WEIGHTS))
     return long, ens

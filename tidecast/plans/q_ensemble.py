@@ -120,6 +120,25 @@ def q_align(spark, d):
     return lg.groupBy(KEY, "date").pivot("model", list(STANDIN_WEIGHTS)).agg(F.first(F.greatest(F.col("yhat"), F.lit(0.0))))
 
 
+_STAND_FOR = {"last_week": "seasonal_arx", "weekday_mean": "boosted_trees", "trailing_28": "decompose"}
+_STAND_SQL = "CASE model " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _STAND_FOR.items()) + " END"
+_FALLBACK_SQL = "CASE m " + " ".join(f"WHEN '{m}' THEN {w}" for m, w in ensemble.FALLBACK_WEIGHTS.items()) + " END"
+
+
+@register(
+    "ensemble_fallback",
+    with_ctes("standin_long")
+    + f"""SELECT series_key, date, greatest(sum({_FALLBACK_SQL} * yhat) / sum({_FALLBACK_SQL}), 0.0) AS ensemble, count(*) AS n_models
+FROM (SELECT series_key, date, yhat, {_STAND_SQL} AS m FROM standin_long) WHERE m IS NOT NULL GROUP BY series_key, date""",
+    rnd=("ensemble",),
+)
+def q_three_models(spark, d):
+    # No regressor forecast: the three-model weights apply.
+    names = F.create_map(*[F.lit(x) for pair in _STAND_FOR.items() for x in pair])
+    lg = _long(spark, d).withColumn("model", names[F.col("model")]).where("model is not null")
+    return ensemble.weighted_ensemble(lg, ensemble.weights_for(lg)).select("series_key", "date", "ensemble", "n_models")
+
+
 @register(
     "sklearn_fallback",
     with_ctes("standin_long")
