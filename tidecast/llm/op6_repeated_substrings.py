@@ -35,7 +35,7 @@ Defined cases: null and empty texts have no bytes and no spans, as have texts
 under 200 bytes; repeated rows are copies of each other and lose all of their
 200 bytes or more; an empty table gives an empty result; extra columns are
 kept by ``repeated_spans``. Texts are told apart by a 64-bit hash and their
-length.
+length's low 16 bits.
 """
 
 from __future__ import annotations
@@ -53,6 +53,7 @@ from tidecast.llm.common import col, table
 SPAN = 200
 GRAM = 25
 HOT_ROWS = 100_000
+SAMPLE = 64
 _BITMAP_BITS = 1 << 23
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -112,12 +113,13 @@ def runs(grams: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _position_rows(span: int, gram: int, block: int):
-    """(kg, run, t, n, first, count, offset) of every run of every text:
-    kg and run are the first ranks, offset is the anchor's in the first window."""
+    """(kg, run, t, place) of every run of every text: kg and run are the first
+    ranks, place holds the first window, the number of windows, the anchor's
+    offset in the first window and 16 bits of the text's length."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        names = ["kg", "run", "t", "n", "first", "windows", "offset"]
+        names = ["kg", "run", "t", "place"]
 
         def flush(parts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
@@ -135,17 +137,8 @@ def _position_rows(span: int, gram: int, block: int):
                     shape = _mix((offset * span + last - first).astype(np.uint64))
                     run = hasher.of(first, last + span) ^ shape
                     size = len(first)
-                    parts.append(
-                        (
-                            kg.view(np.int64),
-                            run.view(np.int64),
-                            np.full(size, t, np.int64),
-                            np.full(size, len(data), np.int32),
-                            (first + at).astype(np.int32),
-                            (last - first + 1).astype(np.int16),
-                            offset.astype(np.int16),
-                        )
-                    )
+                    place = (first + at) << 32 | (last - first + 1) << 24 | offset << 16 | len(data) & 0xFFFF
+                    parts.append((kg.view(np.int64), run.view(np.int64), np.full(size, t, np.int64), place))
                     held += size
                     if held >= 50_000:
                         yield flush(parts)
@@ -156,43 +149,55 @@ def _position_rows(span: int, gram: int, block: int):
     return rows
 
 
-_POSITIONS = "kg long, run long, t long, n int, first int, windows short, offset short"
+_POSITIONS = "kg long, run long, t long, place long"
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    """``place`` as first, windows, offset and m, the length's 16 bits."""
+    bits = lambda at, n: F.shiftright("place", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    return df.select(
+        *[c for c in df.columns if c != "place"],
+        F.shiftright("place", 32).cast("int").alias("first"),
+        bits(24, 8).alias("windows"),
+        bits(16, 8).alias("offset"),
+        bits(0, 16).alias("m"),
+    )
 
 
 def _window_names(span: int, gram: int):
     """Second ranks and the windows' names of the rows that are left."""
     half = (span - gram + 1) // 2
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["kg", "t", "n", "first", "offset", "open", "right", "left", "names"]
+    names = ["kg", "t", "m", "first", "offset", "open", "right", "left", "names"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             out = []
-            for t, n, text, left_rows in zip(*[batch.column(i) for i in range(4)]):
-                t, n, data = t.as_py(), n.as_py(), text.as_py().encode()
+            for t, m, text, left_rows in zip(*[batch.column(i) for i in range(4)]):
+                t, m, data = t.as_py(), m.as_py(), text.as_py().encode()
                 for row in left_rows.as_py():
                     first, windows, offset = row["first"], row["windows"], row["offset"]
                     # Both parts lie within the bytes of the row's windows.
-                    out.append((row["kg"], t, n, first, offset, row["open"], windows, data[first : first + windows - 1 + span]))
+                    out.append((row["kg"], t, m, first, offset, row["open"], windows, data[first : first + windows - 1 + span]))
             for at in range(0, len(out), 2000):
                 lot = out[at : at + 2000]
                 hasher.read(b"".join(r[7] for r in lot))
                 starts = np.cumsum([0] + [len(r[7]) for r in lot])[:-1]
                 made = []
                 for r, p in zip(lot, starts.tolist()):
-                    kg, t, n, first, offset, open_, windows, _ = r
+                    kg, t, m, first, offset, open_, windows, _ = r
                     anchor, low = p + offset, offset - windows + 1
                     window = np.arange(p, p + windows)
                     right = hasher.of(np.array([anchor]), np.array([anchor + span - half + 1])).view(np.int64)[0] if low < half else None
                     left = hasher.of(np.array([anchor - half]), np.array([anchor + gram])).view(np.int64)[0] if offset >= half else None
-                    made.append((kg, t, n, first, offset, open_, right, left, hasher.of(window, window + span).view(np.int64)))
+                    made.append((kg, t, m, first, offset, open_, right, left, hasher.of(window, window + span).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), types)], names=names)
 
     return rows
 
 
-_NAMED = "kg long, t long, n int, first int, offset short, open boolean, right long, left long, names array<long>"
+_NAMED = "kg long, t long, m int, first int, offset short, open boolean, right long, left long, names array<long>"
 
 
 def _with_total(df: DataFrame, keys: list[str], total, name: str, hot: bool) -> DataFrame:
@@ -221,14 +226,31 @@ def _maybe_in(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     return marked.withColumn("maybe", F.coalesce(isset, F.lit(False))).drop("word", "bits")
 
 
-def _merge():
+def _packed_runs():
+    """Runs of consecutive windows as ``start << 16 | windows``."""
+
+    @F.arrow_udf("array<long>")
+    def packed(first: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        for f, s in zip(first.to_pylist(), starts):
+            s = np.sort(s.values.to_numpy()).astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1] + 1]))
+            out.append((f + s[new]) << 16 | np.diff(np.append(new, len(s))))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return packed
+
+
+def _merged(span: int):
+    """Maximal runs of bytes from packed runs of windows."""
+
     @F.arrow_udf("array<struct<start:int,end:int>>")
-    def merged(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    def merged(runs_: pa.Array) -> pa.Array:
         out = []
-        for s, e in zip(starts, ends):
-            s, e = s.values.to_numpy(zero_copy_only=False), e.values.to_numpy(zero_copy_only=False)
-            order = np.argsort(s, kind="stable")
-            s, reach = s[order], np.maximum.accumulate(e[order])
+        for r in runs_:
+            r = np.sort(r.values.to_numpy())
+            s, e = r >> 16, (r >> 16) + (r & 0xFFFF) - 1 + span
+            reach = np.maximum.accumulate(e)
             new = np.concatenate([[True], s[1:] > reach[:-1]])
             last = np.append(np.flatnonzero(new)[1:], len(s)) - 1
             out.append([{"start": a, "end": b} for a, b in zip(s[new].tolist(), reach[last].tolist())])
@@ -238,75 +260,83 @@ def _merge():
 
 
 def _judge_first(rows: DataFrame, hot: bool) -> DataFrame:
-    """Rows whose first rank is not unique, with ``same`` (rows with this
-    run) and ``open`` (whether a row of the rank has a run of its own)."""
-    out = _with_total(rows, ["kg", "run"], F.count("*"), "same", hot)
+    """(kg, t, place, settled) of the rows whose first rank is not unique:
+    settled if another row has the same run. kg is null where the row takes
+    no further part: settled ones do as witnesses, one of each run, where a
+    row of their rank has a run of its own."""
+    out = rows if hot else rows.repartition("kg")
+    out = _with_total(out, ["kg", "run"], F.count("*"), "same", hot)
+    if hot:
+        out = _with_total(out, ["kg", "run"], F.min(F.struct("t", "place")), "one", hot)
+        chosen = F.struct("t", "place") == F.col("one")
+    else:
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("kg", "run").orderBy("t")))
+        chosen = F.col("nth") == 1
     out = _with_total(out, ["kg"], F.count("*"), "members", hot)
     out = _with_total(out, ["kg"], F.min("same"), "least", hot)
-    return out.filter("members > 1").drop("members")
+    part = (F.col("same") == 1) | (chosen & (F.col("least") == 1))
+    return out.filter("members > 1").select(F.when(part, F.col("kg")).alias("kg"), "t", "place", (F.col("same") > 1).alias("settled"))
 
 
 def _judge_windows(named: DataFrame, span: int, gram: int, hot: bool) -> DataFrame:
-    """(t, n, first, starts): windows of open rows that repeat."""
+    """(t, m, run): the repeated windows of open rows, packed."""
     half = (span - gram + 1) // 2
-    out = _with_total(named, ["kg", "right"], F.count("*"), "rights", hot)
-    out = _with_total(out, ["kg", "left"], F.count("*"), "lefts", hot) if not hot else out
-    if hot:
+    if not hot:
+        # One shuffle: equal first ranks meet, all later ranks are within them.
+        out = _with_total(named.repartition("kg"), ["kg", "right"], F.count("*"), "rights", hot)
+        out = _with_total(out, ["kg", "left"], F.count("*"), "lefts", hot)
+    else:
         # Null parts join nothing: they are kept with a count of 0.
         out = named.join(named.groupBy("kg", "right").agg(F.count("*").alias("rights")), ["kg", "right"], "left")
         out = out.join(named.groupBy("kg", "left").agg(F.count("*").alias("lefts")), ["kg", "left"], "left").fillna(0, ["rights", "lefts"])
-    out = out.select("kg", "t", "n", "first", "offset", "open", "rights", "lefts", F.posexplode("names").alias("i", "name"))
+    out = out.select("kg", "t", "m", "first", "offset", "open", "rights", "lefts", F.posexplode("names").alias("i", "name"))
     near = F.col("offset") - F.col("i") < half
-    out = out.filter((near & (F.col("rights") > 1)) | (~near & (F.col("lefts") > 1))).select("kg", "t", "n", "first", "open", "i", "name")
+    out = out.filter((near & (F.col("rights") > 1)) | (~near & (F.col("lefts") > 1))).select("kg", "t", "m", "first", "open", "i", "name")
     out = _with_total(out, ["kg", "name"], F.count("*"), "times", hot).filter("open and times > 1")
-    return out.groupBy("kg", "t", "n", "first").agg(F.collect_list("i").alias("starts")).drop("kg")
+    rows = out.groupBy("kg", "t", "m", "first").agg(F.collect_list("i").alias("starts"))
+    return rows.select("t", "m", F.explode(_packed_runs()("first", "starts")).alias("run"))
 
 
 def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block: int) -> DataFrame:
-    """(t, n, spans) of the texts that have any. ``texts``: t, n, text."""
+    """(t, m, spans) of the texts that have any. ``texts``: t, m, n, text."""
     from tidecast.session import scratch_path
 
     spark = texts.sparkSession
-    positions = texts.filter(F.col("n") >= span).select("t", "text").mapInArrow(_position_rows(span, gram, block), _POSITIONS)
-    heat = positions.select("kg").groupBy("kg").count().filter(F.col("count") > hot_rows).select("kg")
     folder = scratch_path(spark, "repeated")
-    heat.write.parquet(f"{folder}/heat")
-    heat = spark.read.schema("kg long").parquet(f"{folder}/heat")
-    # At most one row for every ``hot_rows`` positions.
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    positions = texts.filter(F.col("n") >= span).select("t", "text").mapInArrow(_position_rows(span, gram, block), _POSITIONS)
+    # One row in SAMPLE tells which ranks are crowded; that only decides by
+    # which of two exact ways their rows are counted.
+    seen = positions.filter(F.pmod(F.xxhash64("t", "place"), F.lit(SAMPLE)) == 0).groupBy("kg").count()
+    heat = kept(seen.filter(F.col("count") > max(1, hot_rows // SAMPLE)).select("kg"), "heat")
     crowded = heat.count()
+    # At most one row for every ``hot_rows`` positions, about.
     hot_keys = F.broadcast(heat) if crowded <= 100_000 else heat
-    first = [_judge_first(positions.join(hot_keys, "kg", "left_anti") if crowded else positions, False)]
     if crowded:
-        first.append(_judge_first(positions.join(hot_keys, "kg", "left_semi"), True))
-    for i, part in enumerate(first):
-        part.write.parquet(f"{folder}/first-{i}")
-    judged = [spark.read.parquet(f"{folder}/first-{i}") for i in range(len(first))]
-    both = judged[0] if len(judged) == 1 else judged[0].unionByName(judged[1])
-    settled = both.filter("same > 1")
-    open_rows = both.filter("same = 1").withColumn("open", F.lit(True))
-    witnesses = settled.filter("least = 1").dropDuplicates(["kg", "run"]).withColumn("open", F.lit(False))
-    place = F.struct("kg", "first", "windows", "offset", "open")
-    need = open_rows.unionByName(witnesses).groupBy("t", "n").agg(F.collect_list(place).alias("rows"))
-    need.write.parquet(f"{folder}/need")
-    need = spark.read.parquet(f"{folder}/need")
-    wanted = _maybe_in(texts, _bitmap(need)).filter("maybe").select("t", "n", "text").dropDuplicates(["t", "n"])
-    named = wanted.join(need, ["t", "n"]).select("t", "n", "text", "rows").mapInArrow(_window_names(span, gram), _NAMED)
+        parts = [positions.join(hot_keys, "kg", "left_anti"), positions.join(hot_keys, "kg", "left_semi")]
+        judged = kept(_judge_first(parts[0], False).unionByName(_judge_first(parts[1], True)), "first")
+    else:
+        judged = kept(_judge_first(positions, False), "first")
+    settled = _unpacked(judged.filter("settled").select("t", "place"))
+    runs_ = settled.select("t", "m", (F.shiftleft(F.col("first").cast("long"), 16) + F.col("windows")).alias("run"))
+    place = F.struct("kg", "first", "windows", "offset", (~F.col("settled")).alias("open"))
+    left = _unpacked(judged.filter("kg is not null"))
+    need = kept(left.groupBy("t", "m").agg(F.collect_list(place).alias("rows")), "need")
+    wanted = _maybe_in(texts, _bitmap(need)).filter("maybe").select("t", "m", "text").dropDuplicates(["t", "m"])
+    named = wanted.join(need, ["t", "m"]).select("t", "m", "text", "rows").mapInArrow(_window_names(span, gram), _NAMED)
     if crowded:
-        named.write.parquet(f"{folder}/named")
-        named = spark.read.parquet(f"{folder}/named")
+        named = kept(named, "named")
         repeats = _judge_windows(named.join(hot_keys, "kg", "left_anti"), span, gram, False).union(
             _judge_windows(named.join(hot_keys, "kg", "left_semi"), span, gram, True)
         )
     else:
         repeats = _judge_windows(named, span, gram, False)
-    covered = settled.select("t", "n", F.array("first").alias("s"), F.array(F.col("first") + F.col("windows") - 1 + span).alias("e"))
-    at = F.transform("starts", lambda i: (F.col("first") + i).cast("int"))
-    single = repeats.select("t", "n", at.alias("s")).withColumn("e", F.transform("s", lambda s: s + span))
-    every = covered.unionByName(single).groupBy("t", "n").agg(
-        F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e")
-    )
-    every.select("t", "n", _merge()("s", "e").alias("spans")).write.parquet(f"{folder}/spans")
-    return spark.read.parquet(f"{folder}/spans")
+    by_text = runs_.unionByName(repeats).groupBy("t", "m").agg(F.collect_list("run").alias("runs"))
+    return kept(by_text.select("t", "m", _merged(span)("runs").alias("spans")), "spans")
 
 
 def repeated_spans(
@@ -319,9 +349,10 @@ def repeated_spans(
         *[col(c).alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(col(text), F.lit("")).alias("text")
     )
     plain = plain.withColumn("t", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
-    found = _spans_by_text(plain.select("t", "n", "text"), span, gram, hot_rows, block)
+    plain = plain.withColumn("m", F.col("n").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    found = _spans_by_text(plain.select("t", "m", "n", "text"), span, gram, hot_rows, block)
     marked = _maybe_in(plain, _bitmap(found))
-    some = marked.filter("maybe").join(found, ["t", "n"], "left")
+    some = marked.filter("maybe").join(found, ["t", "m"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return some.select(*out, F.coalesce("spans", none).alias("spans")).union(marked.filter("not maybe").select(*out, none.alias("spans")))
