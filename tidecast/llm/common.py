@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ ALNUM_WORDS = bytes(
 )
 
 
+#: Texts of an Arrow batch that exist as Python objects at a time.
+LOT = 256
+
+
+def lots(texts) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of an Arrow array of texts, ``LOT`` at a time."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.binary())
+    for at in range(0, len(texts), LOT):
+        yield [t or b"" for t in texts.slice(at, LOT).to_pylist()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

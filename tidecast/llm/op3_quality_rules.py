@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import col, with_struct
+from tidecast.llm.common import col, lots, with_struct
 
 #: Most characters of a text (percent) that may lie in repeats of n-grams.
 #: The published thresholds of the MassiveText quality filter.
@@ -143,7 +143,7 @@ def repetition_coverage(docs: DataFrame, text: str = "text", percent: dict[int,
     @F.arrow_udf(", ".join(f"{n} {t}" for n, t in out))
     def rows(texts: pa.Array) -> pa.Array:
         powers = Powers()
-        got = [measure(t or b"", percent, powers) for t in texts.cast(pa.binary()).to_pylist()]
+        got = [measure(t, percent, powers) for lot in lots(texts) for t in lot]
         columns = list(zip(*got)) or [()] * len(out)
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], fields=list(arrow))
 

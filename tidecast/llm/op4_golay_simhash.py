@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ASCII_LOWER, col, materialise, table
+from tidecast.llm.common import ASCII_LOWER, col, lots, materialise, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -79,7 +79,7 @@ def simhash(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 def fingerprint_udf(shingle: int = SHINGLE_WORDS):
     @F.arrow_udf("bigint")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        got = [simhash(t or b"", shingle) for t in texts.cast(pa.binary()).to_pylist()]
+        got = [simhash(t, shingle) for lot in lots(texts) for t in lot]
         return pa.array(np.array(got, np.uint64).view(np.int64))
 
     return fingerprints

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ALNUM_WORDS, col, fresh, materialise, table, with_struct
+from tidecast.llm.common import ALNUM_WORDS, col, fresh, lots, materialise, table, with_struct
 
 WINDOW_WORDS = 10
 #: Benchmark text (bytes) that one scan searches for.
@@ -193,7 +193,7 @@ def _scan_udf(spark, items: list[tuple[str, bytes]], window: int):
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(shared.value, window)
         for batch in texts:
-            got = matcher.scan([t or b"" for t in batch.cast(pa.binary()).to_pylist()])
+            got = [row for lot in lots(batch) for row in matcher.scan(lot)]
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))]
             yield pa.StructArray.from_arrays(columns, names=["n", "hit", "items"])
 
