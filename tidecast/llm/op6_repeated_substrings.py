@@ -259,21 +259,24 @@ def _merged(span: int):
     return merged
 
 
-def _judge_first(rows: DataFrame, hot: bool) -> DataFrame:
+def _judge_first(rows: DataFrame, hot: bool, small: bool = False) -> DataFrame:
     """(kg, t, place, settled) of the rows whose first rank is not unique:
     settled if another row has the same run. kg is null where the row takes
     no further part: settled ones do as witnesses, one of each run, where a
     row of their rank has a run of its own."""
-    out = rows if hot else rows.repartition("kg")
-    out = _with_total(out, ["kg", "run"], F.count("*"), "same", hot)
     if hot:
-        out = _with_total(out, ["kg", "run"], F.min(F.struct("t", "place")), "one", hot)
+        # Counts are combined before the shuffle and joined back; those of a
+        # rank come from its runs' and fit a broadcast, as the ranks' list does.
+        runs_ = rows.groupBy("kg", "run").agg(F.count("*").alias("same"), F.min(F.struct("t", "place")).alias("one"))
+        ranks = runs_.groupBy("kg").agg(F.sum("same").alias("members"), F.min("same").alias("least"))
+        out = rows.join(runs_, ["kg", "run"]).join(F.broadcast(ranks) if small else ranks, "kg")
         chosen = F.struct("t", "place") == F.col("one")
     else:
-        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("kg", "run").orderBy("t")))
+        run, rank = Window.partitionBy("kg", "run"), Window.partitionBy("kg")
+        out = rows.repartition("kg").withColumn("same", F.count("*").over(run))
+        out = out.withColumn("nth", F.row_number().over(run.orderBy("t")))
+        out = out.withColumn("members", F.count("*").over(rank)).withColumn("least", F.min("same").over(rank))
         chosen = F.col("nth") == 1
-    out = _with_total(out, ["kg"], F.count("*"), "members", hot)
-    out = _with_total(out, ["kg"], F.min("same"), "least", hot)
     part = (F.col("same") == 1) | (chosen & (F.col("least") == 1))
     return out.filter("members > 1").select(F.when(part, F.col("kg")).alias("kg"), "t", "place", (F.col("same") > 1).alias("settled"))
 
@@ -281,14 +284,13 @@ def _judge_first(rows: DataFrame, hot: bool) -> DataFrame:
 def _judge_windows(named: DataFrame, span: int, gram: int, hot: bool) -> DataFrame:
     """(t, m, run): the repeated windows of open rows, packed."""
     half = (span - gram + 1) // 2
-    if not hot:
-        # One shuffle: equal first ranks meet, all later ranks are within them.
-        out = _with_total(named.repartition("kg"), ["kg", "right"], F.count("*"), "rights", hot)
-        out = _with_total(out, ["kg", "left"], F.count("*"), "lefts", hot)
-    else:
-        # Null parts join nothing: they are kept with a count of 0.
-        out = named.join(named.groupBy("kg", "right").agg(F.count("*").alias("rights")), ["kg", "right"], "left")
-        out = out.join(named.groupBy("kg", "left").agg(F.count("*").alias("lefts")), ["kg", "left"], "left").fillna(0, ["rights", "lefts"])
+    # A row without one of the parts has no windows that need it: a value of
+    # its own keeps such rows apart.
+    own = F.xxhash64("t", "first", F.lit("none"))
+    named = named.withColumn("right", F.coalesce("right", own)).withColumn("left", F.coalesce("left", own))
+    # Unless hot, one shuffle: equal first ranks meet, later ranks are within them.
+    out = _with_total(named if hot else named.repartition("kg"), ["kg", "right"], F.count("*"), "rights", hot)
+    out = _with_total(out, ["kg", "left"], F.count("*"), "lefts", hot)
     out = out.select("kg", "t", "m", "first", "offset", "open", "rights", "lefts", F.posexplode("names").alias("i", "name"))
     near = F.col("offset") - F.col("i") < half
     out = out.filter((near & (F.col("rights") > 1)) | (~near & (F.col("lefts") > 1))).select("kg", "t", "m", "first", "open", "i", "name")
@@ -315,10 +317,11 @@ def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block:
     heat = kept(seen.filter(F.col("count") > max(1, hot_rows // SAMPLE)).select("kg"), "heat")
     crowded = heat.count()
     # At most one row for every ``hot_rows`` positions, about.
-    hot_keys = F.broadcast(heat) if crowded <= 100_000 else heat
+    small = crowded <= 100_000
+    hot_keys = F.broadcast(heat) if small else heat
     if crowded:
         parts = [positions.join(hot_keys, "kg", "left_anti"), positions.join(hot_keys, "kg", "left_semi")]
-        judged = kept(_judge_first(parts[0], False).unionByName(_judge_first(parts[1], True)), "first")
+        judged = kept(_judge_first(parts[0], False).unionByName(_judge_first(parts[1], True, small)), "first")
     else:
         judged = kept(_judge_first(positions, False), "first")
     settled = _unpacked(judged.filter("settled").select("t", "place"))
