@@ -54,13 +54,6 @@ def q_tuned(spark, d):
     return tuned_decomposition(dd, daily.future_dates(dd, 30).drop("step"), grid.param_grid(spark, grid.DEFAULT_GRID))
 
 
-@register("ensemble_forecast")
-def q_ensemble_forecast(spark, d):
-    from tidecast.plans.forecast import forecast_all
-
-    return forecast_all(spark, d, series="all", sizes=BACKTEST_SIZES)[1]
-
-
 @register("grid_search")
 def q_grid(spark, d):
     return _grid_results(spark, d)
