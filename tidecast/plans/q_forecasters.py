@@ -11,9 +11,6 @@ from tidecast.plans.checks import register
 from tidecast.sources import invoices as src
 
 KEY = "series_key"
-#: Ensemble sizes of the rows-only backtest checks (full_backtest defaults to
-#: 200, 100, 100): Spark ML boosting runs several jobs per iteration.
-BACKTEST_SIZES = (30, 50, 20)
 
 
 def _daily(spark, d, series="nation"):
@@ -26,9 +23,7 @@ def q_recursive(spark, d):
     dd = _daily(spark, d).persist()
     m = features.drop_incomplete(features.xgb_features(dd)).persist()
     cols = features.feature_names(m)
-    from tidecast.plans.q_models import BOOST_ITER
-
-    fitted = models.fit_model(models.boosted_trees_reg(BOOST_ITER, 6, 0.05, 0.8, 0.8, 3), m, cols)
+    fitted = models.fit_model(models.boosted_trees_reg(), m, cols)
     return recursive.recursive_forecast(dd, {"boosted_trees": fitted}, cols, 30)
 
 
@@ -128,11 +123,11 @@ def q_holidays(spark, d):
 def q_backtest(spark, d):
     from tidecast.plans.backtest import full_backtest
 
-    return full_backtest(spark, d, series="nation", mode="one_step", sizes=BACKTEST_SIZES)[1]
+    return full_backtest(spark, d, series="nation", mode="one_step")[1]
 
 
 @register("backtest_multi_step")
 def q_backtest_multi(spark, d):
     from tidecast.plans.backtest import full_backtest
 
-    return full_backtest(spark, d, series="nation", mode="multi_step", sizes=BACKTEST_SIZES)[1]
+    return full_backtest(spark, d, series="nation", mode="multi_step")[1]

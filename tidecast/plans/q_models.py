@@ -2,7 +2,8 @@
 
 These are statistical fits, checked rows-only (no SQL twin): each query
 trains on the given tables' training rows and returns predictions or
-scores for the held-out rows.
+scores for the held-out rows. Ensembles have the library's default sizes,
+which are the reference's.
 """
 
 from __future__ import annotations
@@ -16,13 +17,6 @@ from tidecast.sources import invoices as src
 
 KEY = "series_key"
 
-# Ensemble sizes for these rows-only checks. The library defaults are the
-# reference sizes (random forest 200 trees, gradient boosting 200 and
-# boosted trees 500 iterations); Spark ML boosting runs a few jobs per
-# iteration, so the checks use smaller ensembles to keep the correctness run
-# short. Same code path, same depths and learning rates.
-RF_TREES, GBT_ITER, BOOST_ITER = 50, 20, 30
-
 
 def _matrix(spark, d, series="nation"):
     """Full 61-feature matrix with train / test role (30-day hold-out)."""
@@ -48,9 +42,9 @@ for _name, _spec in (
     ("ridge", lambda: models.ridge(1.0)),
     ("lasso", lambda: models.lasso(100.0)),
     ("elastic_net", lambda: models.elastic_net(100.0, 0.5)),
-    ("random_forest_reg", lambda: models.random_forest_reg(RF_TREES, 10, 2)),
-    ("gbt_reg", lambda: models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)),
-    ("boosted_trees_reg", lambda: models.boosted_trees_reg(BOOST_ITER, 6, 0.05, 0.8, 0.8, 3)),
+    ("random_forest_reg", lambda: models.random_forest_reg()),
+    ("gbt_reg", lambda: models.gbt_reg()),
+    ("boosted_trees_reg", lambda: models.boosted_trees_reg()),
     ("kernel_reg", lambda: models.kernel_reg(256)),
 ):
     register(_name)(lambda spark, d, _s=_spec: _fit_predict(spark, d, _s()))
@@ -60,7 +54,7 @@ for _name, _spec in (
 def q_stacking(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
-    bases, meta = models.stacking_fit([models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)], models.ridge(1.0, scaler=None), train, cols, "sales", 3)
+    bases, meta = models.stacking_fit([models.random_forest_reg(), models.gbt_reg()], models.ridge(1.0, scaler=None), train, cols, "sales", 3)
     p = models.stacking_predict(bases, meta, test)
     return p.select(KEY, F.lit("stacking").alias("model"), "date", F.col("sales").alias("actual"),
                     F.greatest(F.col("yhat"), F.lit(0.0)).alias("yhat"))
@@ -71,7 +65,7 @@ def q_voting(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
     long = None
-    for spec in (models.ridge(1.0), models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)):
+    for spec in (models.ridge(1.0), models.random_forest_reg(), models.gbt_reg()):
         p = models.predict_long(models.fit_model(spec, train, cols), test)
         long = p if long is None else long.unionByName(p)
     return models.voting(long)
@@ -82,7 +76,7 @@ def q_cv(spark, d):
     m, cols = _matrix(spark, d)
     folded = splits.time_series_folds(m.where("role = 'train'").drop("role"), 5)
     specs = [models.ridge(1.0), models.lasso(100.0), models.elastic_net(100.0, 0.5), models.kernel_reg(256),
-             models.random_forest_reg(RF_TREES, 10, 2), models.gbt_reg(GBT_ITER, 5, 0.05, 0.8)]
+             models.random_forest_reg(), models.gbt_reg()]
     per_fold = models.cross_validate(specs, folded, cols, "sales")
     return models.cv_summary(per_fold)
 
@@ -90,14 +84,14 @@ def q_cv(spark, d):
 @register("feature_importance")
 def q_importance(spark, d):
     m, cols = _matrix(spark, d)
-    fitted = models.fit_model(models.random_forest_reg(RF_TREES, 10, 2), m.where("role = 'train'"), cols)
+    fitted = models.fit_model(models.random_forest_reg(), m.where("role = 'train'"), cols)
     return models.feature_importance(fitted, spark)
 
 
 @register("top_features")
 def q_top_features(spark, d):
     m, cols = _matrix(spark, d)
-    fitted = models.fit_model(models.random_forest_reg(RF_TREES, 10, 2), m.where("role = 'train'"), cols)
+    fitted = models.fit_model(models.random_forest_reg(), m.where("role = 'train'"), cols)
     return models.top_features(models.feature_importance(fitted, spark), 10)
 
 
@@ -123,9 +117,9 @@ def _clf(spark, d, spec, weights="balanced"):
 
 
 register("logistic")(lambda spark, d: _clf(spark, d, models.logistic(1.0)))
-register("random_forest_clf")(lambda spark, d: _clf(spark, d, models.random_forest_clf(RF_TREES, 10)))
-register("gbt_clf")(lambda spark, d: _clf(spark, d, models.gbt_clf(GBT_ITER, 5, 0.05)))
-register("boosted_trees_clf")(lambda spark, d: _clf(spark, d, models.boosted_trees_clf(GBT_ITER, 5, 0.05, 3.0), "positive"))
+register("random_forest_clf")(lambda spark, d: _clf(spark, d, models.random_forest_clf()))
+register("gbt_clf")(lambda spark, d: _clf(spark, d, models.gbt_clf()))
+register("boosted_trees_clf")(lambda spark, d: _clf(spark, d, models.boosted_trees_clf(), "positive"))
 
 
 @register("stacking_clf")
@@ -134,7 +128,7 @@ def q_stacking_clf(spark, d):
     train, test = _train_test(m)
     cols = list(customers.CHURN_FEATURES)
     bases, meta = models.stacking_fit(
-        [models.logistic(1.0), models.random_forest_clf(RF_TREES, 10), models.boosted_trees_clf(GBT_ITER, 5, 0.05, 3.0)],
+        [models.logistic(1.0), models.random_forest_clf(), models.boosted_trees_clf()],
         models.logistic(1.0, balanced=False, scaler=None), train, cols, "churn_label", 3, order="customer_no",
     )
     p = models.stacking_predict(bases, meta, test, out="probability")
