@@ -233,3 +233,26 @@ def test_co_training_on_held_out_documents(docs_of, spark):
     plain = op1.fit(docs, known.filter("quality = 1"))
     assert not plain.views and plain.score(docs).filter("kept").count() == len(rows)
     assert op1.fit(docs.limit(0), known).score(docs.limit(0)).count() == 0
+
+
+def test_co_training_hands_over_the_surest_of_all_documents(spark, monkeypatch):
+    # 15,000 unlabelled documents, more than any fixed pool or count would take.
+    good = F.col("doc_id") % 2 == 0
+    docs = spark.range(15_400).select(
+        F.col("id").alias("doc_id"),
+        F.when(good, F.concat(F.lit("quiet river stone "), F.col("id").cast("string"))).otherwise(F.lit("BUY NOW!! ###")).alias("text"),
+        F.when(good, "good").otherwise("bad").alias("source"),
+        F.lit("en").alias("lang"),
+        (F.col("id") % 900).alias("n_chars"),
+    )
+    known = docs.filter("doc_id < 400").select("doc_id", good.cast("int").alias("quality"))
+    fitted = []
+    monkeypatch.setattr(op1.View, "__init__", lambda self, name, train, held, init=op1.View.__init__: (fitted.append(train), init(self, name, train, held))[1])
+    op1.fit(docs, known, rounds=1)
+    first = fitted[0].count()
+    for train in fitted[2:]:
+        told = train.filter("id >= 400")
+        count = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+        assert train.count() - told.count() == first and told.select("id").distinct().count() == told.count()
+        assert min(count[0.0], count[1.0]) >= 1_490
+        assert told.filter((F.col("label") == 1) != (F.col("id") % 2 == 0)).count() == 0

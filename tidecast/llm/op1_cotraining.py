@@ -2,20 +2,23 @@
 
 One classifier sees the text (hashed words and word shapes), the other the
 page's metadata (source, language, length). Both are logistic regressions
-fitted on labelled documents. Over rounds, each hands the other the documents
-of an unlabelled pool that it is most sure of, as pseudo-labels: its sureness
-counts after calibration on held-out labels (Platt scaling), so a view that
-tells nothing hands over nothing. In the end the calibrated log-odds of both
-views are added, less the prior's, and every document gets a score; one scan
-of the documents, no shuffle.
-
-The fit uses bounded samples, the documents with the smallest hashes of their
-doc_id: ``LABELLED_ROWS`` labelled ones (one in five held out) and
-``POOL_ROWS`` unlabelled ones. Scores cover all rows.
+fitted on labelled documents. Over rounds, each scores every unlabelled
+document and hands the other those that it is most sure of, as pseudo-labels:
+its sureness counts after calibration on held-out labels (Platt scaling), so a
+view that tells nothing hands over nothing. In the end the calibrated log-odds
+of both views are added, less the prior's, and every document gets a score;
+one scan of the documents, no shuffle.
+
+A round takes from all unlabelled documents: a scan leaves each one's
+log-odds and metadata, a distributed quantile of them gives each view's
+thresholds, and only the texts that the metadata view hands over are shuffled.
+The labelled documents alone are a bounded sample, the ``LABELLED_ROWS`` with
+the smallest hashes of their doc_id (one in five held out).
 
 Defined cases: a null or empty text has no features and is scored by the
 intercept and its metadata, a null source or language is a value of its own, a
-null length counts as 0; several labels of one doc_id count as the lowest;
+null length counts as 0; several labels of one doc_id count as the lowest,
+several rows of an unlabelled one are handed over once;
 without labels of both kinds every document has the share of good labels as
 its score (1 if there are none); repeated rows get equal scores; an empty
 table gives an empty result; input columns named like a result column give
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import UPPER, col, materialise, table
 
 LABELLED_ROWS = 10_000
-POOL_ROWS = 10_000
 ROUNDS = 2
-#: Pseudo-labels that a view hands over per round and class, at most.
-PER_ROUND = 1_000
+#: Share of all unlabelled documents that a view hands over per class, more by
+#: as much every round; ties at the threshold go with it.
+HANDED = 0.1
+#: Rank accuracy of the thresholds: one part in so many.
+_QUANTILE = 10_000
 #: Calibrated probability from which a pseudo-label counts as sure.
 SURE = 0.95
 _WORD_BUCKETS = 1 << 14
@@ -105,6 +110,14 @@ def _transform(df: DataFrame, steps: list[Transformer]) -> DataFrame:
     return df
 
 
+def _featured(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with one view's features; only that view's fields are read."""
+    meta = ["_meta", "_size"]
+    made = _view_columns("source", "lang", "n_chars", "text")
+    wanted = meta if name == "metadata" else [n for n in made if n not in meta]
+    return _transform(df.select("*", *[made[n].alias(n) for n in wanted]), _featuriser()[name])
+
+
 def _sigmoid(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
@@ -132,13 +145,12 @@ class View:
         margin = vector_to_array(f"_{self.name}_raw")[1]
         return self.model.transform(df).withColumn(f"{self.name}_odds", self.slope * margin + self.offset)
 
-    def sure(self, pool: DataFrame, rows: int) -> DataFrame:
-        """The pool's documents that this view is surest of, labelled."""
+    def sure(self, ends: list[float] | None) -> Column:
+        """The label that this view is sure of, beyond the thresholds of both
+        classes; else null."""
+        low, high = ends or (-math.inf, math.inf)
         odds, least = F.col(f"{self.name}_odds"), math.log(SURE / (1 - SURE))
-        scored = self.log_odds(pool)
-        good = scored.filter(odds >= least).orderBy(odds.desc(), "id").limit(rows).withColumn("label", F.lit(1.0))
-        bad = scored.filter(odds <= -least).orderBy(odds, "id").limit(rows).withColumn("label", F.lit(0.0))
-        return good.union(bad).select(*pool.columns, "label")
+        return F.when(odds >= max(high, least), 1.0).when(odds <= min(low, -least), 0.0)
 
 
 class CoTrained:
@@ -177,6 +189,27 @@ def _smallest(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
+def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """One row of every id without a label; repeated rows are combined before
+    the shuffle."""
+    fields = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.min(F.struct(*fields)).alias("f")).join(known, "id", "left_anti").select("id", "f.*")
+
+
+def _handed(docs: DataFrame, known: DataFrame, views: list[View], share: float) -> list[DataFrame]:
+    """What the metadata view hands to the text view and the other way round:
+    the surest of all unlabelled documents, with the taker's features."""
+    text, metadata = views
+    scored = text.log_odds(_featured(docs, "text")).select("id", "source", "lang", "n_chars", "text_odds")
+    scored = metadata.log_odds(_featured(materialise(_unlabelled(scored, known)), "metadata"))
+    ends = scored.agg(*[F.percentile_approx(f"{v.name}_odds", [share, 1 - share], _QUANTILE).alias(v.name) for v in views]).first()
+    by_text = scored.withColumn("label", text.sure(ends["text"])).filter("label is not null")
+    # The metadata is judged before any text is looked at.
+    judged = metadata.log_odds(_featured(docs, "metadata")).withColumn("label", metadata.sure(ends["metadata"]))
+    by_metadata = _unlabelled(judged.filter("label is not null").select("id", "label", "text"), known)
+    return [_featured(by_metadata, "text").select("id", "label", "_text_x"), by_text.select("id", "label", "_metadata_x")]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -187,7 +220,6 @@ def fit(
     lang: str = "lang",
     n_chars: str = "n_chars",
     labelled_rows: int = LABELLED_ROWS,
-    pool_rows: int = POOL_ROWS,
     rounds: int = ROUNDS,
 ) -> CoTrained:
     known = (
@@ -196,21 +228,16 @@ def fit(
         .groupBy("id")
         .agg(F.min("label").alias("label"))
     )
-    ids = docs.select(col(doc_id).alias("id")).dropna()
-    pool_ids = _smallest(ids.join(known, "id", "left_anti").distinct(), pool_rows).withColumn("label", F.lit(None).cast("double"))
-    # Both samples are bounded, so their ids may go to every task.
-    wanted = F.broadcast(materialise(_smallest(known, labelled_rows).union(pool_ids)))
+    fields = ((doc_id, "id"), (text, "text"), (source, "source"), (lang, "lang"), (n_chars, "n_chars"))
+    plain = docs.select(*[col(c).alias(f) for c, f in fields]).filter("id is not null")
+    # The sample is bounded, so its ids may go to every task.
+    wanted = F.broadcast(materialise(_smallest(known, labelled_rows)))
     # The fields of repeated rows are combined before the shuffle.
-    fields = F.struct(*[col(c).alias(f) for c, f in ((text, "text"), (source, "source"), (lang, "lang"), (n_chars, "n_chars"))])
-    rows = docs.select(col(doc_id).alias("id"), fields.alias("f")).join(wanted, "id").groupBy("id", "label").agg(F.min("f").alias("f"))
-    rows = rows.select("id", "label", "f.*")
-    rows = rows.select("id", "label", *[c.alias(n) for n, c in _view_columns("source", "lang", "n_chars", "text").items()])
-    for steps in _featuriser().values():
-        rows = _transform(rows, steps)
-    rows = materialise(rows.select("id", "label", "_text_x", "_metadata_x"))
+    rows = plain.select("id", F.struct("text", "source", "lang", "n_chars").alias("f")).join(wanted, "id")
+    rows = rows.groupBy("id", "label").agg(F.min("f").alias("f")).select("id", "label", "f.*")
+    labelled = materialise(_featured(_featured(rows, "text"), "metadata").select("id", "label", "_text_x", "_metadata_x"))
     held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) == 0
-    labelled = rows.filter("label is not null")
-    train, held_out, pool = labelled.filter(~held), labelled.filter(held), rows.filter("label is null").drop("label")
+    train, held_out = labelled.filter(~held), labelled.filter(held)
     counts = {(r["held"], r["label"]): r["count"] for r in labelled.groupBy(held.alias("held"), "label").count().collect()}
     good, total = sum(n for (_, y), n in counts.items() if y == 1), sum(counts.values())
     if any(not counts.get((h, y)) for h in (True, False) for y in (0.0, 1.0)):
@@ -218,9 +245,10 @@ def fit(
     views: list[View] = []
     for turn in range(rounds + 1):
         # Each view learns from what the other was surest of in the last round.
-        told = [v.sure(pool, turn * PER_ROUND) for v in reversed(views)] or [None, None]
+        told = _handed(plain, known, views, min(0.5, turn * HANDED)) if views else [None, None]
         views = [
-            View(name, train if more is None else train.unionByName(more), held_out) for name, more in zip(("text", "metadata"), told)
+            View(name, train if more is None else train.select(more.columns).unionByName(more), held_out)
+            for name, more in zip(("text", "metadata"), told)
         ]
     return CoTrained(good / total, views)
 
