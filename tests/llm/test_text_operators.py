@@ -229,3 +229,16 @@ def test_repeated_substrings_match_brute_force(docs_of):
     row = {r["doc_id"]: r for r in op6.digests(out).collect()}[10]
     assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (800, 800, 1, hashlib.sha256(b"").hexdigest())
     assert op6.digests(op6.repeated_spans(docs.drop("spans").limit(0))).count() == 0
+
+
+def test_copies_of_a_text_are_ranked_once(docs_of, monkeypatch):
+    rng = random.Random(17)
+    copied, passage = prose(rng, 40), prose(rng, 20)
+    rows = [(i, copied) for i in range(50)] + [(100, prose(rng, 9) + copied[10:90]), (101, passage), (102, "tail " + passage), (103, prose(rng, 30))]
+    ranked = []
+    monkeypatch.setattr(op6, "_judge_first", lambda rows, *how, judge=op6._judge_first: (ranked.append(rows), judge(rows, *how))[1])
+    want = sorted(str((r[0], s)) for r, s in zip(rows, naive_spans([r[1].encode() for r in rows], 40)))
+    for how in ({}, {"hot_rows": 1}):
+        got = op6.repeated_spans(docs_of(rows), span=40, gram=9, **how).collect()
+        assert sorted(str((r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]])) for r in got) == want
+    assert all(r.groupBy("t", "place").count().filter("count > 1").isEmpty() for r in ranked)

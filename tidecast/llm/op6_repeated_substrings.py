@@ -29,7 +29,7 @@ a third of all documents) are ranked by grouped counts, combined before the
 shuffle, and a join that Spark can split; all others by sorted windows in one
 shuffle. Texts are shuffled only if they hold rows that are left; fixed-size
 bitmaps (1 MB, whatever the input) tell the others. Exact copies of a text are
-read once.
+counted first and ranked as one text, all of whose bytes repeat.
 
 Defined cases: null and empty texts have no bytes and no spans, as have texts
 under 200 bytes; repeated rows are copies of each other and lose all of their
@@ -310,7 +310,13 @@ def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    positions = texts.filter(F.col("n") >= span).select("t", "text").mapInArrow(_position_rows(span, gram, block), _POSITIONS)
+    long = texts.filter(F.col("n") >= span)
+    copies = kept(long.groupBy("t", "m").count().filter("count > 1").select("t", "m"), "copies")
+    marked = _maybe_in(long, _bitmap(copies))
+    # Copies are counted before the shuffle: a text takes part once.
+    once = kept(marked.filter("maybe").groupBy("t", "m").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("text").alias("text")), "once")
+    distinct = marked.filter("not maybe").select("t", "text").union(once.select("t", "text"))
+    positions = distinct.mapInArrow(_position_rows(span, gram, block), _POSITIONS)
     # One row in SAMPLE tells which ranks are crowded; that only decides by
     # which of two exact ways their rows are counted.
     seen = positions.filter(F.pmod(F.xxhash64("t", "place"), F.lit(SAMPLE)) == 0).groupBy("kg").count()
@@ -339,7 +345,11 @@ def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block:
     else:
         repeats = _judge_windows(named, span, gram, False)
     by_text = runs_.unionByName(repeats).groupBy("t", "m").agg(F.collect_list("run").alias("runs"))
-    return kept(by_text.select("t", "m", _merged(span)("runs").alias("spans")), "spans")
+    spans = by_text.select("t", "m", _merged(span)("runs").alias("spans"))
+    # Of a text that has a copy all bytes repeat.
+    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
+    whole = once.filter("copies > 1").select("t", "m", every.alias("spans"))
+    return kept(spans.join(whole, ["t", "m"], "left_anti").union(whole), "spans")
 
 
 def repeated_spans(
