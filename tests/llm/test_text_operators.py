@@ -242,3 +242,15 @@ def test_copies_of_a_text_are_ranked_once(docs_of, monkeypatch):
         got = op6.repeated_spans(docs_of(rows), span=40, gram=9, **how).collect()
         assert sorted(str((r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]])) for r in got) == want
     assert all(r.groupBy("t", "place").count().filter("count > 1").isEmpty() for r in ranked)
+
+
+def test_passages_shared_by_documents_go_the_hot_way(docs_of, monkeypatch):
+    rng = random.Random(19)
+    passage = prose(rng, 20)
+    rows = [(i, prose(rng, 4) + passage + prose(rng, 4)) for i in range(20)]
+    hot = []
+    monkeypatch.setattr(op6, "_judge_first", lambda rows, *how, judge=op6._judge_first: (hot.append(rows) if how[0] else None, judge(rows, *how))[1])
+    got = op6.repeated_spans(docs_of(rows), span=40, gram=9, hot_rows=1, sample=1).collect()
+    want = sorted(str((r[0], s)) for r, s in zip(rows, naive_spans([r[1].encode() for r in rows], 40)))
+    assert sorted(str((r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]])) for r in got) == want
+    assert len(hot) == 1 and hot[0].select("t").distinct().count() == len(rows)

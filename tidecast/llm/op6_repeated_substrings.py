@@ -1,11 +1,13 @@
-"""Repeated substrings by sparse distributed prefix doubling.
+"""Repeated substrings by window anchors and verified ranks.
 
 Every byte is to be found that a ``span``-byte string (200) covers which also
 starts anywhere else in the corpus. Prefix doubling ranks positions by a short
 prefix first, then by pairs of ranks at growing offsets, and drops a position
 as soon as its rank is unique; ranks past the threshold give the answer. Rows
-for every byte position cannot be kept at scale (16 times the input), so this
-operator ranks a sparse set of positions and is exact all the same:
+for every byte position would be 16 times the input (an estimate, not measured),
+so prefix doubling is replaced here: no ranks are paired and no offset doubles.
+Anchors are chosen as in winnowing, and hashes of three lengths are taken from
+the text and counted. The answer is exact all the same:
 
 * Every 200-byte window has an anchor, the position of the smallest hash of
   its ``GRAM``-byte strings (25). The choice depends on the window's bytes
@@ -299,7 +301,7 @@ def _judge_windows(named: DataFrame, span: int, gram: int, hot: bool) -> DataFra
     return rows.select("t", "m", F.explode(_packed_runs()("first", "starts")).alias("run"))
 
 
-def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block: int) -> DataFrame:
+def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block: int, sample: int) -> DataFrame:
     """(t, m, spans) of the texts that have any. ``texts``: t, m, n, text."""
     from tidecast.session import scratch_path
 
@@ -317,10 +319,10 @@ def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block:
     once = kept(marked.filter("maybe").groupBy("t", "m").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("text").alias("text")), "once")
     distinct = marked.filter("not maybe").select("t", "text").union(once.select("t", "text"))
     positions = distinct.mapInArrow(_position_rows(span, gram, block), _POSITIONS)
-    # One row in SAMPLE tells which ranks are crowded; that only decides by
+    # One row in ``sample`` tells which ranks are crowded; that only decides by
     # which of two exact ways their rows are counted.
-    seen = positions.filter(F.pmod(F.xxhash64("t", "place"), F.lit(SAMPLE)) == 0).groupBy("kg").count()
-    heat = kept(seen.filter(F.col("count") > max(1, hot_rows // SAMPLE)).select("kg"), "heat")
+    seen = positions.filter(F.pmod(F.xxhash64("t", "place"), F.lit(sample)) == 0).groupBy("kg").count()
+    heat = kept(seen.filter(F.col("count") > max(1, hot_rows // sample)).select("kg"), "heat")
     crowded = heat.count()
     # At most one row for every ``hot_rows`` positions, about.
     small = crowded <= 100_000
@@ -353,7 +355,13 @@ def _spans_by_text(texts: DataFrame, span: int, gram: int, hot_rows: int, block:
 
 
 def repeated_spans(
-    docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, hot_rows: int = HOT_ROWS, block: int = _BLOCK
+    docs: DataFrame,
+    text: str = "text",
+    span: int = SPAN,
+    gram: int = GRAM,
+    hot_rows: int = HOT_ROWS,
+    block: int = _BLOCK,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """``docs`` with ``spans``: the maximal runs of bytes [start, end) of the
     UTF-8 text that repeated ``span``-byte strings cover, in order."""
@@ -363,7 +371,7 @@ def repeated_spans(
     )
     plain = plain.withColumn("t", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
     plain = plain.withColumn("m", F.col("n").bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    found = _spans_by_text(plain.select("t", "m", "n", "text"), span, gram, hot_rows, block)
+    found = _spans_by_text(plain.select("t", "m", "n", "text"), span, gram, hot_rows, block, sample)
     marked = _maybe_in(plain, _bitmap(found))
     some = marked.filter("maybe").join(found, ["t", "m"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
