@@ -254,3 +254,12 @@ def test_passages_shared_by_documents_go_the_hot_way(docs_of, monkeypatch):
     want = sorted(str((r[0], s)) for r, s in zip(rows, naive_spans([r[1].encode() for r in rows], 40)))
     assert sorted(str((r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]])) for r in got) == want
     assert len(hot) == 1 and hot[0].select("t").distinct().count() == len(rows)
+
+
+def test_benchmark_blocks_are_measured_and_read_in_turn(spark):
+    rows = [(1, "one item, many rows " * 5)] * 200 + [(i, f"item {i} " * (i % 9)) for i in range(2, 40)] + [(99, "long " * 500)]
+    blocks = op9._blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 700)
+    assert not isinstance(blocks, list)
+    blocks = list(blocks)
+    assert sorted(i for b in blocks for i in b) == sorted({(str(i), t.encode()) for i, t in rows})
+    assert all(len(b) == 1 or sum(len(n) + len(t) + 64 for n, t in b) <= 700 for b in blocks)

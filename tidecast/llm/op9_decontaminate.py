@@ -170,20 +170,34 @@ class Matcher:
         ]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in lists of at most ``block_bytes`` of text (one item at
-    least): the table is cut by hash until each part is measured to fit, and
-    only one part at a time is read."""
+def _parts(items: DataFrame, block_bytes: int, level: int = 0) -> Iterator[DataFrame]:
+    """Parts of distinct items, each measured to fit or a single item."""
+    size = (F.sum(F.octet_length("text") + F.octet_length("name") + 64).alias("size"), F.count("*").alias("n"))
+    whole = items.agg(*size).first()
+    if whole["n"] <= 1 or whole["size"] <= block_bytes:
+        yield items
+        return
+    items = items if level else materialise(items)
+    parts = -(-2 * whole["size"] // block_bytes)
+    place = F.pmod(F.xxhash64("name", "text", F.lit(level)), F.lit(parts))
+    # Two numbers a part.
+    for r in items.groupBy(place.alias("part")).agg(*size).orderBy("part").collect():
+        part = items.filter(place == r["part"])
+        if r["n"] == 1 or r["size"] <= block_bytes:
+            yield part
+        else:
+            yield from _parts(part, block_bytes, level + 1)
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The distinct items in lists of at most ``block_bytes`` of text (one
+    item at least): the table is cut by hash until each part is measured to
+    fit, and a part is read when it is its turn."""
     items = benchmark.select(
         F.coalesce(col(item_id).cast("string"), F.lit("null")).alias("name"), F.coalesce(col(text), F.lit("")).alias("text")
     )
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("name") + 64)).first()[0] or 0
-    parts = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
-    blocks = []
-    for part in range(parts):
-        of_part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == part)
-        blocks.append([(r["name"], r["text"].encode()) for r in of_part.toLocalIterator()])
-    return blocks
+    for part in _parts(items.distinct(), block_bytes):
+        yield [(r["name"], r["text"].encode()) for r in part.toLocalIterator()]
 
 
 def _scan_udf(spark, items: list[tuple[str, bytes]], window: int):
