@@ -13,6 +13,9 @@ from tidecast.llm import (
     op8_chat_masks,
     op9_decontaminate,
     op10_extendible_shards,
+    op11_license_templates,
+    op12_alignment,
+    op13_repair,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_chat_masks": op8_chat_masks.query,
     "op9_decontaminate": op9_decontaminate.query,
     "op10_extendible_shards": op10_extendible_shards.query,
+    "op11_license_templates": op11_license_templates.query,
+    "op12_alignment": op12_alignment.query,
+    "op13_repair": op13_repair.query,
 }
 
 #: Queries without an entry (4, 5 and others) are tested by brute force.
@@ -34,4 +40,5 @@ ORACLE = {
     "op8_chat_masks": op8_chat_masks.SQL,
     "op9_decontaminate": op9_decontaminate.SQL,
     "op10_extendible_shards": op10_extendible_shards.SQL,
+    "op11_license_templates": op11_license_templates.SQL,
 }
