@@ -50,15 +50,15 @@ from tidecast.llm.common import col, lots, materialise, table
 #: Bytes of text in a lot, as far as whole texts allow.
 LOT_BYTES = 1 << 20
 #: Chunks and tokens that a worker's table keeps.
-TABLE_CHUNKS, TABLE_TOKENS = 200_000, 2_000_000
+TABLE_CHUNKS, TABLE_TOKENS = 200_000, 4_000_000
 #: Groups with more links than this are counted by distinct ids.
 _WIDE = 4096
 #: Chunks learned at a time.
-_LEARN = 5000
+_LEARN = 1000
 
 LOTS = (
     "lot long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<long>, sha array<string>, "
-    "pairs array<long>, n_docs array<long>, chunks binary, chunk_ends binary, links binary, links_ends binary, ones binary, ones_ends binary"
+    "pairs array<long>, n_docs array<long>, chunks binary, chunk_sizes binary, links binary, times binary, links_sizes binary, ones binary, ones_sizes binary"
 )
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -111,6 +111,7 @@ class Vocabularies:
         self.a_bytes = byte_level_bytes([self.a.id_to_token(i) for i in range(self.a.get_vocab_size())])
         self.b_bytes = piece_bytes(self.b)
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_leads, self.b_leads = (np.array([x[:1] == b" " for x in y], bool) for y in (self.a_bytes, self.b_bytes))
         # Of ids with the same bytes the ordinary piece, not the byte's.
         same = {x: i for plain in (False, True) for i, x in enumerate(self.b_bytes) if self.b.is_byte(i) != plain}
         self.identity = np.array([same.get(x, -1) for x in self.a_bytes], np.int64)
@@ -144,16 +145,41 @@ class Links:
     def forget(self) -> None:
         self.known = _Numbers()
         zero = np.zeros(0, np.int64)
-        self.good = np.zeros(0, bool)
+        self.good, self.lots = np.zeros(0, bool), np.zeros(0, np.int32)
         #: Per chunk: A tokens, B tokens, groups, links, ends of its one-to-one ids and of its irregular pairs.
         self.counts = np.zeros((4, 0), np.int64)
         self.ones, self.ones_ends = zero, zero
         self.pairs, self.times, self.pairs_ends = zero, zero, zero
         self.strings: list[str] = []
 
+    def compact(self) -> None:
+        """Keep only chunks that several lots had, the most frequent first, up
+        to half the table; whole texts go."""
+        number = np.fromiter(self.known.values(), np.int64, len(self.known))
+        chunks = list(self.known)
+        rank = np.argsort(-self.lots[number], kind="stable")[: TABLE_CHUNKS // 2]
+        rank = rank[self.lots[number[rank]] > 1]
+        kept = number[rank]
+        self.known = _Numbers()
+        for i in rank.tolist():
+            self.known[chunks[i]]
+        self.known.new = []
+        for name, ends in (("ones", "ones_ends"), ("pairs", "pairs_ends"), ("times", "pairs_ends")):
+            at, _ = _expand(getattr(self, ends), kept)
+            setattr(self, name, getattr(self, name)[at])
+        for ends in ("ones_ends", "pairs_ends"):
+            size = np.diff(getattr(self, ends), prepend=0)
+            setattr(self, ends, np.cumsum(size[kept]))
+        self.good, self.counts, self.lots = self.good[kept], self.counts[:, kept], np.zeros(len(kept), np.int32)
+        self.strings = [self.strings[i] for i in kept.tolist()]
+        if len(self.ones) + len(self.pairs) > TABLE_TOKENS // 2:
+            self.forget()
+
     def add(self, texts: list[str], whole: bool) -> None:
         """Chunks or whole texts, each encoded behind a space; not good where
         bytes differ or a chunk opens with white space."""
+        if not whole and self._joined(texts):
+            return
         v = self.v
         sure = [t if whole or t and not t[0].isspace() and t[0] != "\u180e" else "" for t in texts]
         a = [e.ids for e in v.a.encode_batch_fast([" " + t for t in sure], add_special_tokens=False)]
@@ -165,12 +191,34 @@ class Links:
             good.append(fits)
             if not fits:
                 a[i], b[i] = [], []
-        self._append(np.array(good, bool), a, b)
-
-    def _append(self, good: np.ndarray, a: list[list[int]], b: list[list[int]]) -> None:
+        sizes = [np.array([len(x) for x in ids], np.int64) for ids in (a, b)]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in zip((a, b), sizes)]
+        self._append(np.array(good, bool), *sizes, *ids)
+
+    def _joined(self, chunks: list[str]) -> bool:
+        """Chunks encoded in one go, joined by spaces, and cut where a token
+        opens with a space; False, and nothing done, if that is not exact."""
+        if any(not c or c[0].isspace() or c[0] == "\u180e" for c in chunks):
+            return False
+        v, text = self.v, " ".join(chunks)
+        want = (" " + text).encode()
+        sizes, ids = [], []
+        for got, entries, leads in (
+            (v.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, v.a_bytes, v.a_leads),
+            (v.b.encode(text, num_threads=1), v.b_bytes, v.b_leads),
+        ):
+            if b"".join(map(entries.__getitem__, got)) != want:
+                return False
+            ids.append(np.array(got, np.int64))
+            first = np.flatnonzero(leads[ids[-1]])
+            if len(first) != len(chunks):
+                return False
+            sizes.append(np.diff(np.append(first, len(got))))
+        self._append(np.ones(len(chunks), bool), *sizes, *ids)
+        return True
+
+    def _append(self, good: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> None:
         v, n = self.v, len(good)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        ia, ib = (np.fromiter((i for x in ids for i in x), np.int64, m) for ids, m in ((a, n_a.sum()), (b, n_b.sum())))
         end_a, end_b = np.cumsum(v.a_size[ia]), np.cumsum(v.b_size[ib])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         ga, gb = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
@@ -183,6 +231,7 @@ class Links:
         keys, times = self._irregular(np.flatnonzero(~one), chunk, ia, ib, wa, wb, first_a, first_b)
         n_pairs = len(v.a_size) * len(v.b_size)
         self.good = np.concatenate([self.good, good])
+        self.lots = np.concatenate([self.lots, np.zeros(n, np.int32)])
         self.counts = np.hstack([self.counts, [n_a, n_b, np.bincount(chunk, minlength=n), links]])
         self.ones_ends = np.concatenate([self.ones_ends, len(self.ones) + np.cumsum(np.bincount(chunk[one], minlength=n))])
         self.ones = np.concatenate([self.ones, ia[first_a[one]]])
@@ -232,7 +281,7 @@ class Links:
     def lot(self, texts: list[str]) -> list[list[int]]:
         """Numbers of each text's chunks; none for texts without tokens."""
         if len(self.strings) > TABLE_CHUNKS or len(self.ones) + len(self.pairs) > TABLE_TOKENS:
-            self.forget()
+            self.compact()
         known = self.known
         if self.v.by_chunk:
             numbers = [list(map(known.__getitem__, t.split(" "))) if t else [] for t in texts]
@@ -258,6 +307,7 @@ class Links:
         ends = np.cumsum(sizes)
         flat = np.fromiter(chain.from_iterable(numbers), np.int64, ends[-1])
         used, local = np.unique(flat, return_inverse=True)
+        self.lots[used] += 1
         # Documents that hold an id or a pair: chunks count once a document.
         seen = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(used)) + local)
         doc, chunk = (seen // len(used), used[seen % len(used)]) if len(seen) else (seen, seen)
@@ -273,7 +323,6 @@ class Links:
         sums = [_sums(c[flat], ends).tolist() for c in self.counts]
         at, of = _expand(self.pairs_ends, used)
         one_at, one_of = _expand(self.ones_ends, used)
-        small = "<u4"
         return {
             "lot": lot,
             "doc_id": ids,
@@ -281,15 +330,27 @@ class Links:
             "sha": [hashlib.sha256(";".join(map(self.strings.__getitem__, n)).encode()).hexdigest() if n else "" for n in numbers],
             "pairs": pairs,
             "n_docs": np.bincount(place[~counted], minlength=len(pairs)),
-            "chunks": local.astype(small).tobytes(),
-            "chunk_ends": ends.astype(small).tobytes(),
-            "links": np.stack([np.searchsorted(pairs, self.pairs[at]), self.times[at]]).astype(small).tobytes(),
-            "links_ends": np.cumsum(np.bincount(of, minlength=len(used))).astype(small).tobytes(),
-            "ones": self.ones[one_at].astype(small).tobytes(),
-            "ones_ends": np.cumsum(np.bincount(one_of, minlength=len(used))).astype(small).tobytes(),
+            "chunks": _packed(local),
+            "chunk_sizes": _packed(sizes),
+            "links": _packed(np.searchsorted(pairs, self.pairs[at])),
+            "times": _packed(self.times[at]),
+            "links_sizes": _packed(np.bincount(of, minlength=len(used))),
+            "ones": _packed(self.ones[one_at]),
+            "ones_sizes": _packed(np.bincount(one_of, minlength=len(used))),
         }
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes each as the largest asks for; the
+    first byte tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or values.max() < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def _arrow_type(kind: str) -> pa.DataType:
     plain = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     return pa.list_(plain[kind[6:-1]]) if kind.startswith("array<") else plain[kind]
@@ -334,7 +395,7 @@ def encode(docs: DataFrame, folder: str, a_path: str, b_path: str, doc_id: str =
             a = np.flatnonzero(vector)
             yield _lot_batch({"pairs": a * len(links.v.b_size) + links.v.identity[a], "n_docs": vector[a]})
 
-    docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(run, LOTS).write.parquet(folder)
+    docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(run, LOTS).write.option("compression", "zstd").parquet(folder)
 
 
 def pair_counts(spark: SparkSession, folder: str, n_b: int) -> DataFrame:
@@ -374,18 +435,17 @@ def documents(spark: SparkSession, folder: str, counts: DataFrame, n_a: int, n_b
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
-                chunks, ends, links, links_ends, one, ones_ends = (
-                    np.frombuffer(row[n].as_py(), "<u4").astype(np.int64) for n in ("chunks", "chunk_ends", "links", "links_ends", "ones", "ones_ends")
+                chunks, sizes, place, times, links_sizes, one, ones_sizes = (
+                    _unpacked(row[n].as_py()) for n in ("chunks", "chunk_sizes", "links", "times", "links_sizes", "ones", "ones_sizes")
                 )
-                value = np.zeros((2, links.max() + 1 if len(links) else 1), np.int64)
+                value = np.zeros((2, place.max() + 1 if len(place) else 1), np.int64)
                 if row["at"].is_valid:
                     at = row["at"].values.to_numpy()
                     value[0, at], value[1, at] = row["n_docs"].values.to_numpy(), row["best"].values.to_numpy()
-                place, times = links.reshape(2, -1)
                 sums = []
                 for k in range(2):
-                    by_chunk = _sums(value[k, place] * times, links_ends) + _sums(ones[k, one], ones_ends)
-                    sums.append(pa.array(_sums(by_chunk[chunks], ends)))
+                    by_chunk = _sums(value[k, place] * times, np.cumsum(links_sizes)) + _sums(ones[k, one], np.cumsum(ones_sizes))
+                    sums.append(pa.array(_sums(by_chunk[chunks], np.cumsum(sizes))))
                 counts = [row[n].values.cast(pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")]
                 yield pa.RecordBatch.from_arrays([row["doc_id"].values, *counts, sums[1], sums[0], row["sha"].values], names=names)
 
