@@ -1,10 +1,12 @@
-"""The Spark ML penalty mappings reproduce the documented least-squares
+"""Linear fits reproduce the documented least-squares
 objectives (intercept unpenalised), checked against numpy solutions."""
 
 import numpy as np
 import pytest
 
-from tidecast.operators import models
+from pyspark.sql import functions as F
+
+from tidecast.operators import linear, models
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def data(spark):
 
 def _coef(spec, df, cols):
     spec.scaler = None
-    return models.fit_model(spec, df, cols, "y").pipeline.stages[-1].coefficients.toArray()
+    return models.fit_model(spec, df, cols, "y").coefficients
 
 
 @pytest.mark.parametrize("alpha", [1.0, 50.0])
@@ -85,6 +87,59 @@ def test_logistic_matches_newton(spark):
         b -= np.linalg.solve(h, g)
     spec = models.logistic(1.0)
     spec.scaler = None
-    m = models.fit_model(spec, df, ["x0", "x1", "x2"], "churn_label").pipeline.stages[-1]
-    assert np.allclose(m.coefficients.toArray(), b[1:], rtol=1e-3, atol=1e-4)
-    assert abs(m.intercept - b[0]) < 1e-3
+    m = models.fit_model(spec, df, ["x0", "x1", "x2"], "churn_label")
+    assert np.allclose(m.coefficients, b[1:], rtol=1e-7)
+    assert abs(m.intercept - b[0]) < 1e-7
+
+
+def test_logistic_takes_few_passes_and_ends_at_a_flat_point(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] + rng.normal(size=500) > 0).astype(int)
+    df = spark.createDataFrame([tuple(map(float, r)) + (int(t),) for r, t in zip(x, y)], "x0 double, x1 double, x2 double, x3 double, y int").repartition(3)
+    columns = [F.col(f"x{i}") for i in range(4)]
+    w, b, passes = linear.newton(df, columns, "y", linear.logistic_terms, 1.0)
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) + w
+    assert np.abs(slope).max() < 1e-6 and passes < 10
+
+
+def test_gram_parts_add_up_and_solutions_are_optimal(data):
+    x, y, df, cols = data
+    parts = df.withColumn("part", F.pmod(F.xxhash64("y"), F.lit(3)).cast("int")).repartition(5)
+    grams = linear.gram(parts, [F.col(c) for c in cols], "y", part=F.col("part"))
+    z = np.column_stack([x, y, np.ones(len(y))])
+    assert set(grams) == {0, 1, 2} and np.allclose(sum(grams.values()), z.T @ z)
+    w, b = linear.solve_ridge(sum(grams.values()), 7.0)
+    assert np.allclose(x.T @ (y - x @ w - b), 7.0 * w) and abs((y - x @ w - b).sum()) < 1e-6
+    # KKT: the slope of the smooth part is -l1 sign(w), or at most l1 where w is zero.
+    for l1, l2 in ((2.0, 0.0), (4.0, 1.5), (11.0, 0.0)):
+        w, b = linear.solve_elastic(sum(grams.values()), l1, l2)
+        slope = -x.T @ (y - x @ w - b) / len(y) + l2 * w
+        assert np.allclose(slope[w != 0], -l1 * np.sign(w[w != 0]), atol=1e-6) and (np.abs(slope[w == 0]) <= l1 + 1e-6).all()
+
+
+def test_kernel_loss_is_optimal_and_depends_on_c_and_epsilon(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = np.sin(2 * x[:, 0]) * 10 + x[:, 1] + rng.normal(size=400) * 0.3
+    df = spark.createDataFrame([tuple(map(float, r)) + (float(t),) for r, t in zip(x, y)], "x0 double, x1 double, y double").persist()
+    got = {}
+    for c, eps in ((1000.0, 0.1), (0.1, 0.1), (1000.0, 3.0)):
+        m = models.fit_model(models.kernel_reg(64, c, eps, gamma=0.5), df, ["x0", "x1"], "y")
+        got[c, eps] = np.array([r["p"] for r in m.transform(df, "p").orderBy("x0").select("p").collect()])
+        if (c, eps) == (1000.0, 0.1):
+            fine = m
+    order = np.argsort(x[:, 0])
+    assert np.abs(got[1000.0, 0.1] - y[order]).mean() < 1.0
+    assert np.abs(got[0.1, 0.1] - got[1000.0, 0.1]).mean() > 0.05 and np.abs(got[1000.0, 3.0] - got[1000.0, 0.1]).mean() > 0.05
+    # The smoothed objective does not fall in random directions.
+    z = np.array([r["z"] for r in df.select(models._random_features(fine.spec, models._scaled(fine.scaler, fine.features)).alias("z")).collect()])
+    terms = linear.tube_terms(0.1, models.KERNEL_SMOOTH * 0.1)
+
+    def objective(w, b):
+        return terms(z @ w + b, y)[0].sum() + (w @ w) / 2000
+
+    best = objective(fine.coefficients, fine.intercept)
+    for _ in range(30):
+        d = rng.normal(size=64) * 0.05
+        assert objective(fine.coefficients + d, fine.intercept) > best - 1e-3 * abs(best)

@@ -1,44 +1,40 @@
-"""Forecasting regressors and churn classifiers on Spark ML.
+"""Forecasting regressors and churn classifiers.
 
 Models are *pooled*: one fit over the rows of every series (features are
 per-series lags and calendar columns), which is how a global forecaster
 scales to many keys; with a single series it is the per-series model.
 
-Penalties follow the least-squares forms the blueprint documents:
+Penalties follow the least-squares forms the blueprint documents (``n`` rows,
+intercept free):
 
-* ridge ``||y - Xw||^2 + a||w||^2``       -> ``regParam = (a / n) * std_pop(y)``, L2 only
-* lasso ``(1/2n)||y - Xw||^2 + a||w||_1`` -> ``regParam = a``, L1 only
-* elastic net (a, mix)                    -> l1 = a*mix, l2 = a*(1-mix)*std_pop(y),
-  ``regParam = l1 + l2``, ``elasticNetParam = l1 / (l1 + l2)``
-* logistic ``C``                          -> ``regParam = 1 / (C * sum(weight))``
+* ridge ``||y - Xw||^2 + a||w||^2``
+* lasso ``(1/2n)||y - Xw||^2 + a||w||_1``
+* elastic net (a, mix): l1 = a*mix, l2 = a*(1-mix), ``+ (l2/2)||w||^2``
+* logistic ``C``: ``sum_i weight_i logloss_i + (1/2C)||w||^2``
+* kernel: ``||w||^2 / 2 + C sum_i max(0, |r_i| - eps)`` on random features
 
-(Spark scales the L2 part of a linear regression penalty by the label's
-standard deviation; the factors above undo that.) All fits use
-``standardization=False`` because scaling is an explicit step.
+Linear fits come from one Gram table or a few Newton passes (``linear``), tree
+ensembles from histograms of binned rows (``trees``). :func:`fit_parts` fits
+any number of models on any unions of row parts (folds) together.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.quantiles import exact_quantiles
+from tidecast.operators import linear, trees
+
 KEY = "series_key"
 SEED = 42
-#: Candidate split points per feature of all tree models, and the memory for
-#: their statistics: more nodes per pass over the rows.
-MAX_BINS = 64
-NODE_MB = 1024
-SCALED = "__scaled_"
+ALL = -1
 
 
 def match_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -62,24 +58,24 @@ class ColumnScaler:
     scale: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], kind: str = "robust", exact: bool = False) -> "ColumnScaler":
-        """``exact=True`` uses exact percentiles (memory grows with distinct
-        values: fine for a daily matrix, not for a billion customers); the
-        default is ``percentile_approx`` at 1e-4 rank accuracy."""
-        aggs = []
-        for c in cols:
-            x = F.col(c).cast("double")
-            if kind == "robust":
-                q = (lambda p: F.percentile(x, p)) if exact else (lambda p: F.percentile_approx(x, p, 10000))
-                aggs += [q(0.5).alias(f"m_{c}"), (q(0.75) - q(0.25)).alias(f"s_{c}")]
-            elif kind == "standard":
-                aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
-            else:
-                raise ValueError(kind)
-        row = df.agg(*aggs).first().asDict()  # 2 numbers per feature
-        centre = {c: float(row[f"m_{c}"] or 0.0) for c in cols}
-        scale = {c: (float(row[f"s_{c}"]) if row[f"s_{c}"] not in (None, 0) and not math.isnan(row[f"s_{c}"]) else 1.0) for c in cols}
-        return cls(list(cols), centre, scale)
+    def fit(cls, df: DataFrame, cols: Sequence[str], kind: str = "robust") -> "ColumnScaler":
+        """Quantiles are exact (``functions.quantiles``), for any row count."""
+        cols = list(cols)
+        if kind == "robust":
+            found = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+            pairs = [(q[1], None if q[0] is None else q[2] - q[0]) for q in found]
+        elif kind == "standard":
+            x = [F.col(c).cast("double") for c in cols]
+            row = df.agg(*[f(v) for v in x for f in (F.avg, F.stddev_pop)]).first()
+            pairs = [(row[2 * i], row[2 * i + 1]) for i in range(len(cols))]
+        else:
+            raise ValueError(kind)
+        centre = {c: float(m or 0.0) for c, (m, _) in zip(cols, pairs)}
+        scale = {c: float(s) if s not in (None, 0) and not math.isnan(s) else 1.0 for c, (_, s) in zip(cols, pairs)}
+        return cls(cols, centre, scale)
+
+    def columns(self) -> list[Column]:
+        return [(F.col(c).cast("double") - self.centre[c]) / self.scale[c] for c in self.cols]
 
     def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
         """Scaled values, in place or (with ``prefix``) as new columns."""
@@ -89,207 +85,214 @@ class ColumnScaler:
 # ---------------------------------------------------------------- specs
 @dataclass
 class ModelSpec:
-    """A named estimator factory: ``build(train, features, label)`` returns
-    an unfitted Spark ML estimator for an assembled ``features`` vector."""
+    """A named model: a tree job, or a linear method with its parameters."""
 
     name: str
-    build: Callable[[DataFrame, str], object]
+    method: str  # 'tree' | 'ridge' | 'elastic' | 'logistic' | 'kernel'
     scaler: str | None = None  # 'robust' | 'standard' | None
     kind: str = "reg"  # 'reg' | 'clf'
-    pos_weight: float | None = None  # weight of positive rows, 1 for the others
-
-
-def _label_stats(train: DataFrame, label: str) -> tuple[int, float]:
-    r = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    return int(r["n"]), float(r["s"] or 0.0) or 1.0
+    tree: trees.Job | None = None
+    params: dict = field(default_factory=dict)
 
 
 def ridge(alpha: float = 1.0, scaler: str | None = "robust") -> ModelSpec:
     """``scaler=None`` is the meta learner of a stack: base predictions share
     one unit already."""
-
-    def build(train, label):
-        n, s = _label_stats(train, label)
-        return LinearRegression(regParam=alpha / n * s, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-
-    return ModelSpec("ridge", build, scaler)
+    return ModelSpec("ridge", "ridge", scaler, params={"alpha": alpha})
 
 
 def lasso(alpha: float = 100.0, max_iter: int = 5000) -> ModelSpec:
-    def build(train, label):
-        return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=max_iter, tol=1e-6)
-
-    return ModelSpec("lasso", build, "robust")
+    return ModelSpec("lasso", "elastic", "robust", params={"l1": alpha, "l2": 0.0, "max_iter": max_iter})
 
 
 def elastic_net(alpha: float = 100.0, mix: float = 0.5) -> ModelSpec:
-    def build(train, label):
-        _, s = _label_stats(train, label)
-        l1, l2 = alpha * mix, alpha * (1 - mix) * s
-        return LinearRegression(regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), standardization=False, maxIter=1000)
-
-    return ModelSpec("elastic_net", build, "robust")
+    return ModelSpec("elastic_net", "elastic", "robust", params={"l1": alpha * mix, "l2": alpha * (1 - mix), "max_iter": 5000})
 
 
-def random_forest_reg(trees: int = 200, depth: int = 10, min_leaf: int = 2) -> ModelSpec:
-    return ModelSpec(
-        "random_forest",
-        lambda train, label: RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED
-        ),
-    )
-
+def random_forest_reg(trees_: int = 200, depth: int = 10, min_leaf: int = 2) -> ModelSpec:
+    return ModelSpec("random_forest", "tree", tree=trees.Job("forest", trees_, depth, min_rows=min_leaf, seed=SEED))
 
-def gbt_reg(trees: int = 200, depth: int = 5, lr: float = 0.05, subsample: float = 0.8) -> ModelSpec:
-    return ModelSpec(
-        "gradient_boosting",
-        lambda train, label: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=subsample, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED),
-    )
 
+def gbt_reg(trees_: int = 200, depth: int = 5, lr: float = 0.05, subsample: float = 0.8) -> ModelSpec:
+    return ModelSpec("gradient_boosting", "tree", tree=trees.Job("boost", trees_, depth, rate=lr, rows=subsample, seed=SEED))
 
-def boosted_trees_reg(trees: int = 500, depth: int = 6, lr: float = 0.05, row: float = 0.8, col: float = 0.8, min_child: int = 3) -> ModelSpec:
-    """The boosted-tree forecaster: row and column sampling, minimum leaf
-    size. Column sampling here is per split node."""
-    return ModelSpec(
-        "boosted_trees",
-        lambda train, label: GBTRegressor(
-            maxIter=trees, maxDepth=depth, stepSize=lr, subsamplingRate=row,
-            featureSubsetStrategy=str(col), minInstancesPerNode=min_child, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED,
-        ),
-    )
 
+def boosted_trees_reg(trees_: int = 500, depth: int = 6, lr: float = 0.05, row: float = 0.8, col: float = 0.8, min_child: int = 3) -> ModelSpec:
+    """The boosted-tree forecaster: row and column samples per tree, a smallest
+    leaf, and a penalty of one on leaf values."""
+    return ModelSpec("boosted_trees", "tree", tree=trees.Job("boost", trees_, depth, rate=lr, rows=row, cols=col, min_rows=min_child, lam=1.0, seed=SEED))
 
-def kernel_reg(features: int = 256, gamma: float | None = None, seed: int = SEED) -> ModelSpec:
-    """``kernel_reg``: an RBF-kernel regressor approximated by seeded random
-    Fourier features (computed as SQL columns in :func:`fit_model`) and a
-    Huber-loss linear fit. An approximation of kernel regression, not SVR."""
-    spec = ModelSpec(
-        "kernel",
-        lambda train, label: LinearRegression(loss="huber", regParam=1e-3, standardization=False, maxIter=200),
-        "standard",
-    )
-    spec.rff = (features, gamma, seed)  # type: ignore[attr-defined]
-    return spec
 
+def kernel_reg(features: int = 256, c: float = 1000.0, epsilon: float = 0.1, gamma: float | None = None, seed: int = SEED) -> ModelSpec:
+    """``kernel_reg``: support-vector regression with an RBF kernel on seeded
+    random Fourier features: the epsilon-insensitive loss, its corner rounded
+    over ``smooth``, weighted ``c`` against the squared norm, by Newton."""
+    return ModelSpec("kernel", "kernel", "standard", params={"features": features, "c": c, "epsilon": epsilon, "gamma": gamma, "seed": seed})
 
-def logistic(c: float = 1.0, balanced: bool = True, max_iter: int = 1000, scaler: str | None = "standard") -> ModelSpec:
-    def build(train, label):
-        wsum = float(train.agg(F.sum("weight")).first()[0]) if balanced else float(train.count())
-        kw = {"weightCol": "weight"} if balanced else {}
-        return LogisticRegression(regParam=1.0 / (c * wsum), elasticNetParam=0.0, standardization=False, maxIter=max_iter, **kw)
 
-    return ModelSpec("logistic", build, scaler, "clf")
+def logistic(c: float = 1.0, balanced: bool = True, max_iter: int = 100, scaler: str | None = "standard") -> ModelSpec:
+    return ModelSpec("logistic", "logistic", scaler, "clf", params={"c": c, "balanced": balanced, "max_iter": max_iter})
 
 
-def random_forest_clf(trees: int = 200, depth: int = 10, balanced: bool = True) -> ModelSpec:
-    kw = {"weightCol": "weight"} if balanced else {}
-    return ModelSpec("random_forest", lambda train, label: RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED, **kw), None, "clf")
+def random_forest_clf(trees_: int = 200, depth: int = 10, balanced: bool = True) -> ModelSpec:
+    return ModelSpec("random_forest", "tree", None, "clf", trees.Job("forest", trees_, depth, loss="logistic", weighted=balanced, seed=SEED))
 
 
-def gbt_clf(trees: int = 200, depth: int = 5, lr: float = 0.05) -> ModelSpec:
-    return ModelSpec("gradient_boosting", lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED), None, "clf")
+def gbt_clf(trees_: int = 200, depth: int = 5, lr: float = 0.05) -> ModelSpec:
+    return ModelSpec("gradient_boosting", "tree", None, "clf", trees.Job("boost", trees_, depth, rate=lr, loss="logistic", seed=SEED))
 
 
-def boosted_trees_clf(trees: int = 200, depth: int = 5, lr: float = 0.05, pos_weight: float = 3.0) -> ModelSpec:
+def boosted_trees_clf(trees_: int = 200, depth: int = 5, lr: float = 0.05, pos_weight: float = 3.0) -> ModelSpec:
     """Boosted trees with positives weighted ``pos_weight``, whatever class
     weights the training rows carry for other models."""
-    return ModelSpec(
-        "boosted_trees",
-        lambda train, label: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=lr, weightCol="_positive_weight", maxBins=MAX_BINS, maxMemoryInMB=NODE_MB, seed=SEED),
-        None,
-        "clf",
-        pos_weight,
-    )
+    return ModelSpec("boosted_trees", "tree", None, "clf", trees.Job("boost", trees_, depth, rate=lr, lam=1.0, loss="logistic", pos_weight=pos_weight, seed=SEED))
 
 
 # ---------------------------------------------------------------- fitting
 @dataclass
 class FittedModel:
+    """A fitted spec; linear ones have coefficients of the (scaled) columns."""
+
     spec: ModelSpec
     features: list[str]
-    scaler: ColumnScaler | None
-    pipeline: PipelineModel
     label: str
+    scaler: ColumnScaler | None = None
+    coefficients: np.ndarray | None = None
+    intercept: float = 0.0
+    trees: trees.Fitted | None = None
 
     def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
         """Adds the prediction (or positive-class probability) as ``out``;
         the input columns are left unchanged."""
-        feats = [SCALED + c for c in self.features] if self.scaler else self.features
-        x = self.scaler.transform(df, SCALED) if self.scaler else df
-        x = _add_rff(x, self.spec, feats)
-        pred = self.pipeline.transform(x)
-        pred = pred.drop(*[SCALED + c for c in self.features]) if self.scaler else pred
-        value = vector_to_array("probability")[1] if self.spec.kind == "clf" else F.col("prediction")
-        pred = pred.withColumn("_out", value).drop("features", "prediction", "rawPrediction", "probability")
-        return pred.drop("_rff").withColumnRenamed("_out", out)
+        if self.trees is not None:
+            return self.trees.transform(df, out)
+        if self.spec.method == "kernel":
+            z = _random_features(self.spec, _scaled(self.scaler, self.features), self.coefficients)
+            return df.withColumn(out, z + self.intercept)
+        # A sum by pairs: 61 terms in a row would nest 61 levels deep.
+        terms = [c * float(w) for c, w in zip(_scaled(self.scaler, self.features), self.coefficients)]
+        while len(terms) > 1:
+            terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        margin = (terms[0] if terms else F.lit(0.0)) + float(self.intercept)
+        return df.withColumn(out, 1.0 / (1.0 + F.exp(-margin)) if self.spec.kind == "clf" else margin)
 
     def importance(self) -> list[tuple[str, float]]:
-        m = self.pipeline.stages[-1]
-        names = [f"rff_{i}" for i in range(self.spec.rff[0])] if hasattr(self.spec, "rff") else list(self.features)
-        if hasattr(m, "featureImportances"):
-            vals = m.featureImportances.toArray()
-        elif hasattr(m, "coefficients"):
-            vals = [abs(v) for v in m.coefficients.toArray()]
-        else:
-            vals = [0.0] * len(names)
-        return list(zip(names, [float(v) for v in vals]))
+        """Trees: gains that sum to one; linear: absolute coefficients."""
+        if self.trees is not None:
+            return self.trees.importance()
+        names = [f"rff_{i}" for i in range(len(self.coefficients))] if self.spec.method == "kernel" else self.features
+        return list(zip(names, np.abs(self.coefficients).tolist()))
 
 
-def _rff_cols(spec: ModelSpec, features: Sequence[str]) -> dict[str, Column]:
-    """Random Fourier features of the (scaled) inputs as one vector column.
+def _scaled(scaler: ColumnScaler | None, features: Sequence[str]) -> list[Column]:
+    return scaler.columns() if scaler else [F.col(c).cast("double") for c in features]
 
-    ``cos(X W' + b) * sqrt(2/d)`` is a dense matrix product per row batch,
-    so it runs as an Arrow-batched pandas UDF (numpy inside the task); the
-    seeded ``W`` and ``b`` are a few kB and travel with the function.
-    """
-    if not hasattr(spec, "rff"):
-        return {}
-    import numpy as np
-    from pyspark.ml.functions import array_to_vector
-
-    d, gamma, seed = spec.rff  # type: ignore[attr-defined]
-    gamma = gamma if gamma is not None else 1.0 / max(len(features), 1)
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, len(features)))
+
+def _random_features(spec: ModelSpec, columns: Sequence[Column], beta: np.ndarray | None = None) -> Column:
+    """Random Fourier features ``cos(X W' + b) * sqrt(2/d)`` as an array or,
+    with ``beta``, their product with it: a dense matrix product per Arrow
+    batch; the seeded ``W`` and ``b`` are a few kB and travel along."""
+    d, gamma = spec.params["features"], spec.params["gamma"]
+    gamma = gamma if gamma is not None else 1.0 / max(len(columns), 1)
+    rng = np.random.default_rng(spec.params["seed"])
+    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, len(columns)))
     b = rng.uniform(0, 2 * math.pi, size=d)
     scale = math.sqrt(2.0 / d)
 
-    @F.pandas_udf("array<double>")
-    def rff(x: pd.DataFrame) -> pd.Series:
+    @F.pandas_udf("array<double>" if beta is None else "double")
+    def features(x: pd.DataFrame) -> pd.Series:
         z = np.cos(x.to_numpy(dtype=float, na_value=0.0) @ w.T + b) * scale
-        return pd.Series(list(z))
-
-    return {"_rff": array_to_vector(rff(F.struct(*[F.col(f).cast("double") for f in features])))}
-
-
-def _model_inputs(spec: ModelSpec, features: Sequence[str]) -> list[str]:
-    return ["_rff"] if hasattr(spec, "rff") else list(features)
+        return pd.Series(list(z) if beta is None else z @ beta)
+
+    return features(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
+
+
+def _row_ids(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """Columns that name a row for bagging: draws are a hash of them."""
+    for ids in ((KEY, "date"), ("customer_no",)):
+        if all(c in df.columns for c in ids):
+            return list(ids)
+    return list(features)
+
+
+def fit_parts(
+    specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], label: str, unions: Sequence[Sequence[int]], part: str | None = None
+) -> list[list[FittedModel]]:
+    """Every spec fitted on every union of row parts (0 to 62, column
+    ``part``): ``[union][spec]``. All tree models grow in the same passes over
+    one set of binned rows; Gram tables are added up by part once per scaler.
+    Scalers and bin cuts are those of all rows of ``df``."""
+    features = list(features)
+    weight = F.col("weight") if "weight" in df.columns else None
+    at = F.col(part) if part else None
+    out: list[list[FittedModel | None]] = [[None] * len(specs) for _ in unions]
+    scalers = {k: ColumnScaler.fit(df, features, k) for k in dict.fromkeys(s.scaler for s in specs) if k}
+    grams: dict[str | None, dict[int, np.ndarray]] = {}
+    jobs = [(u, i) for u in range(len(unions)) for i, s in enumerate(specs) if s.method == "tree"]
+    if jobs:
+        data = trees.bin_rows(df, features, label, _row_ids(df, features), weight, at)
+        fitted = trees.fit(data, [trees.on_parts(specs[i].tree, unions[u]) if part else specs[i].tree for u, i in jobs])
+        for (u, i), f in zip(jobs, fitted):
+            out[u][i] = FittedModel(specs[i], features, label, trees=f)
+    for i, s in enumerate(specs):
+        if s.method == "tree":
+            continue
+        scaler = scalers.get(s.scaler)
+        columns = _scaled(scaler, features)
+        for u, parts in enumerate(unions):
+            if s.method in ("ridge", "elastic"):
+                if s.scaler not in grams:
+                    grams[s.scaler] = linear.gram(df, columns, label, part=at)
+                table = sum(g for p, g in grams[s.scaler].items() if not part or p in parts)
+                if s.method == "ridge":
+                    w, b = linear.solve_ridge(table, s.params["alpha"])
+                else:
+                    w, b = linear.solve_elastic(table, s.params["l1"], s.params["l2"], s.params["max_iter"])
+            else:
+                only = parts if part else None
+                if s.method == "logistic":
+                    w, b, _ = linear.newton(
+                        df, columns, label, linear.logistic_terms, 1.0 / s.params["c"], weight if s.params["balanced"] else None, only, at, max_iter=s.params["max_iter"]
+                    )
+                else:
+                    w, b = _fit_kernel(s, df, columns, label, only, at)
+            out[u][i] = FittedModel(s, features, label, scaler, w, b)
+    return out
+
+
+#: The rounded corner of the kernel model's loss, in epsilons, and Newton passes.
+KERNEL_SMOOTH, KERNEL_PASSES = 2.0, 60
+
+
+def _fit_kernel(spec: ModelSpec, df: DataFrame, columns: list[Column], label: str, parts, part: Column | None) -> tuple[np.ndarray, float]:
+    """Newton from wide to narrow corners: each starts where the last ended."""
+    c, eps, d = spec.params["c"], spec.params["epsilon"], spec.params["features"]
+    spread = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0] or 1.0
+    z = df.select(
+        _random_features(spec, columns).alias("_z"), F.col(label).cast("double").alias("_y"), (part if part is not None else F.lit(0)).alias("_p")
+    ).persist()
+    beta, last, passes = None, KERNEL_SMOOTH * eps, 0
+    smooth = max(float(spread), last)
+    while passes < KERNEL_PASSES:
+        w, b, used = linear.newton(
+            z, F.col("_z"), "_y", linear.tube_terms(eps, smooth), 1.0 / c, None, parts, F.col("_p"), beta, min(KERNEL_PASSES - passes, 12), 1e-6, d
+        )
+        beta, passes = np.append(w, b), passes + used
+        if smooth <= last:
+            break
+        smooth = max(smooth / 8, last)
+    z.unpersist()
+    return beta[:-1], float(beta[-1])
 
 
-def _add_rff(df: DataFrame, spec: ModelSpec, features: Sequence[str]) -> DataFrame:
-    rff = _rff_cols(spec, features)
-    return df.withColumns(rff) if rff else df
+def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = "sales") -> FittedModel:
+    """Fit one spec on all rows of ``train``."""
+    return fit_parts([spec], train, features, label, [()])[0][0]
 
 
-def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = "sales") -> FittedModel:
-    """Fit one spec: optional scaler on train rows, assembler, estimator."""
-    feats = list(features)
-    scaler = ColumnScaler.fit(train, feats, spec.scaler) if spec.scaler else None
-    x = scaler.transform(train, SCALED) if scaler else train
-    used = [SCALED + c for c in feats] if scaler else feats
-    if spec.pos_weight is not None:
-        x = x.withColumn("_positive_weight", F.when(F.col(label) == 1, F.lit(spec.pos_weight)).otherwise(F.lit(1.0)))
-    x = _add_rff(x, spec, used)
-    inputs = _model_inputs(spec, used)
-    est = spec.build(x, label)
-    est.setLabelCol(label)
-    if hasattr(spec, "rff"):
-        est.setFeaturesCol("_rff")
-        pipe = Pipeline(stages=[est])
-    else:
-        est.setFeaturesCol("features")
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), est])
-    return FittedModel(spec, feats, scaler, pipe.fit(x), label)
+def fit_models(specs: Sequence[ModelSpec], train: DataFrame, features: Sequence[str], label: str = "sales") -> list[FittedModel]:
+    """Fit several specs on the same rows, tree models together."""
+    return fit_parts(specs, train, features, label, [()])[0]
 
 
 def predict_long(fitted: FittedModel, df: DataFrame, label: str = "sales", floor: bool = True) -> DataFrame:
@@ -308,6 +311,7 @@ def feature_importance(fitted: FittedModel, spark=None) -> DataFrame:
     from pyspark.sql import SparkSession
 
     spark = spark or SparkSession.getActiveSession()
+    # One row a feature.
     return spark.createDataFrame(
         [(fitted.spec.name, f, v) for f, v in fitted.importance()], "model string, feature string, importance double"
     )
@@ -330,18 +334,6 @@ def voting(long: DataFrame, members: Sequence[str] = ("ridge", "random_forest",
     )
 
 
-def _parallel(tasks, parallelism: int):
-    """Run independent Spark ML fits from a thread pool (each fit submits its
-    own jobs; Spark schedules concurrent jobs from different threads), the
-    way ``CrossValidator(parallelism=...)`` does."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    if parallelism <= 1:
-        return [t() for t in tasks]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(lambda t: t(), tasks))
-
-
 def stacking_fit(
     bases: Sequence[ModelSpec],
     meta: ModelSpec,
@@ -350,42 +342,44 @@ def stacking_fit(
     label: str = "sales",
     folds: int = 3,
     order: str = "date",
-    parallelism: int = 4,
 ) -> tuple[list[FittedModel], FittedModel]:
     """``stacking_reg`` / ``stacking_clf``: out-of-fold base predictions
-    from ``folds`` blocks train the meta model; the bases are then refitted
-    on all rows. The fold x base fits and the full refits are independent
-    and run ``parallelism`` at a time.
+    from ``folds`` blocks train the meta model; the bases are also fitted on
+    all rows. Fold and full fits are unions of the same parts, so all of them
+    grow in the same passes.
 
     Blocks are contiguous in ``order`` within each series (``ntile`` over a
-    window partitioned by series); without a series column the rows form
-    one ordered block sequence.
+    window partitioned by series); without a series column they are seeded
+    hashes of ``order``.
     """
+    tr = _with_stack_fold(train, folds, order).persist()
+    unions = [[p for p in range(folds) if p != k] for k in range(folds)] + [list(range(folds))]
+    *by_fold, full = fit_parts(bases, tr, features, label, unions, "_fold")
+    oof = out_of_fold(by_fold, tr, bases)
+    meta_fit = fit_model(meta, oof, [f"_base_{b.name}" for b in bases], label)
+    tr.unpersist()
+    return full, meta_fit
+
+
+def _with_stack_fold(train: DataFrame, folds: int, order: str) -> DataFrame:
     from pyspark.sql import Window
 
     if KEY in train.columns:
-        tr = train.withColumn("_fold", F.ntile(folds).over(Window.partitionBy(KEY).orderBy(order)))
-    else:
-        # Rows without a series (customers): seeded hash folds, so no global
-        # sort puts every row in one task.
-        h = F.xxhash64(F.col(order).cast("string"), F.lit(SEED))
-        tr = train.withColumn("_fold", (F.pmod(h, F.lit(folds)) + 1).cast("int"))
-    tr = tr.persist()
-    pairs = [(k, i) for k in range(1, folds + 1) for i in range(len(bases))]
-    tasks = [lambda k=k, i=i: fit_model(bases[i], tr.where(F.col("_fold") != k), features, label) for k, i in pairs]
-    tasks += [lambda b=b: fit_model(b, tr, features, label) for b in bases]
-    fitted = _parallel(tasks, parallelism)
-    by_fold = dict(zip(pairs, fitted[: len(pairs)]))
-    full = fitted[len(pairs) :]
+        return train.withColumn("_fold", F.ntile(folds).over(Window.partitionBy(KEY).orderBy(order)) - 1)
+    # Rows without a series (customers): no global sort puts every row in one task.
+    h = F.xxhash64(F.col(order).cast("string"), F.lit(SEED))
+    return train.withColumn("_fold", F.pmod(h, F.lit(folds)).cast("int"))
+
+
+def out_of_fold(by_fold: Sequence[Sequence[FittedModel]], tr: DataFrame, bases: Sequence[ModelSpec]) -> DataFrame:
+    """Rows of each fold with the predictions of the models that did not see it."""
     oof = None
-    for k in range(1, folds + 1):
+    for k, fitted in enumerate(by_fold):
         block = tr.where(F.col("_fold") == k)
-        for i, b in enumerate(bases):
-            block = by_fold[(k, i)].transform(block, out=f"_base_{b.name}")
+        for m, b in zip(fitted, bases):
+            block = m.transform(block, out=f"_base_{b.name}")
         oof = block if oof is None else oof.unionByName(block)
-    meta_cols = [f"_base_{b.name}" for b in bases]
-    meta_fit = fit_model(meta, oof, meta_cols, label)
-    return full, meta_fit
+    return oof
 
 
 def stacking_predict(bases: Sequence[FittedModel], meta: FittedModel, df: DataFrame, out: str = "yhat") -> DataFrame:
@@ -395,40 +389,87 @@ def stacking_predict(bases: Sequence[FittedModel], meta: FittedModel, df: DataFr
     return meta.transform(x, out=out)
 
 
+@dataclass
+class FittedStack:
+    """A stack as one model."""
+
+    bases: list[FittedModel]
+    meta: FittedModel
+    spec: ModelSpec
+
+    def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
+        got = stacking_predict(self.bases, self.meta, df, out)
+        return got.drop(*[f"_base_{b.spec.name}" for b in self.bases])
+
+
+@dataclass
+class FittedVote:
+    """The mean of fitted regressors as one model."""
+
+    members: list[FittedModel]
+    spec: ModelSpec
+
+    def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
+        names = [f"_vote_{i}" for i in range(len(self.members))]
+        for n, m in zip(names, self.members):
+            df = m.transform(df, n)
+        return df.withColumn(out, sum(F.col(n) for n in names) / len(names)).drop(*names)
+
+
 # ---------------------------------------------------------------- cross-validation
 def cross_validate(
-    specs: Sequence[ModelSpec], folded: DataFrame, features: Sequence[str], label: str = "sales", metric: str = "reg",
-    parallelism: int = 4,
-) -> DataFrame:
-    """``cross_validate``: fit every spec on every fold's train rows, score
-    its test rows; returns per-(model, fold) metrics and is aggregated by
+    specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], label: str, part: str, folds: Sequence[tuple[Sequence[int], int]],
+    metric: str = "reg", vote: Sequence[str] = (), stack: tuple[Sequence[str], ModelSpec] | None = None,
+) -> DataFrame:
+    """``cross_validate``: fit every spec on the train parts of every fold,
+    score its test part; per-(model, fold) metrics, summed up by
     :func:`cv_summary` (mean and population std).
 
-    ``folded`` carries ``fold`` and ``role`` (see ``time_series_folds``).
+    ``df`` has each row once, with its ``part``; ``folds`` are (train parts,
+    test part), see ``time_series_parts``. ``vote`` names the members of a
+    mean model. ``stack`` names base models and gives the meta model of a
+    stack whose out-of-fold rows are, in each fold, those of its train parts
+    predicted without them.
     """
     from tidecast.operators.metrics import auc_roc, class_metrics, forecast_metrics, r2
 
-    folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]  # k small ints
-
-    def one(k, s):
-        tr = folded.where((F.col("fold") == k) & (F.col("role") == "train"))
-        te = folded.where((F.col("fold") == k) & (F.col("role") == "test"))
-        fm = fit_model(s, tr, features, label)
-        if metric == "reg":
-            return predict_long(fm, te, label, floor=False).withColumn("fold", F.lit(k))
-        return fm.transform(te, out="probability_1").select(
-            F.lit(s.name).alias("model"), F.lit(k).alias("fold"),
-            F.col("probability_1").alias("probability"), F.col(label).alias("label"),
-        )
-
-    predicted = _parallel([lambda k=k, s=s: one(k, s) for k in folds for s in specs], parallelism)
+    unions = [tuple(sorted(train)) for train, _ in folds]
+    if stack:
+        inner = {tuple(p for p in u if p != q) for u in unions for q in u if len(u) > 1}
+        unions += sorted(inner - set(unions))
+    by_union = dict(zip(unions, fit_parts(specs, df, features, label, unions, part)))
+    names = [s.name for s in specs]
+    predicted = []
+    for k, (train, test) in enumerate(folds):
+        union = tuple(sorted(train))
+        models: dict[str, object] = dict(zip(names, by_union[union]))
+        if vote:
+            models["voting"] = FittedVote([models[n] for n in vote], ModelSpec("voting", "vote"))
+        if stack and len(union) > 1:
+            base = [names.index(n) for n in stack[0]]
+            oof = None
+            for q in union:
+                block = df.where(F.col(part) == q)
+                for i in base:
+                    block = by_union[tuple(p for p in union if p != q)][i].transform(block, f"_base_{names[i]}")
+                oof = block if oof is None else oof.unionByName(block)
+            meta = fit_model(stack[1], oof, [f"_base_{names[i]}" for i in base], label)
+            models["stacking"] = FittedStack([by_union[union][i] for i in base], meta, ModelSpec("stacking", "stack"))
+        rows = df.where(F.col(part) == test)
+        for name, m in models.items():
+            rows = m.transform(rows, f"_p_{name}")
+        each = [F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias("p")) for n in models]
+        predicted.append(rows.select(F.lit(k + 1).alias("fold"), F.col(label).cast("double").alias("actual"), F.inline(F.array(*each))))
     p = predicted[0]
     for more in predicted[1:]:
         p = p.unionByName(more)
     # All predictions are scored in one aggregate by model and fold.
     by = ("model", "fold")
+    p = p.persist()
     if metric == "reg":
+        p = p.withColumnRenamed("p", "yhat")
         return forecast_metrics(p, by).join(r2(p, by), list(by)).select(*by, "mae", "rmse", "r2")
+    p = p.select(*by, F.col("p").alias("probability"), F.col("actual").cast("int").alias("label"))
     return auc_roc(p, by).join(class_metrics(p, by), list(by)).select(*by, "auc", "f1", "precision", "recall")
 
 

@@ -32,6 +32,23 @@ def time_series_folds(df: DataFrame, k: int = 5, key: str = KEY, order: str = "d
     return exploded.withColumn("role", F.when(F.col("_rn") <= test_start, "train").otherwise("test")).drop("_rn", "_n")
 
 
+def time_series_parts(df: DataFrame, k: int = 5, key: str = KEY, order: str = "date") -> DataFrame:
+    """The folds of :func:`time_series_folds` with every row once: ``part`` 0
+    is the first training window, ``part`` f the test rows of fold f, so fold
+    f trains on parts below f. Series too short for a test row are left out."""
+    by_key = Window.partitionBy(key)
+    rank, n = F.row_number().over(by_key.orderBy(order)), F.count(F.lit(1)).over(by_key)
+    ranked = df.withColumns({"_rn": rank, "_n": n})
+    ts = F.floor(F.col("_n") / (k + 1))
+    part = F.greatest(F.lit(0), F.lit(k + 1) - F.ceil((F.col("_n") - F.col("_rn") + 1) / ts))
+    return ranked.where(ts > 0).withColumn("part", part.cast("int")).drop("_rn", "_n")
+
+
+def time_series_train(k: int = 5) -> list[tuple[list[int], int]]:
+    """(Train parts, test part) of each fold of ``time_series_parts``."""
+    return [(list(range(f)), f) for f in range(1, k + 1)]
+
+
 def contiguous_folds(df: DataFrame, k: int = 3, key: str = KEY, order: str = "date") -> DataFrame:
     """``contiguous_folds``: ``k`` unshuffled blocks in date order, the
     first ``n % k`` one row larger (``ntile``)."""

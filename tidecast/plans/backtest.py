@@ -91,13 +91,8 @@ def full_backtest(
         st = models.stacking_predict(bases, meta, ftest).withColumn("actual", F.col("sales"))
         preds.append(_long(st, "stacking"))
     else:
-        meta.spec.name = "stacking"
-
-        class _Stacked:
-            def transform(self, df, out="yhat"):
-                return models.stacking_predict(bases, meta, df, out)
-
-        fc = recursive.recursive_forecast(train, {"boosted_trees": fitted_boost, "stacking": _Stacked()}, cols, test_days, driver="stacking")
+        stack = models.FittedStack(bases, meta, models.ModelSpec("stacking", "stack"))
+        fc = recursive.recursive_forecast(train, {"boosted_trees": fitted_boost, "stacking": stack}, cols, test_days, driver="stacking")
         got = fc.join(test, [KEY, "date"]).withColumn("lower", F.lit(None).cast("double")).withColumn("upper", F.lit(None).cast("double"))
         preds.append(got.select(KEY, "model", "date", "actual", "yhat", "lower", "upper"))
 

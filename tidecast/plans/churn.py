@@ -46,59 +46,40 @@ def run_churn(
     x = customers.impute_zero(lab)
     x = splits.stratified_split(x, "churn_label", 0.2, seed).persist()
     cols = list(customers.CHURN_FEATURES)
-    train, test = x.where("role = 'train'"), x.where("role = 'test'")
+    train = x.where("role = 'train'")
     specs = specs or default_classifiers()
 
     # Cross-validation on the training rows: folds are a column.
-    cvd = splits.stratified_folds(train, "churn_label", folds, seed).persist()
+    cvd = splits.stratified_folds(train, "churn_label", folds, seed)
 
-    def weighted(df: DataFrame) -> DataFrame:
-        return churn.class_weights(df, "churn_label", "balanced")
-
-    predicted = None
-    fitted = {}
-    for s in specs:
-        for k in range(folds):
-            fm = models.fit_model(s, weighted(cvd.where(F.col("fold") != k)), cols, "churn_label")
-            p = fm.transform(cvd.where(F.col("fold") == k), out="probability").select(
-                F.lit(s.name).alias("model"), F.lit(k).alias("fold"), "probability", F.col("churn_label").alias("label")
-            )
-            predicted = p if predicted is None else predicted.unionByName(p)
-        fitted[s.name] = models.fit_model(s, weighted(train), cols, "churn_label")
-    # One aggregate scores every model and fold.
-    by = ("model", "fold")
-    cv = metrics.auc_roc(predicted, by).join(metrics.class_metrics(predicted, by), list(by))
+    weighted = churn.class_weights(cvd, "churn_label", "balanced").persist()
+    splits_ = [([p for p in range(folds) if p != k], k) for k in range(folds)]
+    cv = models.cross_validate(specs, weighted, cols, "churn_label", "fold", splits_, "clf")
     cv_sum = cv.groupBy("model").agg(
         F.avg("auc").alias("cv_auc"), F.stddev_pop("auc").alias("cv_auc_std"), F.avg("f1").alias("cv_f1")
     )
-    test_scores = None
-    for name, fm in fitted.items():
-        p = fm.transform(test, out="probability").select(F.lit(name).alias("model"), "probability", F.col("churn_label").alias("label"))
-        m = metrics.auc_roc(p).join(metrics.class_metrics(p), "model").select(
-            "model", F.col("auc").alias("test_auc"), F.col("f1").alias("test_f1"),
-            F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
-        )
-        test_scores = m if test_scores is None else test_scores.unionByName(m)
+    fitted: dict = {s.name: m for s, m in zip(specs, models.fit_models(specs, weighted, cols, "churn_label"))}
     # Stacking (logistic + random forest + boosted trees -> logistic):
     # scored on the test rows only; its CV AUC is NULL rather than a copy of
     # the test score (q6).
     base_specs = [s for s in specs if s.name in ("logistic", "random_forest", "boosted_trees")]
     if len(base_specs) >= 2:
-        bases, meta = models.stacking_fit(base_specs, models.logistic(1.0, balanced=False, scaler=None), weighted(train), cols, "churn_label", 3, order="customer_no")
-        p = models.stacking_predict(bases, meta, test, out="probability").select(
-            F.lit("stacking").alias("model"), "probability", F.col("churn_label").alias("label")
-        )
-        st = metrics.auc_roc(p).join(metrics.class_metrics(p), "model").select(
-            "model", F.col("auc").alias("test_auc"), F.col("f1").alias("test_f1"),
-            F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
-        )
-        test_scores = test_scores.unionByName(st)
+        bases, meta = models.stacking_fit(base_specs, models.logistic(1.0, balanced=False, scaler=None), weighted, cols, "churn_label", 3, order="customer_no")
+        fitted["stacking"] = models.FittedStack(bases, meta, models.ModelSpec("stacking", "stack", kind="clf"))
+    # All customers are scored once by every model; test rows rank the models.
+    everyone = x
+    for name, m in fitted.items():
+        everyone = m.transform(everyone, f"_p_{name}")
+    everyone = everyone.persist()
+    each = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias("probability")) for n in fitted])
+    tested = everyone.where("role = 'test'").select(F.col("churn_label").alias("label"), F.inline(each))
+    test_scores = metrics.auc_roc(tested).join(metrics.class_metrics(tested), "model").select(
+        "model", F.col("auc").alias("test_auc"), F.col("f1").alias("test_f1"),
+        F.col("precision").alias("test_precision"), F.col("recall").alias("test_recall"),
+    )
     comparison = cv_sum.join(test_scores, "model", "right").persist()
     best = comparison.orderBy(F.col("test_auc").desc(), F.col("model")).first()["model"]  # the winner's name
-    if best == "stacking":
-        probabilities = models.stacking_predict(bases, meta, x, out="churn_probability")
-    else:
-        probabilities = fitted[best].transform(x, out="churn_probability")
+    probabilities = everyone.withColumn("churn_probability", F.col(f"_p_{best}")).drop(*[f"_p_{n}" for n in fitted])
     scored = churn.score_columns(probabilities)
     # Importances are the forest's where there is one, whichever model wins.
     explained = fitted.get("random_forest") or next(iter(fitted.values()))

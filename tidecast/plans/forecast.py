@@ -31,7 +31,7 @@ def tuned_decomposition(d: DataFrame, future: DataFrame, params: DataFrame, test
 def forecast_all(
     spark: SparkSession,
     sf_dir: str,
-    series: str = "all",
+    series: str = "nation",
     horizon: int = 30,
     sizes: tuple[int, int, int] = (500, 200, 200),
     decompose_params: dict | None = None,
@@ -59,11 +59,8 @@ def forecast_all(
     fm = features.drop_incomplete(fm, fcols).persist()
     bases, meta = models.stacking_fit([models.random_forest_reg(n_rf, 10, 2), models.gbt_reg(n_gb, 5, 0.05, 0.8)], models.ridge(1.0, scaler=None), fm, fcols)
 
-    class _Stacked:
-        def transform(self, df, out="yhat"):
-            return models.stacking_predict(bases, meta, df, out)
-
-    fs = recursive.recursive_forecast(d, {"stacking": _Stacked()}, fcols, horizon)
+    stack = models.FittedStack(bases, meta, models.ModelSpec("stacking", "stack"))
+    fs = recursive.recursive_forecast(d, {"stacking": stack}, fcols, horizon)
     for f in (fb, fs):
         out.append(f.select(KEY, "model", "date", "yhat", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
 

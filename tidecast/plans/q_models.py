@@ -1,4 +1,4 @@
-"""Registered queries: Spark ML forecasters and churn classifiers.
+"""Registered queries: forecasters and churn classifiers.
 
 These are statistical fits, checked rows-only (no SQL twin): each query
 trains on the given tables' training rows and returns predictions or
@@ -65,34 +65,34 @@ def q_voting(spark, d):
     m, cols = _matrix(spark, d)
     train, test = m.where("role = 'train'"), m.where("role = 'test'")
     long = None
-    for spec in (models.ridge(1.0), models.random_forest_reg(), models.gbt_reg()):
-        p = models.predict_long(models.fit_model(spec, train, cols), test)
+    for fitted in models.fit_models([models.ridge(1.0), models.random_forest_reg(), models.gbt_reg()], train, cols):
+        p = models.predict_long(fitted, test)
         long = p if long is None else long.unionByName(p)
     return models.voting(long)
 
 
 @register("cross_validate")
 def q_cv(spark, d):
+    """Every regressor, their mean and their stack on five time-series folds."""
     m, cols = _matrix(spark, d)
-    folded = splits.time_series_folds(m.where("role = 'train'").drop("role"), 5)
+    parted = splits.time_series_parts(m.where("role = 'train'").drop("role"), 5).persist()
     specs = [models.ridge(1.0), models.lasso(100.0), models.elastic_net(100.0, 0.5), models.kernel_reg(256),
-             models.random_forest_reg(), models.gbt_reg()]
-    per_fold = models.cross_validate(specs, folded, cols, "sales")
+             models.random_forest_reg(), models.gbt_reg(), models.boosted_trees_reg()]
+    per_fold = models.cross_validate(
+        specs, parted, cols, "sales", "part", splits.time_series_train(5),
+        vote=("ridge", "random_forest", "gradient_boosting"), stack=(("random_forest", "gradient_boosting"), models.ridge(1.0, scaler=None)),
+    )
     return models.cv_summary(per_fold)
 
 
-@register("feature_importance")
-def q_importance(spark, d):
+def _forest_importance(spark, d):
     m, cols = _matrix(spark, d)
     fitted = models.fit_model(models.random_forest_reg(), m.where("role = 'train'"), cols)
     return models.feature_importance(fitted, spark)
 
 
-@register("top_features")
-def q_top_features(spark, d):
-    m, cols = _matrix(spark, d)
-    fitted = models.fit_model(models.random_forest_reg(), m.where("role = 'train'"), cols)
-    return models.top_features(models.feature_importance(fitted, spark), 10)
+register("feature_importance")(_forest_importance)
+register("top_features")(lambda spark, d: models.top_features(_forest_importance(spark, d), 10))
 
 
 # ------------------------------------------------------------------ churn
@@ -135,12 +135,32 @@ def q_stacking_clf(spark, d):
     return p.select(F.lit("stacking").alias("model"), "customer_no", "probability", F.col("churn_label").alias("label"))
 
 
+@register("cross_validate_clf")
+def q_cv_clf(spark, d):
+    """Every classifier on five stratified folds of the training customers."""
+    from tidecast.plans.churn import default_classifiers
+
+    train, _ = _train_test(_churn_matrix(spark, d))
+    folded = splits.stratified_folds(train, "churn_label", 5, 42).persist()
+    folds = [([p for p in range(5) if p != k], k) for k in range(5)]
+    per_fold = models.cross_validate(default_classifiers(), folded, list(customers.CHURN_FEATURES), "churn_label", "fold", folds, "clf")
+    return models.cv_summary(per_fold, ("auc", "f1", "precision", "recall"))
+
+
+def _churn(spark, d):
+    from tidecast.plans.churn import run_churn
+
+    return run_churn(spark, d)
+
+
 @register("score_customers")
 def q_score(spark, d):
-    m = _churn_matrix(spark, d)
-    fitted = models.fit_model(models.logistic(1.0), _train_test(m)[0], list(customers.CHURN_FEATURES), "churn_label")
-    scored = fitted.transform(m, out="churn_probability")
-    return churn.score_columns(scored).select("customer_no", "churn_probability", "risk_category", "revenue_at_risk")
+    """Every customer's probability by the model with the best test AUC."""
+    return _churn(spark, d).scored.select("customer_no", "churn_probability", "risk_category", "revenue_at_risk")
+
+
+register("churn_comparison")(lambda spark, d: _churn(spark, d).comparison)
+register("churn_interventions")(lambda spark, d: _churn(spark, d).interventions)
 
 
 def _labelled(spark, d):
@@ -182,4 +202,4 @@ FROM custfeat, (SELECT quantile_cont(recency, 0.5) AS m_r, quantile_cont(recency
 )
 def q_scale(spark, d):
     f = customers.customer_features(src.prepared_invoices(spark, d, "nation", fill_zero=True)).select("customer_no", "recency", "monetary")
-    return models.ColumnScaler.fit(f, ["recency", "monetary"], "robust", exact=True).transform(f)
+    return models.ColumnScaler.fit(f, ["recency", "monetary"], "robust").transform(f)
