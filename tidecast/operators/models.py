@@ -21,7 +21,7 @@ any number of models on any unions of row parts (folds) together.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -176,6 +176,22 @@ class FittedModel:
         margin = (terms[0] if terms else F.lit(0.0)) + float(self.intercept)
         return df.withColumn(out, 1.0 / (1.0 + F.exp(-margin)) if self.spec.kind == "clf" else margin)
 
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The model as a function of a matrix of its features."""
+        if self.trees is not None:
+            state = self.trees.state()
+            return lambda x: trees.predicted(state, x)
+        w, b, clf = self.coefficients, self.intercept, self.spec.kind == "clf"
+        centre, scale = ([s[c] for c in self.features] if (s := getattr(self.scaler, n, None)) else d for n, d in (("centre", 0.0), ("scale", 1.0)))
+        draw = _random_draw(self.spec, len(self.features)) if self.spec.method == "kernel" else None
+
+        def score(x: np.ndarray) -> np.ndarray:
+            z = (x - np.asarray(centre)) / np.asarray(scale)
+            margin = (draw(z) if draw else z) @ w + b
+            return 1.0 / (1.0 + np.exp(-margin)) if clf else margin
+
+        return score
+
     def importance(self) -> list[tuple[str, float]]:
         """Trees: gains that sum to one; linear: absolute coefficients."""
         if self.trees is not None:
@@ -192,21 +208,25 @@ def _random_features(spec: ModelSpec, columns: Sequence[Column], beta: np.ndarra
     """Random Fourier features ``cos(X W' + b) * sqrt(2/d)`` as an array or,
     with ``beta``, their product with it: a dense matrix product per Arrow
     batch; the seeded ``W`` and ``b`` are a few kB and travel along."""
-    d, gamma = spec.params["features"], spec.params["gamma"]
-    gamma = gamma if gamma is not None else 1.0 / max(len(columns), 1)
-    rng = np.random.default_rng(spec.params["seed"])
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, len(columns)))
-    b = rng.uniform(0, 2 * math.pi, size=d)
-    scale = math.sqrt(2.0 / d)
+    draw = _random_draw(spec, len(columns))
 
     @F.pandas_udf("array<double>" if beta is None else "double")
     def features(x: pd.DataFrame) -> pd.Series:
-        z = np.cos(x.to_numpy(dtype=float, na_value=0.0) @ w.T + b) * scale
+        z = draw(x.to_numpy(dtype=float, na_value=0.0))
         return pd.Series(list(z) if beta is None else z @ beta)
 
     return features(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
 
 
+def _random_draw(spec: ModelSpec, k: int) -> Callable[[np.ndarray], np.ndarray]:
+    d, gamma = spec.params["features"], spec.params["gamma"]
+    gamma = gamma if gamma is not None else 1.0 / max(k, 1)
+    rng = np.random.default_rng(spec.params["seed"])
+    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, k))
+    b = rng.uniform(0, 2 * math.pi, size=d)
+    return lambda x: np.cos(x @ w.T + b) * math.sqrt(2.0 / d)
+
+
 def _row_ids(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Columns that name a row for bagging: draws are a hash of them."""
     for ids in ((KEY, "date"), ("customer_no",)):
@@ -261,7 +281,7 @@ def fit_parts(
 
 
 #: The rounded corner of the kernel model's loss, in epsilons, and Newton passes.
-KERNEL_SMOOTH, KERNEL_PASSES = 2.0, 60
+KERNEL_SMOOTH, KERNEL_PASSES = 2.0, 30
 
 
 def _fit_kernel(spec: ModelSpec, df: DataFrame, columns: list[Column], label: str, parts, part: Column | None) -> tuple[np.ndarray, float]:
@@ -355,8 +375,10 @@ def stacking_fit(
     tr = _with_stack_fold(train, folds, order).persist()
     unions = [[p for p in range(folds) if p != k] for k in range(folds)] + [list(range(folds))]
     *by_fold, full = fit_parts(bases, tr, features, label, unions, "_fold")
-    oof = out_of_fold(by_fold, tr, bases)
+    # A meta model may take several passes over the predictions.
+    oof = out_of_fold(by_fold, tr, bases).persist()
     meta_fit = fit_model(meta, oof, [f"_base_{b.name}" for b in bases], label)
+    oof.unpersist()
     tr.unpersist()
     return full, meta_fit
 
@@ -401,6 +423,10 @@ class FittedStack:
         got = stacking_predict(self.bases, self.meta, df, out)
         return got.drop(*[f"_base_{b.spec.name}" for b in self.bases])
 
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        bases, meta = [b.scorer() for b in self.bases], self.meta.scorer()
+        return lambda x: meta(np.column_stack([b(x) for b in bases]))
+
 
 @dataclass
 class FittedVote:
@@ -415,6 +441,10 @@ class FittedVote:
             df = m.transform(df, n)
         return df.withColumn(out, sum(F.col(n) for n in names) / len(names)).drop(*names)
 
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        members = [m.scorer() for m in self.members]
+        return lambda x: sum(m(x) for m in members) / len(members)
+
 
 # ---------------------------------------------------------------- cross-validation
 def cross_validate(
@@ -434,11 +464,13 @@ def cross_validate(
     from tidecast.operators.metrics import auc_roc, class_metrics, forecast_metrics, r2
 
     unions = [tuple(sorted(train)) for train, _ in folds]
-    if stack:
-        inner = {tuple(p for p in u if p != q) for u in unions for q in u if len(u) > 1}
-        unions += sorted(inner - set(unions))
     by_union = dict(zip(unions, fit_parts(specs, df, features, label, unions, part)))
     names = [s.name for s in specs]
+    inner: dict[tuple, list] = {}
+    if stack:
+        base_specs = [specs[names.index(n)] for n in stack[0]]
+        left_out = sorted({tuple(p for p in u if p != q) for u in unions for q in u if len(u) > 1})
+        inner = dict(zip(left_out, fit_parts(base_specs, df, features, label, left_out, part)))
     predicted = []
     for k, (train, test) in enumerate(folds):
         union = tuple(sorted(train))
@@ -450,10 +482,12 @@ def cross_validate(
             oof = None
             for q in union:
                 block = df.where(F.col(part) == q)
-                for i in base:
-                    block = by_union[tuple(p for p in union if p != q)][i].transform(block, f"_base_{names[i]}")
+                for m, i in zip(inner[tuple(p for p in union if p != q)], base):
+                    block = m.transform(block, f"_base_{names[i]}")
                 oof = block if oof is None else oof.unionByName(block)
+            oof = oof.persist()
             meta = fit_model(stack[1], oof, [f"_base_{names[i]}" for i in base], label)
+            oof.unpersist()
             models["stacking"] = FittedStack([by_union[union][i] for i in base], meta, ModelSpec("stacking", "stack"))
         rows = df.where(F.col(part) == test)
         for name, m in models.items():

@@ -1,24 +1,26 @@
 """Recursive multi-step forecasting with a state row per series.
 
-A fitted Spark ML model cannot run inside a grouped Python function, and
-recomputing the whole feature table for each of H steps (what a pandas
-loop does) is quadratic. Instead each series keeps one state row:
+Recomputing the whole feature table for each of H steps (what a pandas loop
+does) is quadratic. Instead each series keeps one state row:
 
     series_key, last_date, first_date, tail array<double> (last 28 values),
-    n, s1, s2 (count, sum and sum of squares of all values), path
-
-Each step derives the feature columns from the state with array functions
-(``element_at``, ``slice``, ``aggregate``, ``array_sort``), runs the model(s),
-floors the driving model's prediction at 0 and appends it to the tail. The
-state table has one row per series, so every step is a narrow job; the
-lineage is cut with a reliable checkpoint (shared checkpoint folder) every
-few steps so plans stay small and a lost executor only replays from there.
+    n, s1, s2 (count, sum and sum of squares of all values)
+
+``recursive_forecast`` takes all H steps of a series in one stage: a batch of
+state rows is a matrix, each step derives the features of all its series with
+numpy, scores the fitted models (flat trees, coefficients: bounded by the
+model, shipped with the task), floors the driving model's prediction at 0 and
+appends it to the tail. ``stepwise_forecast`` does the same with Spark columns,
+one step after the other, for any model with a ``transform``; its lineage is
+cut by reliable checkpoints every few steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +93,82 @@ def state_features(date: str = "date") -> dict[str, Column]:
     return cols
 
 
+def _step_features(dates: pd.DatetimeIndex, first: pd.DatetimeIndex, tail: np.ndarray, n, s1, s2) -> dict[str, np.ndarray]:
+    """The features of :func:`state_features` for one step of many series;
+    ``tail`` holds a series' last values at the right, NaN before them."""
+    month_end, quarter_end = dates.is_month_end, dates.is_quarter_end
+    out = {
+        "year": dates.year, "month": dates.month, "day": dates.day, "day_of_week": dates.dayofweek, "day_of_year": dates.dayofyear,
+        "week_of_year": dates.isocalendar().week.to_numpy(dtype=float), "quarter": dates.quarter,
+        "is_weekend": dates.dayofweek >= 5, "is_monday": dates.dayofweek == 0, "is_friday": dates.dayofweek == 4,
+        "is_month_start": dates.is_month_start, "is_month_end": month_end, "is_quarter_start": dates.is_quarter_start, "is_quarter_end": quarter_end,
+    }
+    for name, x, period in (("dow", dates.dayofweek, 7.0), ("month", dates.month, 12.0), ("day_of_year", dates.dayofyear, 365.0)):
+        angle = 2 * np.pi * np.asarray(x, float) / period
+        out[f"{name}_sin"], out[f"{name}_cos"] = np.sin(angle), np.cos(angle)
+    for k in (1, 2, 3, 5, 7, 8, 14, 21, 28):
+        out[f"lag_{k}"] = tail[:, -k]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for w in (7, 14, 21, 28):
+            x = tail[:, -w:]  # any NaN: not w values yet
+            total = x.sum(axis=1)
+            out[f"rolling_mean_{w}"] = total / w
+            out[f"rolling_std_{w}"] = np.sqrt(np.maximum((np.square(x).sum(axis=1) - total * total / w) / (w - 1), 0.0))
+            out[f"rolling_min_{w}"], out[f"rolling_max_{w}"], out[f"rolling_median_{w}"] = x.min(axis=1), x.max(axis=1), np.median(x, axis=1)
+        out["expanding_mean"] = np.where(n > 0, s1 / n, np.nan)
+        out["expanding_std"] = np.where(n > 1, np.sqrt(np.maximum((s2 - s1 * s1 / n) / (n - 1), 0.0)), np.nan)
+        for k, name in ((7, "same_day_last_week"), (14, "same_day_2_weeks_ago"), (21, "same_day_3_weeks_ago"), (28, "same_day_4_weeks_ago")):
+            out[name] = out[f"lag_{k}"]
+        out["wow_change"] = out["lag_1"] - out["lag_8"]
+        out["wow_pct_change"] = np.where((out["lag_8"] != 0) & ~np.isnan(out["wow_change"]), out["lag_1"] / out["lag_8"] - 1, 0.0)
+        out["days_since_start"] = (dates - first).days
+        for w in (7, 14):
+            mean = out[f"rolling_mean_{w}"]
+            out[f"rolling_range_{w}"] = out[f"rolling_max_{w}"] - out[f"rolling_min_{w}"]
+            out[f"rolling_cv_{w}"] = np.where((mean != 0) & ~np.isnan(mean), out[f"rolling_std_{w}"] / mean, 0.0)
+    return {k: np.asarray(v, float) for k, v in out.items()}
+
+
 def recursive_forecast(
+    daily: DataFrame, fitted: Mapping[str, object], features: Sequence[str], horizon: int = 30, driver: str | None = None, value: str = "sales"
+) -> DataFrame:
+    """``recursive_forecast``: H one-step predictions, each fed back as the
+    next lag, of all series at once. ``fitted`` maps model name -> fitted
+    model; the ``driver`` model's (floored) prediction drives the recursion for
+    all of them (default: the first). Returns the long table
+    ``(series_key, model, date, step, yhat)``.
+    """
+    names, features = list(fitted), list(features)
+    drives = names.index(driver or names[0])
+    score = [fitted[m].scorer() for m in names]
+    state = initial_state(daily, value).select(KEY, "last_date", "first_date", "tail", F.col("n").cast("double").alias("n"), "s1", "s2")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            tail = np.full((len(b), TAIL), np.nan)
+            for i, t in enumerate(b["tail"]):
+                if len(t):
+                    tail[i, -len(t) :] = np.asarray(t, float)[-TAIL:]
+            last, first = pd.DatetimeIndex(b["last_date"]), pd.DatetimeIndex(b["first_date"])
+            n, s1, s2 = (b[c].to_numpy(dtype=float) for c in ("n", "s1", "s2"))
+            for step in range(1, horizon + 1):
+                dates = last + pd.Timedelta(days=step)
+                known = _step_features(dates, first, tail, n, s1, s2)
+                x = np.column_stack([known[c] for c in features])
+                found = [np.maximum(s(x), 0.0) for s in score]
+                for name, y in zip(names, found):
+                    yield pd.DataFrame({KEY: b[KEY], "model": name, "date": dates.date, "step": step, "yhat": y})
+                y = found[drives]
+                tail = np.column_stack([tail[:, 1:], y])
+                n, s1, s2 = n + 1, s1 + y, s2 + y * y
+
+    kind = daily.schema[KEY].dataType.simpleString()
+    return state.mapInPandas(run, f"{KEY} {kind}, model string, date date, step int, yhat double")
+
+
+def stepwise_forecast(
     daily: DataFrame,
     fitted: Mapping[str, object],
     features: Sequence[str],
@@ -100,7 +177,7 @@ def recursive_forecast(
     value: str = "sales",
     checkpoint_every: int = 5,
 ) -> DataFrame:
-    """``recursive_forecast``: H one-step predictions, each fed back as the
+    """H one-step predictions, each fed back as the
     next lag. ``fitted`` maps model name -> :class:`FittedModel`; the
     ``driver`` model's (floored) prediction drives the recursion for all of
     them (default: the first). Returns the long table

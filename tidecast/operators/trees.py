@@ -352,7 +352,7 @@ def bin_rows(
 
 
 # ---------------------------------------------------------------- models
-def _predicted(state: tuple, x: np.ndarray) -> np.ndarray:
+def predicted(state: tuple, x: np.ndarray) -> np.ndarray:
     kind, loss, rate, edges, base, trees = state
     bins, total = _binned(x, edges), np.zeros(len(x))
     for t in trees:
@@ -378,7 +378,7 @@ class Fitted:
         return self.job.kind, self.job.loss, self.job.rate, self.edges, self.base, [t.state() for t in self.trees]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return _predicted(self.state(), x)
+        return predicted(self.state(), x)
 
     def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
         """Adds the prediction (the share of ones for a classifier) as ``out``,
@@ -387,7 +387,7 @@ class Fitted:
 
         @F.pandas_udf("double")
         def score(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(_predicted(shared.value, x.to_numpy(dtype=float, na_value=np.nan)))
+            return pd.Series(predicted(shared.value, x.to_numpy(dtype=float, na_value=np.nan)))
 
         return df.withColumn(out, score(F.struct(*[F.col(c).cast("double") for c in self.cols])))
 
