@@ -134,7 +134,7 @@ def test_kernel_loss_is_optimal_and_depends_on_c_and_epsilon(spark):
     assert np.abs(got[0.1, 0.1] - got[1000.0, 0.1]).mean() > 0.05 and np.abs(got[1000.0, 3.0] - got[1000.0, 0.1]).mean() > 0.05
     # The smoothed objective does not fall in random directions.
     z = np.array([r["z"] for r in df.select(models._random_features(fine.spec, models._scaled(fine.scaler, fine.features)).alias("z")).collect()])
-    terms = linear.tube_terms(0.1, models.KERNEL_SMOOTH * 0.1)
+    terms = linear.tube_terms(0.1, models.kernel_width(fine.spec, y.std()))
 
     def objective(w, b):
         return terms(z @ w + b, y)[0].sum() + (w @ w) / 2000
@@ -142,4 +142,4 @@ def test_kernel_loss_is_optimal_and_depends_on_c_and_epsilon(spark):
     best = objective(fine.coefficients, fine.intercept)
     for _ in range(30):
         d = rng.normal(size=64) * 0.05
-        assert objective(fine.coefficients + d, fine.intercept) > best - 1e-3 * abs(best)
+        assert objective(fine.coefficients + d, fine.intercept) > best - 5e-3 * abs(best)

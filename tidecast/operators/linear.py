@@ -14,6 +14,7 @@ Hessian, a few steps in all, halved where the objective would rise.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,38 +22,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _frame(df: DataFrame, columns: Sequence[Column] | Column, label: str, weight: Column | None, part: Column | None) -> DataFrame:
-    vector = columns if isinstance(columns, Column) else F.array(*[c.cast("double") for c in columns])
-    return df.select(
-        vector.alias("x"),
+#: Rows of a packed block.
+BLOCK_ROWS = 4096
+_BLOCK = "part int, n int, x binary, y binary, w binary"
+
+
+def _blocks(df: DataFrame, columns: Sequence[Column], label: str, weight: Column | None, part: Column | None) -> DataFrame:
+    """Rows as blocks of doubles, each of one part: passes read bytes."""
+    k = len(columns)
+    rows = df.select(
+        *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
         F.col(label).cast("double").alias("y"),
         (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"),
         (part if part is not None else F.lit(0)).cast("int").alias("part"),
     )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:-1]]
+            x = np.nan_to_num(np.column_stack(flat[:k]) if k else np.zeros((batch.num_rows, 0)), nan=0.0)
+            parts = batch.columns[-1].to_numpy(zero_copy_only=False)
+            for p in np.unique(parts).tolist():
+                at = np.flatnonzero(parts == p)
+                for i in range(0, len(at), BLOCK_ROWS):
+                    r = at[i : i + BLOCK_ROWS]
+                    data = [pa.array([v[r].tobytes()], pa.binary()) for v in (x, flat[k], flat[k + 1])]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(r)], pa.int32()), *data], names=["part", "n", "x", "y", "w"])
 
-def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, k)
-    return np.nan_to_num(x, nan=0.0), *[batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+    return rows.mapInArrow(pack, _BLOCK)
 
 
-def _added(df: DataFrame, add: Callable[..., None], zeros: Callable[[], np.ndarray], k: int) -> dict[int, np.ndarray]:
-    """Sums by part of what ``add(sums, x, y, w)`` adds up, merged by Spark."""
+def _added(blocks: DataFrame, k: int, add: Callable[..., None], zeros: Callable[[], np.ndarray], keys: Callable[[int], Sequence[int]]) -> dict[int, np.ndarray]:
+    """Sums of what ``add(key, sums, x, y, w)`` adds up for each of ``keys`` of
+    a block's part, merged by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x, y, w, part = _arrays(batch, k)
-            for p in np.unique(part).tolist():
-                m = part == p
-                add(sums.setdefault(p, zeros()), x[m], y[m], w[m])
-        for p, s in sums.items():
+            for part, n, *data in zip(*[c.to_pylist() for c in batch.columns]):
+                x, y, w = (np.frombuffer(d, float) for d in data)
+                for key in keys(part):
+                    add(key, sums.setdefault(key, zeros()), x.reshape(n, k), y, w)
+        for key, s in sums.items():
             flat = s.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), p), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["part", "i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), key), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["key", "i", "v"])
 
     out: dict[int, np.ndarray] = {}
-    for r in df.mapInArrow(run, "part int, i int, v double").groupBy("part", "i").agg(F.sum("v").alias("v")).collect():  # a row a sum
-        out.setdefault(r["part"], zeros()).ravel()[r["i"]] = r["v"]
+    merged = blocks.mapInArrow(run, "key int, i int, v double").groupBy("key", "i").agg(F.sum("v").alias("v")).toArrow()  # a row a sum
+    keys_, at, values = (merged.column(i).to_numpy() for i in range(3))
+    for key in np.unique(keys_).tolist():
+        m = keys_ == key
+        out.setdefault(key, zeros()).ravel()[at[m]] = values[m]
     return out
 
 
@@ -61,11 +81,11 @@ def gram(df: DataFrame, columns: Sequence[Column], label: str, weight: Column |
     """By part the weighted products of (columns, label, 1) with themselves."""
     k = len(columns)
 
-    def add(sums: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+    def add(_: int, sums: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         z = np.column_stack([x, y, np.ones(len(y))])
         sums += (z * w[:, None]).T @ z
 
-    return _added(_frame(df, columns, label, weight, part), add, lambda: np.zeros((k + 2, k + 2)), k)
+    return _added(_blocks(df, columns, label, weight, part), k, add, lambda: np.zeros((k + 2, k + 2)), lambda p: [p])
 
 
 def centred(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
@@ -130,49 +150,75 @@ def tube_terms(epsilon: float, smooth: float) -> Terms:
     return terms
 
 
-def newton(
-    df: DataFrame, columns: Sequence[Column] | Column, label: str, terms: Terms, penalty: float, weight: Column | None = None, parts: Sequence[int] | None = None,
-    part: Column | None = None, start: np.ndarray | None = None, max_iter: int = 100, tol: float = 1e-9, k: int | None = None,
-) -> tuple[np.ndarray, float, int]:
-    """min sum_i w_i loss(x_i b + b0, y_i) + (penalty/2) ||b||^2, b0 free;
-    coefficients, intercept, passes. ``columns`` may be one array column of
-    ``k`` values."""
-    k = len(columns) if k is None else k
-    frame = _frame(df, columns, label, weight, part)
-    if parts is not None:
-        frame = frame.where(F.col("part").isin(*[int(p) for p in parts]))
-    ridge = np.append(np.full(k, penalty), 0.0)
-    beta = np.zeros(k + 1) if start is None else start.astype(float)
-
-    def sums(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-        def add(s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-            z = np.column_stack([x, np.ones(len(y))])
-            loss, first, second = terms(z @ b, y)
-            s[:-2] += (z * (w * second)[:, None]).T @ z
-            s[-2] += z.T @ (w * first)
-            s[-1, 0] += (w * loss).sum()
-            s[-1, 1] += w.sum()
-
-        got = sum(_added(frame, add, lambda: np.zeros((k + 3, k + 1)), k).values())
-        return got[-1, 0] + (ridge * b * b).sum() / 2, got[-2] + ridge * b, got[:-2] + np.diag(ridge), got[-1, 1]
-
-    passes = 1
-    value, slope, curve, rows = sums(beta)
-    while passes < max_iter and np.abs(slope).max() > tol * max(rows, 1.0):
+@dataclass
+class _Descent:
+    """Where the Newton steps of one model are."""
+
+    beta: np.ndarray
+    state: tuple | None = None  # value, slope, curve, rows at beta
+    step: np.ndarray | None = None
+    size: float = 1.0
+    passes: int = 0
+    done: bool = False
+
+    def trial(self) -> np.ndarray:
+        return self.beta if self.step is None else self.beta - self.size * self.step
+
+    def take(self, got: tuple, tol: float, max_iter: int) -> None:
+        self.passes += 1
+        if self.state is not None:
+            value, slope = self.state[:2]
+            if got[0] > value - 1e-4 * self.size * (slope @ self.step):
+                self.size /= 2
+                self.done = self.size < 1e-6 or self.passes >= max_iter
+                return
+            self.beta = self.trial()
+            self.done = value - got[0] <= 1e-13 * abs(value)
+        self.state, self.size = got, 1.0
+        _, slope, curve, rows = got
         # A whisper of damping keeps the step finite where no row has curvature.
-        step = np.linalg.lstsq(curve + 1e-12 * max(np.trace(curve) / (k + 1), 1e-12) * np.eye(k + 1), slope, rcond=None)[0]
-        size = 1.0
-        while True:
-            trial = beta - size * step
-            got = sums(trial)
-            passes += 1
-            if got[0] <= value - 1e-4 * size * (slope @ step) or passes >= max_iter:
-                break
-            size /= 2
-            if size < 1e-6:
-                return beta[:-1], float(beta[-1]), passes
-        fell = value - got[0]
-        beta, (value, slope, curve, rows) = trial, got
-        if 0 <= fell <= 1e-13 * abs(value):
-            break
-    return beta[:-1], float(beta[-1]), passes
+        damp = 1e-12 * max(np.trace(curve) / len(slope), 1e-12) * np.eye(len(slope))
+        self.step = np.linalg.lstsq(curve + damp, slope, rcond=None)[0]
+        self.done |= self.passes >= max_iter or np.abs(slope).max() <= tol * max(rows, 1.0)
+
+
+def newton_parts(
+    df: DataFrame, columns: Sequence[Column], label: str, terms: Sequence[Terms], penalty: float, unions: Sequence[Sequence[int]], weight: Column | None = None,
+    part: Column | None = None, max_iter: int = 100, tol: float = 1e-9, expand: Callable[[np.ndarray], np.ndarray] | None = None, width: int | None = None,
+) -> list[tuple[np.ndarray, float, int]]:
+    """min sum_i w_i loss(z_i b + b0, y_i) + (penalty/2) ||b||^2, b0 free, on
+    every union of parts (an empty one: all rows); coefficients, intercept and
+    passes of each. All models take their steps in the same passes. ``expand``
+    makes ``z`` (``width`` columns) from the columns. Of several ``terms`` each
+    starts where the one before ended."""
+    k = len(columns)
+    d = width or k
+    blocks = _blocks(df, columns, label, weight, part).persist()
+    ridge = np.append(np.full(d, penalty), 0.0)
+    runs = [_Descent(np.zeros(d + 1)) for _ in unions]
+    for loss_terms in terms:
+        runs = [_Descent(r.beta, passes=r.passes) for r in runs]
+        limit = [r.passes + max_iter for r in runs]
+        while any(not r.done for r in runs):
+            trials = {u: r.trial() for u, r in enumerate(runs) if not r.done}
+
+            def add(u: int, s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, trials=trials) -> None:
+                z = np.column_stack([expand(x) if expand else x, np.ones(len(y))])
+                loss, first, second = loss_terms(z @ trials[u], y)
+                s[:-2] += (z * (w * second)[:, None]).T @ z
+                s[-2] += z.T @ (w * first)
+                s[-1, 0] += (w * loss).sum()
+                s[-1, 1] += w.sum()
+
+            held = {u: set(unions[u]) for u in trials}
+            sums = _added(blocks, k, add, lambda: np.zeros((d + 3, d + 1)), lambda p, held=held: [u for u, ps in held.items() if not ps or p in ps])
+            for u, b in trials.items():
+                got = sums.get(u, np.zeros((d + 3, d + 1)))
+                runs[u].take((got[-1, 0] + (ridge * b * b).sum() / 2, got[-2] + ridge * b, got[:-2] + np.diag(ridge), got[-1, 1]), tol, limit[u])
+    blocks.unpersist()
+    return [(r.beta[:-1], float(r.beta[-1]), r.passes) for r in runs]
+
+
+def newton(df: DataFrame, columns: Sequence[Column], label: str, terms: Terms, penalty: float, **options) -> tuple[np.ndarray, float, int]:
+    """``newton_parts`` for one loss on all rows."""
+    return newton_parts(df, columns, label, [terms], penalty, [()], **options)[0]

@@ -259,50 +259,47 @@ def fit_parts(
             continue
         scaler = scalers.get(s.scaler)
         columns = _scaled(scaler, features)
-        for u, parts in enumerate(unions):
-            if s.method in ("ridge", "elastic"):
-                if s.scaler not in grams:
-                    grams[s.scaler] = linear.gram(df, columns, label, part=at)
+        if s.method in ("ridge", "elastic"):
+            if s.scaler not in grams:
+                grams[s.scaler] = linear.gram(df, columns, label, part=at)
+            found = []
+            for parts in unions:
                 table = sum(g for p, g in grams[s.scaler].items() if not part or p in parts)
                 if s.method == "ridge":
-                    w, b = linear.solve_ridge(table, s.params["alpha"])
+                    found.append(linear.solve_ridge(table, s.params["alpha"]))
                 else:
-                    w, b = linear.solve_elastic(table, s.params["l1"], s.params["l2"], s.params["max_iter"])
-            else:
-                only = parts if part else None
-                if s.method == "logistic":
-                    w, b, _ = linear.newton(
-                        df, columns, label, linear.logistic_terms, 1.0 / s.params["c"], weight if s.params["balanced"] else None, only, at, max_iter=s.params["max_iter"]
-                    )
-                else:
-                    w, b = _fit_kernel(s, df, columns, label, only, at)
+                    found.append(linear.solve_elastic(table, s.params["l1"], s.params["l2"], s.params["max_iter"]))
+        elif s.method == "logistic":
+            balance = weight if s.params["balanced"] else None
+            found = linear.newton_parts(df, columns, label, [linear.logistic_terms], 1.0 / s.params["c"], unions, balance, at, s.params["max_iter"])
+        else:
+            found = _fit_kernel(s, df, columns, label, unions, at)
+        for u, (w, b, *_) in enumerate(found):
             out[u][i] = FittedModel(s, features, label, scaler, w, b)
     return out
 
 
-#: The rounded corner of the kernel model's loss, in epsilons, and Newton passes.
-KERNEL_SMOOTH, KERNEL_PASSES = 2.0, 30
+#: The kernel model's loss has its corner rounded over this many epsilons or
+#: this share of the label's spread, whichever is more; Newton passes for each
+#: width on the way there.
+KERNEL_SMOOTH, KERNEL_SHARE, KERNEL_PASSES = 2.0, 0.01, 12
+
 
+def kernel_width(spec: ModelSpec, spread: float) -> float:
+    return max(KERNEL_SMOOTH * spec.params["epsilon"], KERNEL_SHARE * spread)
 
-def _fit_kernel(spec: ModelSpec, df: DataFrame, columns: list[Column], label: str, parts, part: Column | None) -> tuple[np.ndarray, float]:
+
+def _fit_kernel(spec: ModelSpec, df: DataFrame, columns: list[Column], label: str, unions, part: Column | None) -> list[tuple]:
     """Newton from wide to narrow corners: each starts where the last ended."""
     c, eps, d = spec.params["c"], spec.params["epsilon"], spec.params["features"]
     spread = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0] or 1.0
-    z = df.select(
-        _random_features(spec, columns).alias("_z"), F.col(label).cast("double").alias("_y"), (part if part is not None else F.lit(0)).alias("_p")
-    ).persist()
-    beta, last, passes = None, KERNEL_SMOOTH * eps, 0
-    smooth = max(float(spread), last)
-    while passes < KERNEL_PASSES:
-        w, b, used = linear.newton(
-            z, F.col("_z"), "_y", linear.tube_terms(eps, smooth), 1.0 / c, None, parts, F.col("_p"), beta, min(KERNEL_PASSES - passes, 12), 1e-6, d
-        )
-        beta, passes = np.append(w, b), passes + used
-        if smooth <= last:
-            break
-        smooth = max(smooth / 8, last)
-    z.unpersist()
-    return beta[:-1], float(beta[-1])
+    last = kernel_width(spec, float(spread))
+    widths = [max(float(spread), last)]
+    while widths[-1] > last:
+        widths.append(max(widths[-1] / 8, last))
+    terms = [linear.tube_terms(eps, w) for w in widths]
+    draw = _random_draw(spec, len(columns))
+    return linear.newton_parts(df, columns, label, terms, 1.0 / c, unions, None, part, KERNEL_PASSES, 1e-6, draw, d)
 
 
 def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], label: str = "sales") -> FittedModel:

@@ -150,7 +150,7 @@ def q_cv_clf(spark, d):
 def _churn(spark, d):
     from tidecast.plans.churn import run_churn
 
-    return run_churn(spark, d)
+    return run_churn(spark, d, folds=0)
 
 
 @register("score_customers")
