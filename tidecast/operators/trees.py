@@ -359,7 +359,9 @@ def predicted(state: tuple, x: np.ndarray) -> np.ndarray:
         tree = Tree(*t)
         total += tree.value[tree.walk(bins)]
     if kind == "forest":
-        return total / max(1, len(trees))
+        mean = total / max(1, len(trees))
+        # Gradients and Hessians are rounded apart: a share may be off by a unit.
+        return np.clip(mean, 0.0, 1.0) if loss == "logistic" else mean
     margin = base + rate * total
     return 1.0 / (1.0 + np.exp(-margin)) if loss == "logistic" else margin
 

@@ -119,14 +119,6 @@ def q_holidays(spark, d):
     return calendar.us_holidays(spark, int(o["a"]), int(o["b"]))
 
 
-@register("ensemble_forecast")
-def q_ensemble_forecast(spark, d):
-    """The four fitted forecasters, 30 days ahead, blended by weight."""
-    from tidecast.plans.forecast import forecast_all
-
-    return forecast_all(spark, d)[1]
-
-
 @register("backtest")
 def q_backtest(spark, d):
     from tidecast.plans.backtest import full_backtest
