@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a packed block.
 BLOCK_ROWS = 4096
+#: Rows times columns that are worth a task of their own in a Newton pass.
+_TASK_CELLS = 1 << 19
 _BLOCK = "part int, n int, x binary, y binary, w binary"
 
 
@@ -193,7 +195,10 @@ def newton_parts(
     starts where the one before ended."""
     k = len(columns)
     d = width or k
-    blocks = _blocks(df, columns, label, weight, part).persist()
+    kept = _blocks(df, columns, label, weight, part).persist()
+    # Few rows in few tasks: a pass costs what its tasks cost to start.
+    cells = (kept.agg(F.sum("n")).first()[0] or 0) * (d + 1)
+    blocks = kept.coalesce(max(1, -(-cells // _TASK_CELLS)))
     ridge = np.append(np.full(d, penalty), 0.0)
     runs = [_Descent(np.zeros(d + 1)) for _ in unions]
     for loss_terms in terms:
@@ -215,7 +220,7 @@ def newton_parts(
             for u, b in trials.items():
                 got = sums.get(u, np.zeros((d + 3, d + 1)))
                 runs[u].take((got[-1, 0] + (ridge * b * b).sum() / 2, got[-2] + ridge * b, got[:-2] + np.diag(ridge), got[-1, 1]), tol, limit[u])
-    blocks.unpersist()
+    kept.unpersist()
     return [(r.beta[:-1], float(r.beta[-1]), r.passes) for r in runs]
 
 
