@@ -277,13 +277,14 @@ def q_scan_forecast_csv(spark, d):
 )
 def q_scan_json(spark, d):
     from tidecast.session import scratch_path
+    from tidecast.sources.json_array import write_arrays
 
     path = scratch_path(spark, "invoices-json")
     raw = src.invoices_from_orders(spark, d).select(
         *[F.col(c).cast("string").alias(c) for c in ("invoice_number", "invoice_date", "customer_no", "account_number", "customer_name", "amount", "invoice_type", "source", "series_key")]
     )
-    raw.write.mode("overwrite").json(path)
-    inv = src.filter_invoices(src.clean(src.read_invoices(spark, path, series_col="series_key", json_array=False)))
+    write_arrays(raw.select(F.to_json(F.struct("*"))), path)
+    inv = src.filter_invoices(src.clean(src.read_invoices(spark, path, series_col="series_key")))
     return inv.select("invoice_number", "invoice_date", "customer_no", F.col("amount").cast("double").alias("amount"), "series_key")
 
 

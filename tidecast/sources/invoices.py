@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.session import table_path
+from tidecast.sources.json_array import RANGE_BYTES, array_records
 
 AMOUNT_TYPE = T.DecimalType(18, 2)
 
@@ -81,17 +82,24 @@ def invoices_from_orders(spark: SparkSession, sf_dir: str, series: str = "nation
     )
 
 
-def read_invoices(spark: SparkSession, path: str, series_col: str | None = None, json_array: bool = True) -> DataFrame:
+def read_invoices(
+    spark: SparkSession, path: str, series_col: str | None = None, json_array: bool = True, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """``scan_invoices_json``: files holding a JSON array of invoice records
     (``json_array=True``) or JSON lines (``False``).
 
-    An array file is parsed whole (one task per file), so a large history
-    should be many files, or JSON lines, which Spark splits inside a file.
+    Array files are read by byte ranges of ``range_bytes`` (see
+    ``sources.json_array``), so one large file is many tasks; JSON lines are
+    split by Spark.
     """
     schema = RAW_INVOICE_SCHEMA
     if series_col and series_col not in schema.fieldNames():
         schema = T.StructType(schema.fields + [T.StructField(series_col, T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", "true" if json_array else "false").json(path)
+    if json_array:
+        records = array_records(spark, path, range_bytes)
+        raw = records.select(F.from_json("record", schema).alias("r")).select("r.*")
+    else:
+        raw = spark.read.schema(schema).json(path)
     key = F.col(series_col) if series_col else F.lit(GLOBAL_SERIES)
     return raw.withColumn("series_key", key)
 
