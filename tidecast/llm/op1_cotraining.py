@@ -6,14 +6,16 @@ fitted on labelled documents. Over rounds, each scores every unlabelled
 document and hands the other those that it is most sure of, as pseudo-labels:
 its sureness counts after calibration on held-out labels (Platt scaling), so a
 view that tells nothing hands over nothing. In the end the calibrated log-odds
-of both views are added, less the prior's, and every document gets a score;
-one scan of the documents, no shuffle.
+of both views are added, less the prior's, and every document gets a score.
 
-A round takes from all unlabelled documents: a scan leaves each one's
-log-odds and metadata, a distributed quantile of them gives each view's
-thresholds, and only the texts that the metadata view hands over are shuffled.
-The labelled documents alone are a bounded sample, the ``LABELLED_ROWS`` with
-the smallest hashes of their doc_id (one in five held out).
+The texts are read once: hashed words and shapes are counted into narrow
+features, written to the shared folder, and every later scan reads these. A
+round takes from all unlabelled documents: a scan leaves each one's log-odds
+of both views, a distributed quantile of them gives each view's thresholds
+(ties are parted by the id's hash), and a second scan takes the features of
+what is handed over. The labelled documents alone are a bounded sample, the
+``LABELLED_ROWS`` with the smallest hashes of their doc_id (one in five held
+out).
 
 Defined cases: a null or empty text has no features and is scored by the
 intercept and its metadata, a null source or language is a value of its own, a
@@ -41,7 +43,7 @@ from tidecast.llm.common import UPPER, col, materialise, table
 LABELLED_ROWS = 10_000
 ROUNDS = 2
 #: Share of all unlabelled documents that a view hands over per class, more by
-#: as much every round; ties at the threshold go with it.
+#: as much every round.
 HANDED = 0.1
 #: Rank accuracy of the thresholds: one part in so many.
 _QUANTILE = 10_000
@@ -84,18 +86,58 @@ def _view_columns(source: str, lang: str, n_chars: str, text: str) -> dict[str,
     return {**_tokens(F.coalesce(col(text), F.lit(""))), "_meta": meta, "_size": size / 10}
 
 
-def _featuriser() -> dict[str, list[Transformer]]:
-    def counted(column: str, buckets: int) -> list[Transformer]:
-        return [
-            HashingTF(inputCol=column, outputCol=f"{column}_tf", numFeatures=buckets),
-            Normalizer(inputCol=f"{column}_tf", outputCol=f"{column}_share", p=1.0),
-        ]
+#: Features of a document as they are stored: counts of hashed words and
+#: shapes (whole numbers, so they pack well), shares and metadata.
+_TEXT_FEATURES = ["_words_tf", "_shapes_tf", "_upper", "_symbols", "_digits", "_blanks"]
+_METADATA_FEATURES = ["_meta", "_size"]
+
+
+class Features:
+    """The features of every document: columns ``c0``, ``c1``, ... are the
+    input's ``names``, ``id`` is the document's."""
+
+    def __init__(self, rows: DataFrame, names: list[str]) -> None:
+        self.rows, self.names = rows, names
+
+    def stored(self) -> "Features":
+        """The same, written once to the shared folder; every later scan reads
+        the narrow features and no text."""
+        from tidecast.session import scratch_path
+
+        spark = self.rows.sparkSession
+        path = scratch_path(spark, "cotraining-features")
+        self.rows.write.parquet(path)
+        return Features(spark.read.parquet(path), self.names)
+
+
+def featurise(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    lang: str = "lang",
+    n_chars: str = "n_chars",
+    keep: list[str] | None = None,
+) -> Features:
+    """Features of both views, with the columns ``keep`` of ``docs`` (all)."""
+    names = docs.columns if keep is None else keep
+    rows = docs.select(
+        *[col(c).alias(f"c{i}") for i, c in enumerate(names)],
+        (col(doc_id) if doc_id in docs.columns else F.lit(None)).alias("id"),
+        F.xxhash64(col(text), col(source), col(lang), col(n_chars)).alias("_pick"),
+        *[c.alias(n) for n, c in _view_columns(source, lang, n_chars, text).items()],
+    )
+    for column, buckets in (("_words", _WORD_BUCKETS), ("_shapes", _SHAPE_BUCKETS)):
+        rows = HashingTF(inputCol=column, outputCol=f"{column}_tf", numFeatures=buckets).transform(rows).drop(column)
+    return Features(rows, names)
 
+
+def _steps() -> dict[str, list[Transformer]]:
+    """From the stored features to the vectors of the classifiers."""
     return {
         "text": [
-            *counted("_words", _WORD_BUCKETS),
-            *counted("_shapes", _SHAPE_BUCKETS),
-            VectorAssembler(inputCols=["_words_share", "_shapes_share", "_upper", "_symbols", "_digits", "_blanks"], outputCol="_text_x"),
+            *[Normalizer(inputCol=f"{c}_tf", outputCol=f"{c}_share", p=1.0) for c in ("_words", "_shapes")],
+            VectorAssembler(inputCols=["_words_share", "_shapes_share", *_TEXT_FEATURES[2:]], outputCol="_text_x"),
         ],
         "metadata": [
             HashingTF(inputCol="_meta", outputCol="_meta_tf", numFeatures=256, binary=True),
@@ -104,20 +146,12 @@ def _featuriser() -> dict[str, list[Transformer]]:
     }
 
 
-def _transform(df: DataFrame, steps: list[Transformer]) -> DataFrame:
-    for step in steps:
+def _vectors(df: DataFrame, name: str) -> DataFrame:
+    for step in _steps()[name]:
         df = step.transform(df)
     return df
 
 
-def _featured(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with one view's features; only that view's fields are read."""
-    meta = ["_meta", "_size"]
-    made = _view_columns("source", "lang", "n_chars", "text")
-    wanted = meta if name == "metadata" else [n for n in made if n not in meta]
-    return _transform(df.select("*", *[made[n].alias(n) for n in wanted]), _featuriser()[name])
-
-
 def _sigmoid(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
@@ -147,10 +181,14 @@ class View:
 
     def sure(self, ends: list[float] | None) -> Column:
         """The label that this view is sure of, beyond the thresholds of both
-        classes; else null."""
+        classes; else null. Ties at a threshold are settled by the id's hash."""
         low, high = ends or (-math.inf, math.inf)
-        odds, least = F.col(f"{self.name}_odds"), math.log(SURE / (1 - SURE))
-        return F.when(odds >= max(high, least), 1.0).when(odds <= min(low, -least), 0.0)
+        odds, least, rank = F.col(f"{self.name}_odds"), math.log(SURE / (1 - SURE)), self.rank()
+        return F.when((rank >= high) & (odds >= least), 1.0).when((rank <= low) & (odds <= -least), 0.0)
+
+    def rank(self) -> Column:
+        """Log-odds with a tiny part from the id's hash, which parts equal ones."""
+        return F.col(f"{self.name}_odds") + F.xxhash64("id", F.lit(self.name)) / F.lit(2.0**63) * 1e-6
 
 
 class CoTrained:
@@ -163,20 +201,20 @@ class CoTrained:
         self, docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars"
     ) -> DataFrame:
         """``docs`` with both views' scores, the combined score and kept."""
-        names = [c for c in docs.columns if c.lower() not in _RESULT]
-        plain = docs.select(
-            *[col(c).alias(f"c{i}") for i, c in enumerate(names)],
-            *[c.alias(n) for n, c in _view_columns(source, lang, n_chars, text).items()],
-        )
-        out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+        return self.score_features(featurise(docs, text=text, source=source, lang=lang, n_chars=n_chars))
+
+    def score_features(self, features: Features) -> DataFrame:
+        """The same from features, stored ones or not."""
+        rows = features.rows
+        out = [F.col(f"c{i}").alias(c) for i, c in enumerate(features.names) if c.lower() not in _RESULT]
         if not self.views:
             same = F.lit(self.prior)
-            return plain.select(*out, *[same.alias(c) for c in _RESULT[:3]], (same >= 0.5).alias("kept"))
+            return rows.select(*out, *[same.alias(c) for c in _RESULT[:3]], (same >= 0.5).alias("kept"))
         for view in self.views:
-            plain = view.log_odds(_transform(plain, _featuriser()[view.name]))
+            rows = view.log_odds(_vectors(rows, view.name))
         both = F.col("text_odds") + F.col("metadata_odds") - math.log(self.prior / (1 - self.prior))
         score = _sigmoid(both)
-        return plain.select(
+        return rows.select(
             *out,
             _sigmoid(F.col("text_odds")).alias("text_score"),
             _sigmoid(F.col("metadata_odds")).alias("metadata_score"),
@@ -189,25 +227,29 @@ def _smallest(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """One row of every id without a label; repeated rows are combined before
-    the shuffle."""
-    fields = [c for c in rows.columns if c != "id"]
-    return rows.groupBy("id").agg(F.min(F.struct(*fields)).alias("f")).join(known, "id", "left_anti").select("id", "f.*")
+def _one_row(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One row of every id, combined before the shuffle."""
+    return rows.groupBy("id").agg(F.min_by(F.struct(*fields), "_pick").alias("f")).select("id", "f.*")
 
 
-def _handed(docs: DataFrame, known: DataFrame, views: list[View], share: float) -> list[DataFrame]:
+def _handed(rows: DataFrame, known: DataFrame, views: list[View], share: float) -> list[DataFrame]:
     """What the metadata view hands to the text view and the other way round:
-    the surest of all unlabelled documents, with the taker's features."""
+    the surest of all unlabelled documents, with the taker's features. One
+    scan of the stored features finds the thresholds; a second judges the
+    metadata again and shuffles only the rows that it hands over."""
     text, metadata = views
-    scored = text.log_odds(_featured(docs, "text")).select("id", "source", "lang", "n_chars", "text_odds")
-    scored = metadata.log_odds(_featured(materialise(_unlabelled(scored, known)), "metadata"))
-    ends = scored.agg(*[F.percentile_approx(f"{v.name}_odds", [share, 1 - share], _QUANTILE).alias(v.name) for v in views]).first()
-    by_text = scored.withColumn("label", text.sure(ends["text"])).filter("label is not null")
-    # The metadata is judged before any text is looked at.
-    judged = metadata.log_odds(_featured(docs, "metadata")).withColumn("label", metadata.sure(ends["metadata"]))
-    by_metadata = _unlabelled(judged.filter("label is not null").select("id", "label", "text"), known)
-    return [_featured(by_metadata, "text").select("id", "label", "_text_x"), by_text.select("id", "label", "_metadata_x")]
+    judged = metadata.log_odds(_vectors(rows, "metadata"))
+    both = ["text_odds", "metadata_odds", *_METADATA_FEATURES]
+    scored = _one_row(text.log_odds(_vectors(judged, "text")).select("id", "_pick", *both), both)
+    scored = materialise(scored.join(known, "id", "left_anti"))
+    ends = scored.agg(*[F.percentile_approx(v.rank(), [share, 1 - share], _QUANTILE).alias(v.name) for v in views]).first()
+    by_text = scored.withColumn("label", text.sure(ends["text"])).dropna(subset=["label"])
+    sure = judged.withColumn("label", metadata.sure(ends["metadata"])).dropna(subset=["label"])
+    by_metadata = _one_row(sure.select("id", "_pick", "label", *_TEXT_FEATURES), ["label", *_TEXT_FEATURES]).join(known, "id", "left_anti")
+    return [
+        _vectors(by_metadata, "text").select("id", "label", "_text_x"),
+        _vectors(by_text, "metadata").select("id", "label", "_metadata_x"),
+    ]
 
 
 def fit(
@@ -222,20 +264,32 @@ def fit(
     labelled_rows: int = LABELLED_ROWS,
     rounds: int = ROUNDS,
 ) -> CoTrained:
+    features = featurise(docs, doc_id, text, source, lang, n_chars, keep=[]).stored()
+    return fit_features(features, labels, label, doc_id, labelled_rows, rounds)
+
+
+def fit_features(
+    features: Features,
+    labels: DataFrame,
+    label: str = "quality",
+    doc_id: str = "doc_id",
+    labelled_rows: int = LABELLED_ROWS,
+    rounds: int = ROUNDS,
+) -> CoTrained:
+    """Co-training on ``features``, which are scanned several times and should
+    be stored."""
     known = (
         labels.select(col(doc_id).alias("id"), col(label).cast("double").alias("label"))
         .dropna()
         .groupBy("id")
         .agg(F.min("label").alias("label"))
     )
-    fields = ((doc_id, "id"), (text, "text"), (source, "source"), (lang, "lang"), (n_chars, "n_chars"))
-    plain = docs.select(*[col(c).alias(f) for c, f in fields]).filter("id is not null")
+    plain = features.rows.filter("id is not null")
     # The sample is bounded, so its ids may go to every task.
     wanted = F.broadcast(materialise(_smallest(known, labelled_rows)))
-    # The fields of repeated rows are combined before the shuffle.
-    rows = plain.select("id", F.struct("text", "source", "lang", "n_chars").alias("f")).join(wanted, "id")
-    rows = rows.groupBy("id", "label").agg(F.min("f").alias("f")).select("id", "label", "f.*")
-    labelled = materialise(_featured(_featured(rows, "text"), "metadata").select("id", "label", "_text_x", "_metadata_x"))
+    fields = ["label", *_TEXT_FEATURES, *_METADATA_FEATURES]
+    rows = _one_row(plain.join(wanted, "id"), fields)
+    labelled = materialise(_vectors(_vectors(rows, "text"), "metadata").select("id", "label", "_text_x", "_metadata_x"))
     held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) == 0
     train, held_out = labelled.filter(~held), labelled.filter(held)
     counts = {(r["held"], r["label"]): r["count"] for r in labelled.groupBy(held.alias("held"), "label").count().collect()}
@@ -254,6 +308,7 @@ def fit(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return model.score(docs).select("doc_id", *_RESULT)
+    docs = table(spark, sf_dir, "documents")
+    features = featurise(docs, keep=["doc_id"]).stored()
+    model = fit_features(features, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return model.score_features(features).select("doc_id", *_RESULT)
