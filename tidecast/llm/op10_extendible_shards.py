@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.common import col, materialise, table
 
-SHARD_BYTES = 2 << 20
+#: Text bytes of a shard.
+SHARD_BYTES = 128 << 20
 #: Directory rows up to which a level is sent to every task.
 BROADCAST_ROWS = 100_000
 _BITS = 60
