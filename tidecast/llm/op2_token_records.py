@@ -33,6 +33,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from tidecast.llm.common import col, table
 
 END_ID = 2
 #: Encoded chunks in each of a worker's two generations.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
 #: Documents encoded at a time.
 LOT = 200
 #: Fixed value: the constant of the masked checksum of TFRecord files.
@@ -94,24 +95,26 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.leads[i] = token.startswith("Ġ")
         self.heads: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
     def _learn(self, wanted: set[str]) -> None:
+        """Ids of chunks that are not in the table; empty bytes stand for
+        white space after a space, which other chunks may merge with."""
         if len(self.chunks) > self.limit:
             # Chunks in use come back from the older generation.
             self.older, self.chunks = self.chunks, {}
-        new, older = [], self.older.get
-        for c in wanted.difference(self.chunks):
-            ids = older(c, 0)
-            if ids != 0:
-                self.chunks[c] = ids
+        new, older, chunks = [], self.older.get, self.chunks
+        for c in wanted:
+            ids = older(c)
+            if ids is not None:
+                chunks[c] = ids
             elif not c or c[0].isspace() or c[0] == "\u180e":
-                self.chunks[c] = None  # white space after a space
+                chunks[c] = b""
             else:
                 new.append(c)
         lots = [new[i : i + 1000] for i in range(0, len(new), 1000)]
@@ -120,28 +123,47 @@ class Encoder:
             ids = np.array(e.ids, self.dtype)
             at = np.flatnonzero(self.leads[ids])
             if len(at) != len(lot) or at[0]:
-                self.chunks.update(zip(lot, self.whole([" " + c for c in lot])))
+                chunks.update(zip(lot, self.whole([" " + c for c in lot])))
                 continue
             data, w = ids.tobytes(), self.dtype.itemsize
-            ends = [*(at[1:] * w).tolist(), len(data)]
-            self.chunks.update({c: data[a:b] for c, a, b in zip(lot, (at * w).tolist(), ends)})
+            bounds = (at * w).tolist()
+            chunks.update({c: data[a:b] for c, a, b in zip(lot, bounds, [*bounds[1:], len(data)])})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
-        split = [t.split(" ") for t in texts]
-        self._learn(set().union(*split))
+        heads, rests, parts, holes, wanted = [], [], [], [], set()
+        known = self.chunks.get
+        for text in texts:
+            head, _, rest = text.partition(" ")
+            chunks = rest.split(" ") if len(head) < len(text) else []
+            got = list(map(known, chunks))
+            at = [i for i, ids in enumerate(got) if ids is None]
+            wanted.update([chunks[i] for i in at])
+            heads.append(head)
+            rests.append(chunks)
+            parts.append(got)
+            holes.append(at)
+        self._learn(wanted)
         if len(self.heads) > self.limit:
             self.heads.clear()
-        new = list({s[0] for s in split}.difference(self.heads))
+        new = list(set(heads).difference(self.heads))
         self.heads.update(zip(new, self.whole(new)))
-        out, get = [], self.chunks.__getitem__
-        for text, s in zip(texts, split):
-            parts = list(map(get, s[1:]))
-            out.append(self.whole([text])[0] if None in parts else self.heads[s[0]] + b"".join(parts))
+        out, learnt = [], self.chunks
+        for text, head, chunks, got, at in zip(texts, heads, rests, parts, holes):
+            for i in at:
+                got[i] = learnt[chunks[i]]
+            out.append(self.whole([text])[0] if b"" in got else self.heads[head] + b"".join(got))
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker: the tokenizer is read and the
+    table of chunks filled once, not once a task."""
+    return Encoder(path)
+
+
 def _store(folder: str):
     """File system and path of a shared folder's address."""
     from pyarrow import fs
@@ -169,7 +191,7 @@ def write_records(
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = worker_encoder(tokenizer)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 width = bytes([encoder.dtype.itemsize])
                 store, path = _store(f"{folder}/records")
