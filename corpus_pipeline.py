@@ -12,21 +12,24 @@ from tidecast.llm import (
     op9_decontaminate,
     op10_extendible_shards,
 )
-from tidecast.llm.common import table
+from tidecast.llm.common import table, text_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    text_batches(spark)
     return op3_quality_rules.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: its smallest doc_id."""
+    text_batches(spark)
     return op4_golay_simhash.one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    text_batches(spark)
     return op9_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -60,7 +60,7 @@ def test_stages_take_awkward_rows_and_empty_tables(spark, docs_of, sf_small):
 
 def test_stage_order_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "mixing", "sharding"]
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

@@ -30,6 +30,20 @@ def lots(texts) -> Iterator[list[bytes]]:
         yield [t or b"" for t in texts.slice(at, LOT).to_pylist()]
 
 
+#: Rows of an Arrow batch in stages that carry whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Let the session hand Python at most ``rows`` rows at a time: Spark's
+    default of 10,000 keeps tens of megabytes of text a task in Arrow buffers
+    and worker memory. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -197,13 +197,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _roots(narrow: DataFrame, join_limit: int) -> DataFrame:
-    """(f, root, component_id) for every distinct fingerprint ``f`` of
-    ``narrow`` (doc_id, f)."""
+    """(f, first_id, root, component_id) for every distinct fingerprint ``f``
+    of ``narrow`` (doc_id, f); ``first_id`` is its smallest doc_id."""
     distinct = materialise(narrow.groupBy("f").agg(F.min("doc_id").alias("first_id")))
     root = connected(links(distinct, join_limit))
     named = distinct.join(root, distinct.f == root.node, "left").select("f", "first_id", F.coalesce("root", "f").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return named.select("f", "root").join(smallest, "root").select("f", "root", "component_id")
+    return named.join(smallest, "root").select("f", "first_id", "root", "component_id")
 
 
 def components(
@@ -225,16 +225,28 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     id_col, text_col = (F.col(f"c{names.index(c)}") for c in (doc_id, text))
     udf = fingerprint_udf()
     narrow = materialise(plain.select(id_col.alias("doc_id"), udf(text_col).alias("f")))
-    roots = materialise(_roots(narrow, join_limit))
-    keepers = narrow.join(roots, "f").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    several = keepers.groupBy("root").count().filter("count > 1").select("root", F.lit(True).alias("several"))
-    rows = (
-        plain.withColumn("f", udf(text_col))
-        .join(roots.join(several, "root", "left"), "f")
-        .filter(id_col.eqNullSafe(F.col("component_id")))
+    # The keeper of a component, settled on fingerprints and ids alone: texts
+    # are fingerprinted once and move once, to meet the ids that stay.
+    stays = (
+        _roots(narrow, join_limit)
+        .filter(F.col("first_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("first_id").alias("doc_id"), F.min("f").alias("f"))
     )
+    repeated = narrow.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("repeated"))
+    keepers = materialise(stays.join(repeated, "doc_id", "left").withColumn("shared", F.expr("repeated or doc_id is null")).fillna(False, ["shared"]))
     out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    return rows.filter("several is null").select(*out).union(rows.filter("several").dropDuplicates(["root"]).select(*out))
+    sole = keepers.filter("not shared").select("doc_id")
+    rows = plain.join(sole, id_col == sole.doc_id, "left_semi").select(*out)
+    # An id that several rows share (or none has) does not name a row: among
+    # its rows the fingerprint tells which stay, and of equal ones any does.
+    shared = keepers.filter("shared").select("doc_id", "f")
+    if shared.isEmpty():
+        return rows
+    ids = shared.filter("doc_id is not null").select("doc_id").distinct()
+    candidates = plain.join(ids, id_col == ids.doc_id, "left_semi").union(plain.filter(id_col.isNull())).withColumn("f", udf(text_col))
+    met = candidates.join(shared, id_col.eqNullSafe(shared.doc_id) & (candidates.f == shared.f), "left_semi")
+    return rows.union(met.dropDuplicates([f"c{names.index(doc_id)}", "f"]).select(*out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
