@@ -109,3 +109,62 @@ def test_classifier_and_auc(spark):
     scored = fm.transform(df, out="probability").select(F.lit("lr").alias("model"), "probability", F.col("churn_label").alias("label"))
     auc = metrics.auc_roc(scored).first().auc
     assert auc > 0.95
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_churn_matrix_is_a_scan_in_few_tasks(spark, sf_small):
+    """Later plans must not carry the features' plan nor a cache's partitions."""
+    from tidecast.plans import q_models
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        m = q_models._churn_matrix(spark, sf_small)
+        assert "InMemoryRelation" not in _plan(m) and "Join" not in _plan(m)
+        assert m.rdd.getNumPartitions() < 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_churn_run_fits_and_scores_each_model_once(spark, sf_small, monkeypatch):
+    from tidecast.operators import models, trees
+    from tidecast.plans import churn
+
+    fitted, fit, drawn, transform = [], trees.fit, [], trees.Fitted.transform
+    monkeypatch.setattr(trees, "fit", lambda data, jobs, *a: fitted.extend(jobs) or fit(data, jobs, *a))
+    monkeypatch.setattr(trees.Fitted, "transform", lambda self, df, out="yhat": drawn.append(self.job) or transform(self, df, out))
+    specs = [models.logistic(1.0), models.random_forest_clf(3, 3), models.boosted_trees_clf(3, 3)]
+    got = churn.run_churn(spark, sf_small, specs=specs, folds=0)
+    # A forest and a booster on all rows once and on three unions of folds.
+    whole = [j for j in fitted if j.parts in (-1, 0b111)]
+    assert len(fitted) == 8 and len(whole) == 2
+    # All customers by both, and each of three blocks by the models that left it out.
+    assert len(drawn) == 2 + 6
+    rows = got.comparison.collect()
+    assert {r["model"] for r in rows} == {"logistic", "random_forest", "boosted_trees", "stacking"}
+    assert all(r["test_auc"] is not None for r in rows)
+    assert got.scored.count() == got.features.count()
+
+
+def test_stack_takes_known_predictions(spark):
+    import random
+
+    from tidecast.operators import models
+
+    rng = random.Random(3)
+    rows = [(str(i), x, rng.random(), int(x + 0.3 * rng.random() > 0.6)) for i in range(90) for x in [rng.random()]]
+    df = spark.createDataFrame(rows, "customer_no string, a double, b double, y int")
+    specs, meta = [models.logistic(1.0, balanced=False), models.random_forest_clf(4, 3, False)], models.logistic(1.0, balanced=False, scaler=None)
+    full = models.fit_models(specs, df, ["a", "b"], "y")
+    one = models.FittedStack(*models.stacking_fit(specs, meta, df, ["a", "b"], "y", 3, "customer_no", full), meta)
+    two = models.FittedStack(*models.stacking_fit(specs, meta, df, ["a", "b"], "y", 3, "customer_no"), meta)
+    scored = df
+    for m in full:
+        scored = m.transform(scored, f"_p_{m.spec.name}")
+    known = {s.name: f"_p_{s.name}" for s in specs}
+    a = {r["customer_no"]: r["p"] for r in one.transform(scored, "p", known).collect()}
+    b = {r["customer_no"]: r["p"] for r in two.transform(df, "p").collect()}
+    assert len(a) == 90 and all(abs(a[k] - b[k]) < 1e-6 for k in b)

@@ -29,6 +29,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.session import stored
+
 CUST = "customer_no"
 
 # Model input columns of the churn matrix (21 of the 24 features; the two
@@ -74,11 +76,11 @@ def customer_features(invoices: DataFrame, ref: dt.date | str | None = None) ->
     and filtered to real invoices.
     """
     # The customer-day table feeds three branches that prune different
-    # columns (so Spark would not reuse one exchange): persist it once so
+    # columns (so Spark would not reuse one exchange): store it once so
     # the invoices are scanned and shuffled a single time. It has one row per
     # customer and order day: nearly as many as invoices where customers
     # rarely order twice a day, but only a few narrow columns.
-    cd = customer_days(invoices).persist()
+    cd = stored(customer_days(invoices), "customer-days")
     # A one-row frame: its size is fixed, so broadcasting it is always safe.
     # The last order day is read from the customer-day table, not the raw
     # invoices (same value, no extra pass over the fact).

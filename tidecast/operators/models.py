@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.quantiles import exact_quantiles
 from tidecast.operators import linear, trees
+from tidecast.session import stored
 
 KEY = "series_key"
 SEED = 42
@@ -359,25 +360,25 @@ def stacking_fit(
     label: str = "sales",
     folds: int = 3,
     order: str = "date",
+    full: Sequence[FittedModel] | None = None,
 ) -> tuple[list[FittedModel], FittedModel]:
     """``stacking_reg`` / ``stacking_clf``: out-of-fold base predictions
     from ``folds`` blocks train the meta model; the bases are also fitted on
     all rows. Fold and full fits are unions of the same parts, so all of them
-    grow in the same passes.
+    grow in the same passes. ``full`` are the bases where they have been fitted
+    on all rows of ``train`` before.
 
     Blocks are contiguous in ``order`` within each series (``ntile`` over a
     window partitioned by series); without a series column they are seeded
     hashes of ``order``.
     """
-    tr = _with_stack_fold(train, folds, order).persist()
-    unions = [[p for p in range(folds) if p != k] for k in range(folds)] + [list(range(folds))]
-    *by_fold, full = fit_parts(bases, tr, features, label, unions, "_fold")
+    tr = stored(_with_stack_fold(train, folds, order), "stack")
+    unions = [[p for p in range(folds) if p != k] for k in range(folds)]
+    fits = fit_parts(bases, tr, features, label, unions if full else [*unions, list(range(folds))], "_fold")
+    by_fold, full = fits[:folds], list(full or fits[-1])
     # A meta model may take several passes over the predictions.
-    oof = out_of_fold(by_fold, tr, bases).persist()
-    meta_fit = fit_model(meta, oof, [f"_base_{b.name}" for b in bases], label)
-    oof.unpersist()
-    tr.unpersist()
-    return full, meta_fit
+    oof = stored(out_of_fold(by_fold, tr, bases), "out-of-fold")
+    return full, fit_model(meta, oof, [f"_base_{b.name}" for b in bases], label)
 
 
 def _with_stack_fold(train: DataFrame, folds: int, order: str) -> DataFrame:
@@ -416,9 +417,15 @@ class FittedStack:
     meta: FittedModel
     spec: ModelSpec
 
-    def transform(self, df: DataFrame, out: str = "yhat") -> DataFrame:
-        got = stacking_predict(self.bases, self.meta, df, out)
-        return got.drop(*[f"_base_{b.spec.name}" for b in self.bases])
+    def transform(self, df: DataFrame, out: str = "yhat", known: dict[str, str] | None = None) -> DataFrame:
+        """``known``: columns of ``df`` that hold a base's predictions."""
+        got, known = df, known or {}
+        for name, column in known.items():
+            got = got.withColumn(f"_base_{name}", F.col(column))
+        for b in self.bases:
+            if b.spec.name not in known:
+                got = b.transform(got, out=f"_base_{b.spec.name}")
+        return self.meta.transform(got, out=out).drop(*[f"_base_{b.spec.name}" for b in self.bases])
 
     def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
         bases, meta = [b.scorer() for b in self.bases], self.meta.scorer()
@@ -482,9 +489,7 @@ def cross_validate(
                 for m, i in zip(inner[tuple(p for p in union if p != q)], base):
                     block = m.transform(block, f"_base_{names[i]}")
                 oof = block if oof is None else oof.unionByName(block)
-            oof = oof.persist()
-            meta = fit_model(stack[1], oof, [f"_base_{names[i]}" for i in base], label)
-            oof.unpersist()
+            meta = fit_model(stack[1], stored(oof, "out-of-fold"), [f"_base_{names[i]}" for i in base], label)
             models["stacking"] = FittedStack([by_union[union][i] for i in base], meta, ModelSpec("stacking", "stack"))
         rows = df.where(F.col(part) == test)
         for name, m in models.items():
@@ -496,7 +501,7 @@ def cross_validate(
         p = p.unionByName(more)
     # All predictions are scored in one aggregate by model and fold.
     by = ("model", "fold")
-    p = p.persist()
+    p = stored(p, "predicted")
     if metric == "reg":
         p = p.withColumnRenamed("p", "yhat")
         return forecast_metrics(p, by).join(r2(p, by), list(by)).select(*by, "mae", "rmse", "r2")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import churn, customers, daily, features, models, splits
 from tidecast.plans.checks import register
 from tidecast.plans.sql_oracle import with_ctes
+from tidecast.session import stored
 from tidecast.sources import invoices as src
 
 KEY = "series_key"
@@ -27,8 +28,8 @@ def _matrix(spark, d, series="nation"):
     # rows are kept; other rows with missing windows (the first 28 days) drop.
     feats = feats.fillna(0.0, subset=["wow_pct_change", "rolling_cv_7", "rolling_cv_14"])
     # The matrix feeds several passes (scaler, label stats, fit, predict):
-    # persist it once instead of re-running the windows for each pass.
-    return features.drop_incomplete(feats, cols).persist(), cols
+    # store it once instead of re-running the windows for each pass.
+    return stored(features.drop_incomplete(feats, cols), "matrix"), cols
 
 
 def _fit_predict(spark, d, spec):
@@ -75,7 +76,7 @@ def q_voting(spark, d):
 def q_cv(spark, d):
     """Every regressor and the mean of three on five time-series folds."""
     m, cols = _matrix(spark, d)
-    parted = splits.time_series_parts(m.where("role = 'train'").drop("role"), 5).persist()
+    parted = stored(splits.time_series_parts(m.where("role = 'train'").drop("role"), 5), "parts")
     specs = [models.ridge(1.0), models.lasso(100.0), models.elastic_net(100.0, 0.5), models.kernel_reg(256),
              models.random_forest_reg(), models.gbt_reg(), models.boosted_trees_reg()]
     per_fold = models.cross_validate(
@@ -100,7 +101,7 @@ def _churn_matrix(spark, d):
     f = customers.customer_features(src.prepared_invoices(spark, d, "nation", fill_zero=True))
     lab = churn.churn_labels(f)
     x = customers.impute_zero(lab)
-    return splits.stratified_split(x, "churn_label", 0.2, 42).persist()
+    return stored(splits.stratified_split(x, "churn_label", 0.2, 42), "customers")
 
 
 def _train_test(m, weights="balanced"):
@@ -141,7 +142,7 @@ def q_cv_clf(spark, d):
     from tidecast.plans.churn import default_classifiers
 
     train, _ = _train_test(_churn_matrix(spark, d))
-    folded = splits.stratified_folds(train, "churn_label", 5, 42).persist()
+    folded = stored(splits.stratified_folds(train, "churn_label", 5, 42), "folds")
     folds = [([p for p in range(5) if p != k], k) for k in range(5)]
     per_fold = models.cross_validate(default_classifiers(), folded, list(customers.CHURN_FEATURES), "churn_label", "fold", folds, "clf")
     return models.cv_summary(per_fold, ("auc", "f1", "precision", "recall"))

@@ -70,6 +70,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a row group of a stored table: small ones can be dealt to many tasks.
+STORED_GROUP = 4 << 20
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder. What follows scans the files:
+    its plans do not carry the one behind ``df``, and its tasks are as many as
+    the files are worth, not one for every shuffle partition of a cache."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("parquet.block.size", STORED_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
