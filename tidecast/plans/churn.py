@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators import churn, customers, metrics, models, splits
+from tidecast.session import stored
 from tidecast.sources.invoices import prepared_invoices
 
 
@@ -46,7 +47,7 @@ def run_churn(
     feat = customers.customer_features(prepared_invoices(spark, sf_dir, "nation", fill_zero=True))
     lab = churn.churn_labels(feat, churn_days)
     x = customers.impute_zero(lab)
-    x = splits.stratified_split(x, "churn_label", 0.2, seed).persist()
+    x = stored(splits.stratified_split(x, "churn_label", 0.2, seed), "customers")
     cols = list(customers.CHURN_FEATURES)
     train = x.where("role = 'train'")
     specs = specs or default_classifiers()
@@ -54,7 +55,7 @@ def run_churn(
     # Cross-validation on the training rows: folds are a column.
     cvd = splits.stratified_folds(train, "churn_label", folds, seed) if folds else train
 
-    weighted = churn.class_weights(cvd, "churn_label", "balanced").persist()
+    weighted = stored(churn.class_weights(cvd, "churn_label", "balanced"), "train")
     if folds:
         unions = [([p for p in range(folds) if p != k], k) for k in range(folds)]
         cv = models.cross_validate(specs, weighted, cols, "churn_label", "fold", unions, "clf")
@@ -67,13 +68,16 @@ def run_churn(
     # the test score (q6).
     base_specs = [s for s in specs if s.name in ("logistic", "random_forest", "boosted_trees")]
     if len(base_specs) >= 2:
-        bases, meta = models.stacking_fit(base_specs, models.logistic(1.0, balanced=False, scaler=None), weighted, cols, "churn_label", 3, order="customer_no")
+        meta_spec, known = models.logistic(1.0, balanced=False, scaler=None), [fitted[s.name] for s in base_specs]
+        bases, meta = models.stacking_fit(base_specs, meta_spec, weighted, cols, "churn_label", 3, order="customer_no", full=known)
         fitted["stacking"] = models.FittedStack(bases, meta, models.ModelSpec("stacking", "stack", kind="clf"))
     # All customers are scored once by every model; test rows rank the models.
     everyone = x
     for name, m in fitted.items():
-        everyone = m.transform(everyone, f"_p_{name}")
-    everyone = everyone.persist()
+        # The stack's bases are among the models before it.
+        done = {"known": {b.spec.name: f"_p_{b.spec.name}" for b in m.bases}} if isinstance(m, models.FittedStack) else {}
+        everyone = m.transform(everyone, f"_p_{name}", **done)
+    everyone = stored(everyone, "scored")
     each = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias("probability")) for n in fitted])
     tested = everyone.where("role = 'test'").select(F.col("churn_label").alias("label"), F.inline(each))
     test_scores = metrics.auc_roc(tested).join(metrics.class_metrics(tested), "model").select(
