@@ -136,8 +136,11 @@ def recursive_forecast(
     next lag, of all series at once. ``fitted`` maps model name -> fitted
     model; the ``driver`` model's (floored) prediction drives the recursion for
     all of them (default: the first). Returns the long table
-    ``(series_key, model, date, step, yhat)``.
+    ``(series_key, model, date, step, yhat)``. Models that score only data
+    frames take :func:`stepwise_forecast`.
     """
+    if not all(hasattr(m, "scorer") for m in fitted.values()):
+        return stepwise_forecast(daily, fitted, features, horizon, driver, value)
     names, features = list(fitted), list(features)
     drives = names.index(driver or names[0])
     score = [fitted[m].scorer() for m in names]
