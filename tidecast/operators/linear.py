@@ -13,6 +13,7 @@ Hessian, a few steps in all, halved where the objective would rise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -63,8 +64,9 @@ def _added(blocks: DataFrame, k: int, add: Callable[..., None], zeros: Callable[
         for batch in batches:
             for part, n, *data in zip(*[c.to_pylist() for c in batch.columns]):
                 x, y, w = (np.frombuffer(d, float) for d in data)
+                x = x.reshape(n, k)
                 for key in keys(part):
-                    add(key, sums.setdefault(key, zeros()), x.reshape(n, k), y, w)
+                    add(key, sums.setdefault(key, zeros()), x, y, w)
         for key, s in sums.items():
             flat = s.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), key), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["key", "i", "v"])
@@ -110,21 +112,24 @@ def solve_elastic(table: np.ndarray, l1: float, l2: float = 0.0, max_iter: int =
     largest effect."""
     xx, xy, n, mx, my = centred(table)
     a, b = xx / n, xy / n
-    w, pull = np.zeros(len(b)), np.zeros(len(b))  # pull = a @ w
+    pull = np.zeros(len(b))  # a @ w
     scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    # Plain floats: thousands of rounds of single numbers.
+    ws, bs, diag, scales, across = [0.0] * len(b), b.tolist(), np.diag(a).tolist(), scale.tolist(), np.ascontiguousarray(a.T)
+    live = [j for j, s in enumerate(scales) if s != 0]
     for _ in range(max_iter):
         moved = 0.0
-        for j in range(len(w)):
-            if scale[j] == 0:
-                continue
-            rho = b[j] - pull[j] + a[j, j] * w[j]
-            new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (a[j, j] + l2)
-            if new != w[j]:
-                pull += a[:, j] * (new - w[j])
-                moved = max(moved, abs(new - w[j]) * scale[j])
-                w[j] = new
-        if moved <= tol * max(1.0, np.abs(w * scale).max()):
+        for j in live:
+            rho = bs[j] - pull.item(j) + diag[j] * ws[j]
+            over = abs(rho) - l1
+            new = math.copysign(over, rho) / (diag[j] + l2) if over > 0 else 0.0
+            if new != ws[j]:
+                pull += across[j] * (new - ws[j])
+                moved = max(moved, abs(new - ws[j]) * scales[j])
+                ws[j] = new
+        if moved <= tol * max(1.0, np.abs(np.array(ws) * scale).max()):
             break
+    w = np.array(ws)
     return w, float(my - mx @ w)
 
 
@@ -207,10 +212,19 @@ def newton_parts(
         while any(not r.done for r in runs):
             trials = {u: r.trial() for u, r in enumerate(runs) if not r.done}
 
-            def add(u: int, s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, trials=trials) -> None:
-                z = np.column_stack([expand(x) if expand else x, np.ones(len(y))])
+            # Every union that holds a block's part reads the same columns of it.
+            latest: list = [None, None]
+
+            def add(u: int, s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, trials=trials, latest=latest) -> None:
+                if latest[0] is not x:
+                    latest[:] = x, np.column_stack([expand(x) if expand else x, np.ones(len(y))])
+                z = latest[1]
                 loss, first, second = loss_terms(z @ trials[u], y)
-                s[:-2] += (z * (w * second)[:, None]).T @ z
+                # Rows without curvature (outside a tube's corner) add nothing.
+                curve = w * second
+                bent = np.flatnonzero(curve)
+                zb, curve = (z[bent], curve[bent]) if len(bent) < len(y) else (z, curve)
+                s[:-2] += (zb * curve[:, None]).T @ zb
                 s[-2] += z.T @ (w * first)
                 s[-1, 0] += (w * loss).sum()
                 s[-1, 1] += w.sum()
