@@ -37,6 +37,8 @@ from tidecast.session import stored
 KEY = "series_key"
 SEED = 42
 ALL = -1
+#: Row parts that fits can be unions of.
+MAX_PARTS = 63
 
 
 def match_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -238,19 +240,22 @@ def _row_ids(df: DataFrame, features: Sequence[str]) -> list[str]:
 
 
 def fit_parts(
-    specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], label: str, unions: Sequence[Sequence[int]], part: str | None = None
-) -> list[list[FittedModel]]:
+    specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], label: str, unions: Sequence[Sequence[int]], part: str | None = None,
+    wanted: Sequence[Sequence[str]] | None = None,
+) -> list[list[FittedModel]]:
     """Every spec fitted on every union of row parts (0 to 62, column
     ``part``): ``[union][spec]``. All tree models grow in the same passes over
     one set of binned rows; Gram tables are added up by part once per scaler.
-    Scalers and bin cuts are those of all rows of ``df``."""
+    Scalers and bin cuts are those of all rows of ``df``. ``wanted`` names the
+    specs of each union, where not all are: the others' places hold None."""
     features = list(features)
+    fits = [{i for i, s in enumerate(specs) if wanted is None or s.name in wanted[u]} for u in range(len(unions))]
     weight = F.col("weight") if "weight" in df.columns else None
     at = F.col(part) if part else None
     out: list[list[FittedModel | None]] = [[None] * len(specs) for _ in unions]
     scalers = {k: ColumnScaler.fit(df, features, k) for k in dict.fromkeys(s.scaler for s in specs) if k}
     grams: dict[str | None, dict[int, np.ndarray]] = {}
-    jobs = [(u, i) for u in range(len(unions)) for i, s in enumerate(specs) if s.method == "tree"]
+    jobs = [(u, i) for u in range(len(unions)) for i, s in enumerate(specs) if s.method == "tree" and i in fits[u]]
     if jobs:
         data = trees.bin_rows(df, features, label, _row_ids(df, features), weight, at)
         fitted = trees.fit(data, [trees.on_parts(specs[i].tree, unions[u]) if part else specs[i].tree for u, i in jobs])
@@ -261,11 +266,13 @@ def fit_parts(
             continue
         scaler = scalers.get(s.scaler)
         columns = _scaled(scaler, features)
+        of = [u for u in range(len(unions)) if i in fits[u]]
+        mine = [unions[u] for u in of]
         if s.method in ("ridge", "elastic"):
             if s.scaler not in grams:
                 grams[s.scaler] = linear.gram(df, columns, label, part=at)
             found = []
-            for parts in unions:
+            for parts in mine:
                 table = sum(g for p, g in grams[s.scaler].items() if not part or p in parts)
                 if s.method == "ridge":
                     found.append(linear.solve_ridge(table, s.params["alpha"]))
@@ -273,10 +280,10 @@ def fit_parts(
                     found.append(linear.solve_elastic(table, s.params["l1"], s.params["l2"], s.params["max_iter"]))
         elif s.method == "logistic":
             balance = weight if s.params["balanced"] else None
-            found = linear.newton_parts(df, columns, label, [linear.logistic_terms], 1.0 / s.params["c"], unions, balance, at, s.params["max_iter"])
+            found = linear.newton_parts(df, columns, label, [linear.logistic_terms], 1.0 / s.params["c"], mine, balance, at, s.params["max_iter"])
         else:
-            found = _fit_kernel(s, df, columns, label, unions, at)
-        for u, (w, b, *_) in enumerate(found):
+            found = _fit_kernel(s, df, columns, label, mine, at)
+        for u, (w, b, *_) in zip(of, found):
             out[u][i] = FittedModel(s, features, label, scaler, w, b)
     return out
 
@@ -373,16 +380,22 @@ def stacking_fit(
     window partitioned by series); without a series column they are seeded
     hashes of ``order``.
     """
-    tr = stored(_with_stack_fold(train, folds, order), "stack")
+    tr = stored(with_stack_fold(train, folds, order), "stack")
     unions = [[p for p in range(folds) if p != k] for k in range(folds)]
     fits = fit_parts(bases, tr, features, label, unions if full else [*unions, list(range(folds))], "_fold")
-    by_fold, full = fits[:folds], list(full or fits[-1])
+    return list(full or fits[-1]), stack_meta(fits[:folds], tr, bases, meta, label)
+
+
+def stack_meta(by_fold: Sequence[Sequence[FittedModel]], tr: DataFrame, bases: Sequence[ModelSpec], meta: ModelSpec, label: str) -> FittedModel:
+    """The meta model of a stack, from its bases' out-of-fold predictions."""
+    names = [f"_base_{b.name}" for b in bases]
     # A meta model may take several passes over the predictions.
-    oof = stored(out_of_fold(by_fold, tr, bases), "out-of-fold")
-    return full, fit_model(meta, oof, [f"_base_{b.name}" for b in bases], label)
+    kept = [c for c in (KEY, "date", "customer_no", "weight", label) if c in tr.columns]
+    oof = stored(out_of_fold(by_fold, tr, bases).select(*kept, *names), "out-of-fold")
+    return fit_model(meta, oof, names, label)
 
 
-def _with_stack_fold(train: DataFrame, folds: int, order: str) -> DataFrame:
+def with_stack_fold(train: DataFrame, folds: int, order: str) -> DataFrame:
     from pyspark.sql import Window
 
     if KEY in train.columns:
@@ -455,6 +468,7 @@ class FittedVote:
 def cross_validate(
     specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], label: str, part: str, folds: Sequence[tuple[Sequence[int], int]],
     metric: str = "reg", vote: Sequence[str] = (), stack: tuple[Sequence[str], ModelSpec] | None = None,
+    fitted: Sequence[Sequence[FittedModel]] | None = None,
 ) -> DataFrame:
     """``cross_validate``: fit every spec on the train parts of every fold,
     score its test part; per-(model, fold) metrics, summed up by
@@ -464,12 +478,13 @@ def cross_validate(
     test part), see ``time_series_parts``. ``vote`` names the members of a
     mean model. ``stack`` names base models and gives the meta model of a
     stack whose out-of-fold rows are, in each fold, those of its train parts
-    predicted without them.
+    predicted without them. ``fitted`` are the specs where they have been fitted
+    on each fold's train parts before.
     """
     from tidecast.operators.metrics import auc_roc, class_metrics, forecast_metrics, r2
 
     unions = [tuple(sorted(train)) for train, _ in folds]
-    by_union = dict(zip(unions, fit_parts(specs, df, features, label, unions, part)))
+    by_union = dict(zip(unions, fitted or fit_parts(specs, df, features, label, unions, part)))
     names = [s.name for s in specs]
     inner: dict[tuple, list] = {}
     if stack:

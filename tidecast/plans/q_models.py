@@ -148,10 +148,10 @@ def q_cv_clf(spark, d):
     return models.cv_summary(per_fold, ("auc", "f1", "precision", "recall"))
 
 
-def _churn(spark, d):
+def _churn(spark, d, folds=0):
     from tidecast.plans.churn import run_churn
 
-    return run_churn(spark, d, folds=0)
+    return run_churn(spark, d, folds=folds)
 
 
 @register("score_customers")
@@ -160,7 +160,12 @@ def q_score(spark, d):
     return _churn(spark, d).scored.select("customer_no", "churn_probability", "risk_category", "revenue_at_risk")
 
 
-register("churn_comparison")(lambda spark, d: _churn(spark, d).comparison)
+@register("churn_comparison")
+def q_churn_comparison(spark, d):
+    """Five-fold stratified cross-validation and test scores of every model."""
+    return _churn(spark, d, folds=5).comparison
+
+
 register("churn_interventions")(lambda spark, d: _churn(spark, d).interventions)
 
 
