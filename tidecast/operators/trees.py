@@ -14,7 +14,9 @@ sibling is the parent less that); the best split of each node is searched
 where its sums lie, and the driver gets one row a node. When all rows fit
 ``local_bytes`` the same sums need no shuffle: blocks are broadcast (their
 size is known, not guessed) and a task grows whole trees, each boosted model
-in one task, a forest's trees spread over tasks. Both ways give the same
+in one task, a forest's trees spread over tasks; there the bins of two or three
+columns share a code (:class:`Codes`), so a pass over the rows adds up several
+columns at once, chunk by chunk. Both ways give the same
 trees, bit for bit: gradients and Hessians are whole multiples of fixed units,
 so their sums are exact in any order (for fewer than 2^31 rows).
 
@@ -42,8 +44,13 @@ from tidecast.session import scratch_path
 BINS = 64
 #: Rows of a block.
 BLOCK_ROWS = 1 << 14
-#: Bytes of binned rows up to which they are broadcast.
-LOCAL_BYTES = 64 << 20
+#: Bytes of binned rows up to which they are broadcast: a worker takes about
+#: twice as much of memory.
+LOCAL_BYTES = 256 << 20
+#: Bits of a code of several columns.
+CODE_BITS = 12
+#: Rows whose sums are added up at a time: what a core's cache holds.
+CHUNK_ROWS = 1 << 15
 #: Bytes of a task's sums in one distributed pass; more trees take more passes.
 PASS_BYTES = 128 << 20
 #: Boosting rounds after which distributed margins are written anew.
@@ -142,11 +149,65 @@ def _columns(job: Job, tree: int, k: int) -> np.ndarray:
     return np.sort(rank[:n])
 
 
+class Codes:
+    """Bins of several columns in one code a row: sums by code hold the sums by
+    bin of each of them. Indexed like the matrix of bins by (columns, rows)."""
+
+    def __init__(self, codes: np.ndarray, groups: list[list[tuple[int, int, int]]]):
+        """``groups``: for each row of ``codes`` its (column, shift, bits)."""
+        self.codes, self.groups = codes, groups
+        self.group, self.shift, self.mask = (np.zeros(sum(map(len, groups)), t) for t in (np.intp, np.uint16, np.uint16))
+        for i, group in enumerate(groups):
+            for f, shift, bits in group:
+                self.group[f], self.shift[f], self.mask[f] = i, shift, (1 << bits) - 1
+
+    @classmethod
+    def grouped(cls, highest: Sequence[int]) -> list[list[tuple[int, int, int]]]:
+        """Columns by their highest bins, the widest first, each in the first
+        group with room."""
+        bits = [max(1, int(h).bit_length()) for h in highest]
+        groups: list[list[tuple[int, int, int]]] = []
+        for f in sorted(range(len(bits)), key=lambda f: (-bits[f], f)):
+            for group in groups:
+                used = group[-1][1] + group[-1][2]
+                if used + bits[f] <= CODE_BITS:
+                    group.append((f, used, bits[f]))
+                    break
+            else:
+                groups.append([(f, 0, bits[f])])
+        return groups
+
+    @classmethod
+    def of(cls, bins: "np.ndarray | Codes", highest: Sequence[int] | None = None) -> "Codes":
+        if isinstance(bins, Codes):
+            return bins
+        groups = cls.grouped(highest if highest is not None else bins.max(axis=1, initial=0).tolist())
+        codes = np.zeros((len(groups), bins.shape[1]), np.uint16)
+        for code, group in zip(codes, groups):
+            for f, shift, _ in group:
+                code |= bins[f].astype(np.uint16) << np.uint16(shift)
+        return cls(codes, groups)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.group), self.codes.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.group)
+
+    def __getitem__(self, key):
+        f, rows = key
+        return (self.codes[self.group[f], rows] >> self.shift[f]) & self.mask[f]
+
+    def take(self, at: np.ndarray) -> "Codes":
+        return Codes(self.codes[:, at], self.groups)
+
+
 @dataclass
 class Rows:
     """Unpacked rows of one or more blocks."""
 
-    bins: np.ndarray
+    bins: "np.ndarray | Codes"
     y: np.ndarray
     w: np.ndarray
     part: np.ndarray
@@ -160,7 +221,12 @@ class Rows:
         return cls(np.ascontiguousarray(bins), **flat)
 
     def take(self, at: np.ndarray) -> "Rows":
-        return Rows(np.ascontiguousarray(self.bins[:, at]), self.y[at], self.w[at], self.part[at], self.key[at])
+        bins = self.bins.take(at) if isinstance(self.bins, Codes) else np.ascontiguousarray(self.bins[:, at])
+        return Rows(bins, self.y[at], self.w[at], self.part[at], self.key[at])
+
+    def among(self, a: int, b: int) -> "Rows":
+        """Rows ``a`` to ``b`` without their bins."""
+        return Rows(self.bins, self.y[a:b], self.w[a:b], self.part[a:b], self.key[a:b])
 
     def weight(self, job: Job) -> np.ndarray:
         mask = np.uint64(job.parts & ((1 << 64) - 1))
@@ -205,6 +271,64 @@ def histogram(bins: np.ndarray, at: np.ndarray, slot: np.ndarray, slots: int, co
     return out
 
 
+class _Sums:
+    """Sums of gradients, Hessians and counts by (kind, slot, column, bin) over
+    the codes of chunks of rows. A chunk's Hessians and counts are whole numbers
+    that share a double where their sums fit its 53 bits: one pass for both."""
+
+    def __init__(self, codes: Codes, slots: int, columns: np.ndarray):
+        self.codes, self.slots, self.columns = codes, slots, columns
+        wanted = {f: i for i, f in enumerate(columns.tolist())}
+        self.groups = [(i, [(wanted[f], f, shift, bits) for f, shift, bits in g if f in wanted], g[-1][1] + g[-1][2]) for i, g in enumerate(codes.groups)]
+        self.groups = [g for g in self.groups if g[1]]
+        # Cells stay few against the rows of a chunk: by code for some slots only.
+        self.chunk = CHUNK_ROWS * min(slots, 4)
+        self.joint = {i: np.zeros((3, slots << size)) for i, fs, size in self.groups if len(fs) > 1 and slots << size <= self.chunk // 8}
+        self.cells = np.zeros((3, len(columns), slots * BINS))
+
+    def add(self, a: int, b: int, at: np.ndarray | None, slot: np.ndarray | None, sums: Sequence[np.ndarray]) -> None:
+        """Rows ``a + at`` (None: all) of ``a`` to ``b``; ``sums`` are theirs."""
+        g, h, c = sums
+        if not len(g):
+            return
+        c = c.astype(float)
+        bits = int(h.sum()).bit_length()
+        both = h + c * float(1 << bits) if bits + int(c.sum()).bit_length() <= 53 else None
+
+        def added(code: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            left = np.bincount(code, g, cells)
+            if both is None:
+                return left, np.bincount(code, h, cells), np.bincount(code, c, cells)
+            packed = np.bincount(code, both, cells)
+            count = np.floor(packed * 2.0**-bits)
+            return left, packed - count * float(1 << bits), count
+
+        slot = slot.astype(np.intp) if self.slots > 1 else None
+        by_bin = slot * BINS if self.slots > 1 else None
+        for i, columns, size in self.groups:
+            code = self.codes.codes[i, a:b] if at is None else self.codes.codes[i, a:b].take(at)
+            if i in self.joint:
+                code = code.astype(np.intp) if slot is None else (slot << size) + code
+                for total, more in zip(self.joint[i], added(code, self.slots << size)):
+                    total += more
+                continue
+            for place, f, shift, _ in columns:
+                one = (code >> np.uint16(shift) if shift else code) & self.codes.mask[f]
+                one = one.astype(np.intp) if slot is None else by_bin + one
+                for total, more in zip(self.cells, added(one, self.slots * BINS)):
+                    total[place] += more
+
+    def total(self) -> np.ndarray:
+        out = np.ascontiguousarray(self.cells.reshape(3, len(self.columns), self.slots, BINS).swapaxes(1, 2))
+        for i, columns, size in self.groups:
+            if i in self.joint:
+                for place, _, shift, bits in columns:
+                    # (kind, slot, higher columns, this one, lower columns)
+                    cells = self.joint[i].reshape(3, self.slots, 1 << (size - shift - bits), 1 << bits, 1 << shift)
+                    out[:, :, place, : 1 << bits] = cells.sum(axis=(2, 4))
+        return out
+
+
 def best_splits(h: np.ndarray, unit: float, lam: float, min_rows: float) -> tuple[np.ndarray, ...]:
     """For each slot the gain of its best split (first column, first bin on
     ties), column, bin and the sums to its left. No split: gain 0. A few slots
@@ -241,14 +365,20 @@ def _value(g, h, unit: float, lam: float):
         return np.where(h > 0, -(g * unit) / (h + lam * _UNIT), 0.0)
 
 
-def grow(job: Job, unit: float, bins: np.ndarray, sums: tuple[np.ndarray, ...], columns: np.ndarray) -> Tree:
-    """One tree over rows at hand."""
-    tree = Tree.root()
+def grow(job: Job, unit: float, bins: "np.ndarray | Codes", sums: tuple[np.ndarray, ...], columns: np.ndarray, leaf: np.ndarray | None = None) -> Tree:
+    """One tree over rows at hand; ``leaf`` gets the leaves of the rows that
+    count. A level is one pass over the rows, a chunk at a time."""
+    tree, codes = Tree.root(), Codes.of(bins)
     g, h, c = sums
     tree.value[0] = _value(g.sum(), h.sum(), unit, job.lam)
-    at = np.flatnonzero(c > 0)
-    nodes, slot = np.zeros(1, np.int64), np.zeros(len(at), np.int64)
-    hist = histogram(bins, at, slot, 1, columns, sums)
+    n = codes.shape[1]
+    # The place of a row's node among those that grow; -1: none of them.
+    slot = np.where(c > 0, 0, -1).astype(np.int16 if job.depth < 15 else np.int32)
+    nodes, first = np.zeros(1, np.int64), _Sums(codes, 1, columns)
+    for a in range(0, n, first.chunk):
+        b = min(a + first.chunk, n)
+        first.add(a, b, None, None, (g[a:b], h[a:b], c[a:b]))
+    hist = first.total()
     for level in range(job.depth):
         gain, column, cut, lg, lh, lc, tg, th, tc = best_splits(hist, unit, job.lam, job.min_rows)
         won = np.flatnonzero(gain > 0)
@@ -257,24 +387,42 @@ def grow(job: Job, unit: float, bins: np.ndarray, sums: tuple[np.ndarray, ...],
         rg, rh = (tg - lg)[won], (th - lh)[won]
         values = _value(lg[won], lh[won], unit, job.lam), _value(rg, rh, unit, job.lam)
         first = tree.split(nodes[won], columns[column[won]], cut[won], gain[won], values)
-        new = np.full(len(nodes), -1, np.int64)
+        new = np.full(len(nodes), -1, slot.dtype)
         new[won] = np.arange(len(won))
-        keep = new[slot] >= 0
-        at, slot = at[keep], new[slot[keep]]
-        right = bins[columns[column[won]][slot], at] > cut[won][slot]
-        if level + 1 == job.depth:
-            break
+        feature, last = columns[column[won]], level + 1 == job.depth
+        group, mask, most = codes.group[feature], codes.mask[feature] << codes.shift[feature], cut[won].astype(np.uint16) << codes.shift[feature]
         # Sums of the smaller child; its sibling is the parent less that.
         small_right = 2 * lc[won] > tc[won]
-        mine = right == small_right[slot]
-        part = histogram(bins, at[mine], slot[mine], len(won), columns, sums)
+        small = None if last else _Sums(codes, len(won), columns)
+        step = CHUNK_ROWS if last else small.chunk
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            at = np.flatnonzero(slot[a:b] >= 0)
+            s = new[slot[a:b][at]]
+            slot[a:b] = -1
+            if len(won) < len(nodes):
+                at, s = at[s >= 0], s[s >= 0]
+            if len(won) == 1:
+                right = (codes.codes[group[0], a:b].take(at) & mask[0]) > most[0]
+            else:
+                right = (codes.codes[group[s], a + at] & mask[s]) > most[s]
+            if leaf is not None:
+                leaf[a + at] = first[s] + right
+            if last:
+                continue
+            slot[a + at] = 2 * s + right
+            mine = right == small_right[s]
+            at, s = at[mine], s[mine]
+            small.add(a, b, at, s, [x[a:b].take(at) for x in sums])
+        if last:
+            break
+        part = small.total()
         pair = np.empty((3, len(won), 2, len(columns), BINS))
         for i, (parent, side) in enumerate(zip(won.tolist(), small_right.astype(int).tolist())):
             pair[:, i, side] = part[:, i]
             np.subtract(hist[:, parent], part[:, i], out=pair[:, i, 1 - side])
         hist = pair.reshape(3, -1, len(columns), BINS)
         nodes = np.stack([first, first + 1], axis=1).ravel()
-        slot = 2 * slot + right
     return tree
 
 
@@ -423,13 +571,28 @@ def _grow_here(job: Job, base: float, unit: float, rows: Rows, numbers: Sequence
     inside = np.flatnonzero(weight > 0)
     if len(inside) < len(weight):
         rows, weight = rows.take(inside), weight[inside]
-    margin, trees = np.full(len(rows.y), base), []
+    n, codes = len(rows.y), Codes.of(rows.bins)
+    margin, trees = np.full(n, base), []
+    sums = np.empty(n), np.empty(n), np.empty(n, np.uint8)
+    leaf = np.zeros(n, np.int32) if job.kind == "boost" else None
     for t in numbers:
-        sums = _gradients(job, base, unit, rows, margin, weight, rows.draws(job, t))
-        tree = grow(job, unit, rows.bins, sums, _columns(job, t, len(rows.bins)))
+        for a in range(0, n, CHUNK_ROWS):
+            b = min(a + CHUNK_ROWS, n)
+            chunk = rows.among(a, b)
+            for kept, more in zip(sums, _gradients(job, base, unit, chunk, margin[a:b], weight[a:b], chunk.draws(job, t))):
+                kept[a:b] = more
+        if leaf is not None:
+            leaf[:] = 0
+        tree = grow(job, unit, codes, sums, _columns(job, t, codes.shape[0]), leaf)
         trees.append(tree)
-        if job.kind == "boost":
-            margin = margin + job.rate * tree.value[tree.walk(rows.bins)]
+        if leaf is None:
+            continue
+        for a in range(0, n, CHUNK_ROWS):
+            b = min(a + CHUNK_ROWS, n)
+            out = np.flatnonzero(sums[2][a:b] == 0)
+            if len(out):
+                leaf[a + out] = tree.walk(codes, a + out)
+            margin[a:b] += job.rate * tree.value[leaf[a:b]]
     return trees
 
 
@@ -440,10 +603,29 @@ def fit(data: Binned, jobs: Sequence[Job], local_bytes: int = LOCAL_BYTES) -> li
     return [Fitted(j, data.cols, data.edges, base, t) for j, (base, _), t in zip(jobs, starts, trees)]
 
 
+def _all_rows(data: Binned) -> Rows:
+    """All blocks as one, of at most ``local_bytes``, read a file's part at a
+    time. Labels that are small whole numbers take a byte."""
+    blocks, highest = [], [len(e) for e in data.edges]
+    for r in data.df.toLocalIterator():
+        b = Rows.of([r.asDict()], len(data.cols))
+        b.bins = Codes.of(b.bins, highest).codes
+        blocks.append(b)
+    joined = lambda name, axis: np.concatenate([getattr(b, name) for b in blocks], axis) if blocks else None
+    if not blocks:
+        return Rows(Codes.of(np.zeros((len(data.cols), 0), np.uint8), highest), *[np.zeros(0, t) for t in (float, float, np.uint8, np.uint64)])
+    y = joined("y", 0)
+    small = y.astype(np.uint8)
+    y = small if (small == y).all() else y
+    return Rows(Codes(joined("bins", 1), Codes.grouped(highest)), y, *[joined(c, 0) for c in ("w", "part", "key")])
+
+
 def _fit_local(data: Binned, jobs: Sequence[Job], starts) -> list[list[Tree]]:
-    spark, k = data.df.sparkSession, len(data.cols)
-    # At most local_bytes, as counted before.
-    blocks = spark.sparkContext.broadcast([r.asDict() for r in data.df.collect()])
+    spark = data.df.sparkSession
+    whole = _all_rows(data)
+    # Plain arrays travel between processes, not classes.
+    shared = spark.sparkContext.broadcast((whole.bins.codes, whole.bins.groups, whole.y, whole.w, whole.part, whole.key))
+    del whole
     tasks = []
     for i, job in enumerate(jobs):
         size = job.trees if job.kind == "boost" else max(1, -(-job.trees // (2 * spark.sparkContext.defaultParallelism)))
@@ -453,15 +635,16 @@ def _fit_local(data: Binned, jobs: Sequence[Job], starts) -> list[list[Tree]]:
     listed = list(jobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = None
+        codes, groups, *more = shared.value
+        rows = Rows(Codes(codes, groups), *more)
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                rows = rows or Rows.of(blocks.value, k)
                 _, i, numbers = tasks[n]
                 got = _grow_here(listed[i], *starts[i], rows, numbers) if len(rows.y) else []
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pickle.dumps([t.state() for t in got])], pa.binary())], names=["n", "trees"])
 
     found = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, "n long, trees binary").collect()
+    shared.unpersist()
     out: list[dict[int, list[Tree]]] = [{} for _ in jobs]
     for r in found:
         _, i, numbers = tasks[r["n"]]
