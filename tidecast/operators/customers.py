@@ -6,11 +6,9 @@ Plan shape (built for one customer holding a large share of all rows):
 1. invoices -> one row per (customer, day): a partial + final hash
    aggregate. Whatever a customer's order count, it now has at most one
    row per calendar day.
-2. Everything else reads that customer-day table: a per-customer aggregate,
-   a per-customer window (gaps between order days) and a per-(customer,
-   quarter) aggregate. The three share the same input exchange.
-3. The three per-customer results are joined on ``customer_no``; they are
-   all hash-partitioned by it already.
+2. Everything else reads that customer-day table once: a per-customer window
+   (gaps between order days) and, in its partitions, one per-customer
+   aggregate of totals, gaps and quarter counts.
 
 Gaps between consecutive orders are recovered exactly from the
 customer-day table: a day with ``n`` orders contributes ``n - 1`` zero gaps
@@ -75,9 +73,8 @@ def customer_features(invoices: DataFrame, ref: dt.date | str | None = None) ->
     ``invoices`` must already be cleaned (amount coerced, NULL -> 0 for churn)
     and filtered to real invoices.
     """
-    # The customer-day table feeds three branches that prune different
-    # columns (so Spark would not reuse one exchange): store it once so
-    # the invoices are scanned and shuffled a single time. It has one row per
+    # The customer-day table feeds the reference date and the features: store
+    # it once so the invoices are scanned and shuffled a single time. It has one row per
     # customer and order day: nearly as many as invoices where customers
     # rarely order twice a day, but only a few narrow columns.
     cd = stored(customer_days(invoices), "customer-days")
@@ -86,61 +83,69 @@ def customer_features(invoices: DataFrame, ref: dt.date | str | None = None) ->
     # invoices (same value, no extra pass over the fact).
     refdf = F.broadcast(reference_date(cd.withColumnRenamed("date", "invoice_date"), ref))
 
+    # Gaps: per customer, days between consecutive order days, plus n-1
+    # zero gaps inside each day. Rows per customer <= order days.
     d = F.col("date")
+    w = Window.partitionBy(CUST).orderBy("date")
+    stepped = cd.withColumn("_step", F.datediff(d, F.lag(d).over(w)))
+    # A day's row carries the gap before it; its zero gaps are a second row
+    # that counts for the gaps alone.
+    day = F.struct(F.col("_step").alias("gap"), F.lit(1).cast("long").alias("freq"), F.lit(True).alias("day"))
+    zeros = F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("freq"), F.lit(False).alias("day"))
+    rows = stepped.select("*", F.inline(F.when(F.col("n") > 1, F.array(day, zeros)).otherwise(F.array(day))))
+
+    # One aggregate over the window's own partitions: no further exchange.
     r = F.col("ref_date")
     recent = d >= F.date_sub(r, 180)
     prior = (d >= F.date_sub(r, 365)) & (d < F.date_sub(r, 180))
-    base = (
-        cd.crossJoin(refdf)
+    gap, n_gaps = F.col("gap"), F.when(F.col("gap").isNotNull(), F.col("freq"))
+
+    def total(col: str, of: Column | None = None) -> Column:
+        return F.sum(F.when(F.col("day") if of is None else F.col("day") & of, F.col(col)).otherwise(0))
+
+    def counted(of: Column) -> Column:
+        return total("n", of)
+
+    q = F.quarter("date")
+    j = (
+        rows.crossJoin(refdf)
         .groupBy(CUST)
         .agg(
             F.first("ref_date").alias("ref_date"),
             F.min_by("first_name", "date").alias("customer_name"),
             F.max("date").alias("last_order"),
             F.min("date").alias("first_order"),
-            F.sum("n").alias("frequency"),
-            F.sum("amt").alias("_s1"),
-            F.sum("amt2").alias("_s2"),
-            F.sum(F.when(recent, F.col("n")).otherwise(0)).alias("recent_orders"),
-            F.sum(F.when(prior, F.col("n")).otherwise(0)).alias("prior_orders"),
-            F.sum(F.when(recent, F.col("amt")).otherwise(0)).alias("_recent_rev"),
-            F.sum(F.when(prior, F.col("amt")).otherwise(0)).alias("_prior_rev"),
+            F.sum(F.when(F.col("day"), F.col("n"))).alias("frequency"),
+            F.sum(F.when(F.col("day"), F.col("amt"))).alias("_s1"),
+            F.sum(F.when(F.col("day"), F.col("amt2"))).alias("_s2"),
+            counted(recent).alias("recent_orders"),
+            counted(prior).alias("prior_orders"),
+            total("amt", recent).alias("_recent_rev"),
+            total("amt", prior).alias("_prior_rev"),
+            F.sum(n_gaps).alias("_m"),
+            F.sum(gap * F.col("freq")).alias("_g1"),
+            F.sum(gap.cast("long") * gap * F.col("freq")).alias("_g2"),
+            F.min("gap").alias("_min_gap"),
+            F.max("gap").alias("_max_gap"),
+            F.percentile("gap", 0.5, F.col("freq")).alias("_median_gap"),
+            *[counted(q == i).alias(f"_q{i}") for i in range(1, 5)],
+            counted(q.isNull()).alias("_q0"),
         )
     )
-
-    # Gaps: per customer, days between consecutive order days, plus n-1
-    # zero gaps inside each day. Rows per customer <= order days.
-    w = Window.partitionBy(CUST).orderBy("date")
-    stepped = cd.withColumn("_step", F.datediff(d, F.lag(d).over(w)))
-    gap_rows = stepped.select(
-        CUST,
-        F.inline(
-            F.array(
-                F.struct(F.col("_step").alias("gap"), F.lit(1).cast("long").alias("freq")),
-                F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("freq")),
-            )
-        ),
-    ).where(F.col("gap").isNotNull() & (F.col("freq") > 0))
-    gaps = gap_rows.groupBy(CUST).agg(
-        F.sum("freq").alias("_m"),
-        F.sum(F.col("gap") * F.col("freq")).alias("_g1"),
-        F.sum(F.col("gap").cast("long") * F.col("gap") * F.col("freq")).alias("_g2"),
-        F.min("gap").alias("_min_gap"),
-        F.max("gap").alias("_max_gap"),
-        F.percentile("gap", 0.5, F.col("freq")).alias("_median_gap"),
+    # Quarterly seasonality over quarters present (quarter of year, 1-4; days
+    # without a date count as one more). The peak is the first of the largest.
+    counts = [F.col(f"_q{i}") for i in range(5)]
+    most = F.greatest(*counts[1:])
+    peak = F.when(counts[0] <= most, F.coalesce(*[F.when(c == most, F.lit(i)) for i, c in enumerate(counts) if i]))
+    j = j.withColumns(
+        {
+            "_k": sum((c > 0).cast("long") for c in counts),
+            "_c1": sum(counts),
+            "_c2": sum(c * c for c in counts),
+            "peak_quarter": peak,
+        }
     )
 
-    # Quarterly seasonality over quarters present (quarter of year, 1-4).
-    per_q = cd.groupBy(CUST, F.quarter("date").alias("q")).agg(F.sum("n").alias("cnt"))
-    quarters = per_q.groupBy(CUST).agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.sum("cnt").alias("_c1"),
-        F.sum(F.col("cnt") * F.col("cnt")).alias("_c2"),
-        F.max_by("q", F.struct(F.col("cnt"), -F.col("q"))).alias("peak_quarter"),
-    )
-
-    j = base.join(gaps, CUST, "left").join(quarters, CUST, "left")
-
     freq = F.col("frequency")
     recency = F.datediff(r, F.col("last_order"))
     tenure = F.datediff(r, F.col("first_order"))

@@ -220,9 +220,11 @@ class Rows:
         bins = np.concatenate([np.frombuffer(b["bins"], np.uint8).reshape(k, -1) for b in blocks], axis=1)
         return cls(np.ascontiguousarray(bins), **flat)
 
-    def take(self, at: np.ndarray) -> "Rows":
+    def take(self, at: np.ndarray, job: Job | None = None) -> "Rows":
+        """Rows ``at``; for a ``job`` only what it reads of them."""
         bins = self.bins.take(at) if isinstance(self.bins, Codes) else np.ascontiguousarray(self.bins[:, at])
-        return Rows(bins, self.y[at], self.w[at], self.part[at], self.key[at])
+        weighs, draws = job is None or job.weighted, job is None or job.kind == "forest" or job.rows < 1
+        return Rows(bins, self.y[at], self.w[at if weighs else slice(0)], self.part[at], self.key[at if draws else slice(0)])
 
     def among(self, a: int, b: int) -> "Rows":
         """Rows ``a`` to ``b`` without their bins."""
@@ -566,11 +568,12 @@ class Fitted:
 
 
 def _grow_here(job: Job, base: float, unit: float, rows: Rows, numbers: Sequence[int]) -> list[Tree]:
-    weight = rows.weight(job)
     # Rows of other parts add nothing to any sum: a job works on its own ones.
-    inside = np.flatnonzero(weight > 0)
-    if len(inside) < len(weight):
-        rows, weight = rows.take(inside), weight[inside]
+    spans = [(a, min(a + CHUNK_ROWS, len(rows.y))) for a in range(0, len(rows.y), CHUNK_ROWS)]
+    inside = [a + np.flatnonzero(rows.among(a, b).weight(job) > 0) for a, b in spans]
+    if sum(map(len, inside)) < len(rows.y):
+        rows = rows.take(np.concatenate(inside), job)
+    del inside
     n, codes = len(rows.y), Codes.of(rows.bins)
     margin, trees = np.full(n, base), []
     sums = np.empty(n), np.empty(n), np.empty(n, np.uint8)
@@ -579,7 +582,7 @@ def _grow_here(job: Job, base: float, unit: float, rows: Rows, numbers: Sequence
         for a in range(0, n, CHUNK_ROWS):
             b = min(a + CHUNK_ROWS, n)
             chunk = rows.among(a, b)
-            for kept, more in zip(sums, _gradients(job, base, unit, chunk, margin[a:b], weight[a:b], chunk.draws(job, t))):
+            for kept, more in zip(sums, _gradients(job, base, unit, chunk, margin[a:b], chunk.weight(job), chunk.draws(job, t))):
                 kept[a:b] = more
         if leaf is not None:
             leaf[:] = 0
@@ -605,19 +608,20 @@ def fit(data: Binned, jobs: Sequence[Job], local_bytes: int = LOCAL_BYTES) -> li
 
 def _all_rows(data: Binned) -> Rows:
     """All blocks as one, of at most ``local_bytes``, read a file's part at a
-    time. Labels that are small whole numbers take a byte."""
-    blocks, highest = [], [len(e) for e in data.edges]
+    time into what is returned. Labels that are small whole numbers take a byte."""
+    n, k, highest, small, at = data.rows, len(data.cols), [len(e) for e in data.edges], True, 0
+    groups = Codes.grouped(highest)
+    whole = Rows(Codes(np.empty((len(groups), n), np.uint16), groups), np.empty(n), np.empty(n), np.empty(n, np.uint8), np.empty(n, np.uint64))
     for r in data.df.toLocalIterator():
-        b = Rows.of([r.asDict()], len(data.cols))
-        b.bins = Codes.of(b.bins, highest).codes
-        blocks.append(b)
-    joined = lambda name, axis: np.concatenate([getattr(b, name) for b in blocks], axis) if blocks else None
-    if not blocks:
-        return Rows(Codes.of(np.zeros((len(data.cols), 0), np.uint8), highest), *[np.zeros(0, t) for t in (float, float, np.uint8, np.uint64)])
-    y = joined("y", 0)
-    small = y.astype(np.uint8)
-    y = small if (small == y).all() else y
-    return Rows(Codes(joined("bins", 1), Codes.grouped(highest)), y, *[joined(c, 0) for c in ("w", "part", "key")])
+        b = Rows.of([r.asDict()], k)
+        to = slice(at, at + len(b.y))
+        whole.bins.codes[:, to] = Codes.of(b.bins, highest).codes
+        whole.y[to], whole.w[to], whole.part[to], whole.key[to] = b.y, b.w, b.part, b.key
+        small = small and bool((b.y == b.y.astype(np.uint8)).all())
+        at = to.stop
+    if small:
+        whole.y = whole.y.astype(np.uint8)
+    return whole
 
 
 def _fit_local(data: Binned, jobs: Sequence[Job], starts) -> list[list[Tree]]:
